@@ -22,11 +22,13 @@ def revcomp(col) -> Column:
     return F.reverse(complement(col))
 
 
-def windows(col, k: int, step: int = 1) -> Column:
-    """Array of all k-long windows of a string, every `step` characters."""
-    s = _c(col)
-    starts = F.sequence(F.lit(1), F.length(s) - (k - 1), F.lit(step))
-    return F.when(F.length(s) >= k, F.transform(starts, lambda i: F.substr(s, i, F.lit(k))))
+def let(col, body) -> Column:
+    """`body(value)` with `col` computed once per row.
+
+    Without it the optimiser copies the whole expression of `col` into every
+    use, also inside lambdas, where it would run once per element.
+    """
+    return F.element_at(F.transform(F.array(_c(col)), body), 1)
 
 
 def kmer_code(col) -> Column:
@@ -40,20 +42,29 @@ def kmer_text(code, k: int) -> Column:
 
 
 def fill_ambiguous(col) -> Column:
-    """Replace each run of non-ACGT letters by the base before it.
+    """Replace each run of non-ACGT letters by the base before it; a leading run by the first base."""
+    def fill(s):
+        lead = F.regexp_extract(s, "^[^acgt]*", 0)
+        first = F.regexp_extract(s, "[acgt]", 0)
+        run = F.regexp_extract_all(s, F.lit("[acgt]+[^acgt]*"), F.lit(0))
+        filled = F.transform(run, lambda t: let(
+            F.regexp_extract(t, "^[acgt]+", 0), lambda b: F.rpad(b, F.length(t), F.right(b, F.lit(1)))))
+        return F.when(~s.rlike("[^acgt]"), s).otherwise(
+            F.concat(F.repeat(first, F.length(lead)), F.array_join(filled, "")))
 
-    A leading run takes the first real base. Two regular-expression passes per
-    run length are not enough, so the fold carries the last real base along.
-    """
-    s = F.lower(_c(col))
-    first = F.regexp_extract(s, "[acgt]", 0)
-    folded = F.aggregate(
-        F.split(s, ""), F.struct(first.alias("last"), F.array().cast("array<string>").alias("out")),
-        lambda acc, x: F.struct(
-            F.when(x.rlike("[acgt]"), x).otherwise(acc["last"]).alias("last"),
-            F.concat(acc["out"], F.array(F.when(x.rlike("[acgt]"), x).otherwise(acc["last"]))).alias("out")),
-        lambda acc: F.array_join(acc["out"], ""))
-    return F.when(s.rlike("[^acgt]"), folded).otherwise(s)
+    return let(F.lower(_c(col)), fill)
+
+
+_BASES = ("a", "c", "g", "t")
+
+
+def _replaced(s, i, b):
+    return F.concat(F.substr(s, F.lit(1), i), b, F.substr(s, i + 2))
+
+
+def _ambiguous(s):
+    """Number of letters outside acgt, and the position of the first."""
+    return F.length(F.translate(s, "acgt", "")), F.length(F.regexp_extract(s, "^([acgt]*)", 1))
 
 
 def substitutions(col, k: int) -> Column:
@@ -62,48 +73,50 @@ def substitutions(col, k: int) -> Column:
     The unchanged string comes first with position -1. A string with one
     ambiguous letter yields its resolutions; with more it yields nothing.
     """
-    s = F.lower(_c(col))
-    bases = F.array(*[F.lit(b) for b in "acgt"])
-
-    def at(i, b):
-        return F.struct(F.concat(F.substr(s, F.lit(1), i), b, F.substr(s, i + 2)).alias("mer"),
-                        i.cast("int").alias("err"))
-
-    exact = F.array(F.struct(s.alias("mer"), F.lit(-1).alias("err")))
-    changed = F.flatten(F.transform(
-        F.sequence(F.lit(0), F.lit(k - 1)),
-        lambda i: F.transform(F.filter(bases, lambda b: b != F.substr(s, i + 1, F.lit(1))),
-                              lambda b: at(i, b))))
-    spot = F.length(F.regexp_extract(s, "^([acgt]*)", 1))
-    resolved = F.transform(bases, lambda b: at(spot, b))
-    clean = F.length(F.translate(s, "acgt", ""))
-    return (F.when(clean == 0, F.concat(exact, changed))
-            .when(clean == 1, resolved)
-            .otherwise(F.array().cast("array<struct<mer:string,err:int>>")))
+    def variants(s):
+        bases = F.array(*[F.lit(b) for b in _BASES])
+        count, spot = _ambiguous(s)
+        made = lambda m, e: F.struct(m.alias("mer"), e.cast("int").alias("err"))
+        changed = F.flatten(F.transform(
+            F.sequence(F.lit(0), F.lit(k - 1)),
+            lambda i: F.transform(F.filter(bases, lambda b: b != F.substr(s, i + 1, F.lit(1))),
+                                  lambda b: made(_replaced(s, i, b), i))))
+        return (F.when(count == 0, F.concat(F.array(made(s, F.lit(-1))), changed))
+                .when(count == 1, F.transform(bases, lambda b: made(_replaced(s, spot, b), spot)))
+                .otherwise(F.array().cast("array<struct<mer:string,err:int>>")))
+
+    return let(F.lower(_c(col)), variants)
 
 
 def resolutions(col) -> Column:
     """The string itself, or the 4 readings of its single ambiguous letter, else nothing."""
-    s = F.lower(_c(col))
-    clean = F.length(F.translate(s, "acgt", ""))
-    spot = F.length(F.regexp_extract(s, "^([acgt]*)", 1))
-    return (F.when(clean == 0, F.array(s))
-            .when(clean == 1, F.transform(F.array(*[F.lit(b) for b in "acgt"]),
-                                          lambda b: F.concat(F.substr(s, F.lit(1), spot), b, F.substr(s, spot + 2))))
-            .otherwise(F.array().cast("array<string>")))
+    def readings(s):
+        count, spot = _ambiguous(s)
+        return (F.when(count == 0, F.array(s))
+                .when(count == 1, F.transform(F.array(*[F.lit(b) for b in _BASES]), lambda b: _replaced(s, spot, b)))
+                .otherwise(F.array().cast("array<string>")))
+
+    return let(F.lower(_c(col)), readings)
+
+
+def _letters(read, ref):
+    return F.arrays_zip(F.split(_c(read), "").alias("a"), F.split(_c(ref), "").alias("b"))
 
 
 def mark_differences(read, ref) -> Column:
     """Read letters in lower case, upper case where they differ from `ref`."""
-    r, g = F.lower(_c(read)), F.lower(_c(ref))
-    return F.array_join(F.zip_with(F.split(r, ""), F.split(g, ""),
-                                   lambda a, b: F.when(a == b, a).otherwise(F.upper(a))), "")
+    return F.array_join(F.transform(_letters(F.lower(_c(read)), F.lower(_c(ref))), lambda z: F.when(
+        z["a"].eqNullSafe(z["b"]) | z["b"].isNull(), z["a"]).otherwise(F.upper(z["a"]))), "")
 
 
 def mismatches(read, ref) -> Column:
-    """Number of differing letters of two equally long strings."""
-    return F.size(F.filter(F.arrays_zip(F.split(_c(read), "").alias("a"), F.split(_c(ref), "").alias("b")),
-                           lambda z: ~z["a"].eqNullSafe(z["b"])))
+    """Number of differing letters of two strings."""
+    return F.size(F.filter(_letters(read, ref), lambda z: ~z["a"].eqNullSafe(z["b"])))
+
+
+def first_mismatch(read, ref) -> Column:
+    """0-based position of the first differing letter, -1 if none."""
+    return F.array_position(F.transform(_letters(read, ref), lambda z: ~z["a"].eqNullSafe(z["b"])), True).cast("int") - 1
 
 
 def colorspace_bases(col) -> Column:

@@ -98,11 +98,11 @@ def _(t):
 @query("genotype_filter_agree", """
 select h.* from $masked h where h.sample = 'S0' and h.mask not in (0, 15)
   and exists (select 1 from $masked o where o.sample = 'S1' and o.chr = h.chr and o.pos = h.pos and o.mask = h.mask)
-  and exists (select 1 from $masked o where o.sample = 'S2' and o.chr = h.chr and o.pos = h.pos and o.mask in (0, 15))""")
+  and exists (select 1 from $masked o where o.sample = 'S2' and o.chr = h.chr and o.pos = h.pos and o.mask not in (0, 15))""")
 def _(t):
     m = t.masked
     lists = {s: m.where(F.col("sample") == s) for s in ("S1", "S2")}
-    return C.genotype_filter(m.where("sample = 'S0'"), [("call",), ("agree", "S1"), ("nocall", "S2")], lists)
+    return C.genotype_filter(m.where("sample = 'S0'"), [("call",), ("agree", "S1"), ("call", "S2")], lists)
 
 
 _POP = """select distinct chr, pos from $calls where call not in ('N', 'X') and call <> ref"""

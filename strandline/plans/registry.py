@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("calls",)
+FAMILIES = ("calls", "text", "reads", "placement")
 
 
 def load() -> None:

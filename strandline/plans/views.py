@@ -20,7 +20,7 @@ select concat('S', cast(l_suppkey % 4 as varchar(4))) as sample,
        concat('chr', cast(1 + l_partkey % 22 as varchar(4))) as chr,
        1 + (l_orderkey * 7 + l_linenumber) % 5000 as pos,
        substr('ACGT', cast(1 + l_partkey % 4 as int), 1) as ref,
-       substr('ACGTRYKMSWNX', cast(1 + (l_orderkey + l_linenumber + l_suppkey) % 12 as int), 1) as call,
+       substr('ACGTRYKMSWNX', cast(1 + (l_orderkey + l_linenumber + cast(floor(l_suppkey / 4) as bigint)) % 12 as int), 1) as call,
        cast(l_quantity as bigint) as qual,
        (l_orderkey * 8 + l_linenumber) * 1000000 + (l_partkey * 101 + l_suppkey) % 1000000 as ord
 from <lineitem>""",
