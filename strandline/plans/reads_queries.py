@@ -57,7 +57,6 @@ select read_id, concat('T', translate(bases, 'acgt', '0123'), case when read_id
 where length(bases) >= 6""")
 add_view("color_quals", """
 select read_id, concat(cast(read_id % 40 as varchar(4)), ' 12 ', cast(read_id % 31 as varchar(4))) as qual_numbers from <reads> where read_id % 5 <> 0""")
-_FOLD = """list_reduce(list_prepend(3, [case when x in ('.', '4', '5', '6', 'N') then 0 else cast(x as int) end for x in str_split(substr(colors, 2), '')]), lambda a, b: xor(a, b))"""
 _DECODED = """
 with recursive c as (select read_id, colors, [case when x in ('.','4','5','6','N') then 0 else cast(x as int) end for x in str_split(substr(colors, 2), '')] as d from $color_reads),
 e as (select read_id, colors, unnest(d) as x, unnest(range(len(d))) as i from c),

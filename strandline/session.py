@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,20 +35,30 @@ def get_session(app: str = "strandline", master: str | None = None, **conf) -> S
     return builder.getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and continue from the files.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: the session's `spark.checkpoint.dir`.
 
-    The folder is the session's `spark.checkpoint.dir`. A local session without
-    one gets a temporary folder; a cluster session without one is an error,
-    because a machine-local folder would be lost with its executor.
+    A local session without one gets a temporary folder; a cluster session
+    without one is an error, because a machine-local folder would be lost with
+    its executor.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="strandline-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh path for an intermediate table in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared folder and continue from the files, so that its lineage ends there."""
     spark = df.sparkSession
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="strandline-checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
