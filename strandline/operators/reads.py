@@ -19,10 +19,11 @@ def select_reads(df: DataFrame, skip_degenerates: bool = False, skip_no_snps: bo
     return out
 
 
-def quality_trim(reads: DataFrame, length: int) -> DataFrame:
+def quality_trim(reads: DataFrame, length: int | Column) -> DataFrame:
     """Truncate bases and qualities; reads with flag 0x10 keep the right end, shorter reads go."""
+    length = length if isinstance(length, Column) else F.lit(length)
     reversed_ = F.col("flag").bitwiseAND(16) != 0
-    cut = lambda c: F.when(reversed_, F.right(c, F.lit(length))).otherwise(F.left(c, F.lit(length)))
+    cut = lambda c: F.when(reversed_, F.right(c, length)).otherwise(F.left(c, length))
     return reads.where(F.length("bases") >= length).withColumns({"bases": cut(F.col("bases")), "quals": cut(F.col("quals"))})
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("calls", "text", "reads", "placement", "runs", "variants", "jobs")
+FAMILIES = ("calls", "text", "reads", "placement", "runs", "variants", "jobs", "sources", "recipes")
 
 
 def load() -> None:

@@ -95,7 +95,7 @@ def _duck(sql: str) -> str:
 
 
 def _spark(sql: str) -> str:
-    return re.sub(r"<(\w+)>", r"{\1}", sql).replace("varchar(", "varchar(")
+    return re.sub(r"varchar\(\d+\)", "string", re.sub(r"<(\w+)>", r"{\1}", sql))
 
 
 def add_view(name: str, spark_sql: str, duck_sql: str | None = None) -> None:
