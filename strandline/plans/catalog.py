@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .views import BASE_TABLES, DUCK_VIEWS, SPARK_VIEWS
 
+# Tables of long texts and the keys that spread them.
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
+
 QUERIES: dict[str, Callable[["Tables"], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -26,11 +29,20 @@ class Tables:
             if name in SPARK_VIEWS:
                 self._seen[name] = self.sql(SPARK_VIEWS[name])
             elif name in BASE_TABLES:
-                self._seen[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+                self._seen[name] = self._scan(name)
             else:
                 raise AttributeError(name)
         return self._seen[name]
 
+    def _scan(self, name: str) -> DataFrame:
+        """The table's parquet scan. Texts in fewer row groups than the session has task slots
+        are spread by key first, because the work per text far outweighs moving it once."""
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        slots = self.spark.sparkContext.defaultParallelism
+        if name in TEXT_KEYS and df.rdd.getNumPartitions() < slots:
+            df = df.repartition(slots, TEXT_KEYS[name])
+        return df
+
     def sql(self, text: str) -> DataFrame:
         """Spark SQL over `{table}` references."""
         names = set(re.findall(r"\{(\w+)\}", text))

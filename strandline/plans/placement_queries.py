@@ -368,7 +368,7 @@ def _(t):
 
 
 add_view("doc_reads", """
-select read_id, concat('d', cast(doc_id as varchar(20))) as chr, start_pos, translate(bases, 'x', 'a') as bases, repeat('5', length(bases)) as quals from (
+select distinct read_id, concat('d', cast(doc_id as varchar(20))) as chr, start_pos, translate(bases, 'x', 'a') as bases, repeat('5', length(bases)) as quals from (
   select l_orderkey * 8 + l_linenumber as read_id, doc_id, 1 + l_partkey % 400 as start_pos,
     case when l_linenumber = 1 then reverse(substr(seq, cast(1 + l_partkey % 400 as int), 40)) else replace(substr(seq, cast(1 + l_partkey % 400 as int), 40), 'aca', 'aga') end as bases
   from <lineitem> join <seqs> on doc_id = l_suppkey * 3 + l_linenumber where length(seq) >= 500)""")
@@ -385,7 +385,7 @@ select d.read_id, d.chr, 'mismatch' as type, d.start_pos + i - 2 as pos, ascii('
 union all select n.read_id, n.chr, 'over-mismatch', n.start_pos, null, null from n where n > 20""")
 def _(t):
     chunks = K.chunk_sequences(t.seqs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("chr"), "seq"), 1000, margin=60)
-    return P.mismatch_scan(t.doc_reads.groupBy("read_id", "chr", "start_pos", "bases").agg(F.first("quals").alias("quals")), chunks, 1000)
+    return P.mismatch_scan(t.doc_reads, chunks, 1000)
 
 
 add_view("flagged", "select *, case when read_id % 3 = 0 then '0' when read_id % 3 = 1 then '5' else '800000001' end as bitmap from <alignments>")

@@ -336,3 +336,11 @@ with p as (select probe, count(*) filter (contains(chr, '_')) as a, count(*) fil
 select cast(sum(a) as bigint) as skip_non_chr, cast(sum(b) as bigint) as skip_non_exact, count(*) filter (c = 1) as placed_once, count(*) filter (c > 1) as placed_more from p""")
 def _(t):
     return R.exact_hit_stats(t.probe_hits)
+
+
+@query("sql_functions", f"""
+select source, kmer, {rc('kmer')} as rc, count(*) as n from (select source, substr(bases, unnest(range(1, length(bases) - 6)), 8) as kmer from (select file as source, bases from $reads where length(bases) >= 8)) group by 1, 2""")
+def _(t):
+    from ..functions.sql import register
+    register(t.spark)
+    return t.sql("""select r.file as source, k.kmer, revcomp(k.kmer) as rc, count(*) as n from {reads} r, lateral kmers(r.bases, 8) k group by 1, 2, 3""")

@@ -140,10 +140,10 @@ def _(t):
 with a as (select l_orderkey, l_linenumber, (1 + l_suppkey % 19) / 20.0 as p, 5 + l_partkey % 40 as n, 1 + l_linenumber % 5 as k from lineitem),
 b as (select *, case when n > 20 and p < 0.05 then 1 else 0 end as poi from a)
 select l_orderkey, l_linenumber, n, k, round(greatest(1 - case when poi = 1 then list_sum(list_transform(range(0, k), lambda i: exp(-n * p) * pow(n * p, i) / gamma(i + 1)))
-  else list_sum(list_transform(range(0, k), lambda i: round(gamma(n + 1) / gamma(i + 1) / gamma(n - i + 1), 0) * pow(p, i) * pow(1 - p, n - i))) end, 0), 5) as probability from b""")
+  else list_sum(list_transform(range(0, k), lambda i: round(gamma(n + 1) / gamma(i + 1) / gamma(n - i + 1), 0) * pow(p, i) * pow(1 - p, n - i))) end, 0) + 1e-9, 6) as probability from b""")
 def _(t):
     a = t.sql("select l_orderkey, l_linenumber, (1 + l_suppkey % 19) / 20.0D as p, 5 + l_partkey % 40 as n, 1 + l_linenumber % 5 as k from {lineitem}")
-    return U.cluster_probability(a, "p", "n", "k").withColumn("probability", F.abs(F.round("probability", 5))).drop("p")
+    return U.cluster_probability(a, "p", "n", "k").withColumn("probability", F.round(F.col("probability") + 1e-9, 6)).drop("p")
 
 
 add_view("exon_calls", """
