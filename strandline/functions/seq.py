@@ -67,27 +67,6 @@ def _ambiguous(s):
     return F.length(F.translate(s, "acgt", "")), F.length(F.regexp_extract(s, "^([acgt]*)", 1))
 
 
-def substitutions(col, k: int) -> Column:
-    """All strings one substitution away, with the 0-based error position.
-
-    The unchanged string comes first with position -1. A string with one
-    ambiguous letter yields its resolutions; with more it yields nothing.
-    """
-    def variants(s):
-        bases = F.array(*[F.lit(b) for b in _BASES])
-        count, spot = _ambiguous(s)
-        made = lambda m, e: F.struct(m.alias("mer"), e.cast("int").alias("err"))
-        changed = F.flatten(F.transform(
-            F.sequence(F.lit(0), F.lit(k - 1)),
-            lambda i: F.transform(F.filter(bases, lambda b: b != F.substr(s, i + 1, F.lit(1))),
-                                  lambda b: made(_replaced(s, i, b), i))))
-        return (F.when(count == 0, F.concat(F.array(made(s, F.lit(-1))), changed))
-                .when(count == 1, F.transform(bases, lambda b: made(_replaced(s, spot, b), spot)))
-                .otherwise(F.array().cast("array<struct<mer:string,err:int>>")))
-
-    return let(F.lower(_c(col)), variants)
-
-
 def resolutions(col) -> Column:
     """The string itself, or the 4 readings of its single ambiguous letter, else nothing."""
     def readings(s):

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import seq as S
+from ..scale import broadcast_if_small
 
 PIECE = 1024
 
@@ -81,18 +82,41 @@ def all_gapped_kmers(seqs: DataFrame, k: int, gap_min: int, gap_max: int, gap_po
     return gapped_from_windows(w, k, gap_min, gap_max, gap_pos)
 
 
+def neighbours(df: DataFrame, k: int, mer: str = "mer", variant: str = "variant", err: str = "err") -> DataFrame:
+    """Every row with all strings at most one substitution from its mer.
+
+    `err` is the 0-based changed position, -1 for the mer itself. A mer with one
+    ambiguous letter gives its four resolutions, with more it gives no row. The
+    variants are numbered and spelled by plain column expressions, which stay in
+    generated code; this is the widest fan-out of the placement queries.
+    """
+    low = df.withColumn("_m", F.lower(mer)).withColumn("_n", F.length(F.translate("_m", "acgt", "")))
+    # 0 is the mer itself, 1 + 3i + s moves letter i by s + 1; 3k + 1.. resolve.
+    number = (F.when(F.col("_n") == 0, F.sequence(F.lit(0), F.lit(3 * k)))
+              .when(F.col("_n") == 1, F.sequence(F.lit(3 * k + 1), F.lit(3 * k + 4))))
+    spot = F.length(F.regexp_extract("_m", "^([acgt]*)", 1))
+    each = low.withColumn("_spot", F.when(F.col("_n") == 1, spot)).withColumn("_v", F.explode(number))
+    resolving = F.col("_v") > 3 * k
+    at = F.when(F.col("_v") == 0, -1).when(resolving, F.col("_spot")).otherwise(F.floor((F.col("_v") - 1) / 3).cast("int"))
+    each = each.withColumn(err, at)
+    old = F.instr(F.lit("acgt"), F.substr("_m", F.col(err) + 1, F.lit(1))) - 1
+    letter = F.when(resolving, F.col("_v") - (3 * k + 1)).otherwise((old + (F.col("_v") - 1) % 3 + 1) % 4)
+    spelled = F.concat(F.substr("_m", F.lit(1), F.col(err)), F.substr(F.lit("acgt"), letter + 1, F.lit(1)), F.substr("_m", F.col(err) + 2))
+    return each.withColumn(variant, F.when(F.col("_v") == 0, F.col("_m")).otherwise(spelled)).drop("_m", "_n", "_spot", "_v")
+
+
 def kmer_join(reads: DataFrame, ref_kmers: DataFrame, k: int, max_mm: int = 1, mer: str = "mer") -> DataFrame:
     """Reference hits of each read seed: (read columns…, chr, pos, err), err -1 for exact.
 
     The neighbours are made on the read side (1 + 3k keys per seed), so the
-    reference is shuffled once, unexpanded.
+    reference is moved once, unexpanded: broadcast when counted small, so that
+    the widened reads need no shuffle, else shuffled by k-mer.
     """
     if max_mm:
-        seeds = reads.withColumn("_v", F.explode(S.substitutions(mer, k))).select(
-            *reads.columns, F.col("_v.mer").alias("_key"), F.col("_v.err").alias("err"))
+        seeds = neighbours(reads, k, mer, "_key")
     else:
         seeds = reads.withColumns({"_key": F.lower(mer), "err": F.lit(-1)})
-    ref = ref_kmers.select("chr", "pos", F.col("kmer").alias("_key"))
+    ref = broadcast_if_small(ref_kmers.select("chr", "pos", F.col("kmer").alias("_key")))
     return seeds.join(ref, "_key").drop("_key")
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import iupac, seq as S
-from .kmers import explode_kmers, kmer_join, pairs_within, reference_slice
+from ..scale import broadcast_if_small
+from .kmers import explode_kmers, kmer_join, neighbours, pairs_within, reference_slice
 
 
 def place_gapped(reads: DataFrame, ref_kmers: DataFrame, k: int, gaps: list[tuple[int, int]], snps: int = 1,
@@ -13,14 +14,16 @@ def place_gapped(reads: DataFrame, ref_kmers: DataFrame, k: int, gaps: list[tupl
     """Positions pos0..posM where every read mer matches the reference with at
     most one substitution and k+gmin <= pos[i+1]-pos[i] <= k+gmax.
 
-    `reads` has `id`, optionally `side`, and mer0..merM. One seed join serves
-    all mers; the hits then chain by binned position joins per read.
+    `reads` has `id`, optionally `side`, and mer0..merM. Every mer's hits come
+    from an equi-join on the k-mer; they chain by binned position joins per read.
     """
     n = len(gaps) + 1
     keys = [id] + (["side"] if "side" in reads.columns else [])
-    seeds = reads.select(*keys, F.posexplode(F.array(*[F.col(f"mer{i}") for i in range(n)])).alias("mer_no", "mer"))
-    hits = kmer_join(seeds, ref_kmers, k, snps).select(*keys, "chr", "mer_no", "pos")
-    at = lambda i: hits.where(F.col("mer_no") == i).select(*keys, "chr", F.col("pos").alias(f"pos{i}"))
+
+    def at(i):
+        seeds = reads.select(*keys, F.col(f"mer{i}").alias("mer"))
+        return kmer_join(seeds, ref_kmers, k, snps).select(*keys, "chr", F.col("pos").alias(f"pos{i}"))
+
     out = at(0)
     for i, (lo, hi) in enumerate(gaps):
         out = pairs_within(out, at(i + 1), keys + ["chr"], f"pos{i}", f"pos{i + 1}", k + lo, k + hi)
@@ -155,7 +158,7 @@ def place_split_reads(reads: DataFrame, exons: DataFrame, max_mm: int = 1) -> Da
     substitutions in total. U rows carry the exon and the read as placed.
     Reads containing `.` are skipped.
     """
-    seeds = exon_seeds(exons).withColumn("key", F.lower("key"))
+    seeds = broadcast_if_small(exon_seeds(exons).withColumn("key", F.lower("key")))
     good = reads.where(~F.col("bases").contains("."))
 
     def half(no: int):
@@ -163,12 +166,11 @@ def place_split_reads(reads: DataFrame, exons: DataFrame, max_mm: int = 1) -> Da
         if max_mm == 0:
             v = s.select("read_id", F.col("mer").alias("key"), F.lit(0).alias("mm"))
         else:
-            one = s.withColumn("_v", F.explode(S.substitutions("mer", 12))).select(
-                "read_id", F.col("_v.mer").alias("key"), F.col("_v.err").alias("_e"), (F.col("_v.err") >= 0).cast("int").alias("mm"))
+            one = neighbours(s, 12, "mer", "key", "_e").withColumn("mm", (F.col("_e") >= 0).cast("int"))
             v = one.select("read_id", "key", "mm")
             if max_mm == 2:
-                two = one.where("mm = 1").withColumn("_w", F.explode(S.substitutions("key", 12))).where(
-                    F.col("_w.err") > F.col("_e")).select("read_id", F.col("_w.mer").alias("key"), F.lit(2).alias("mm"))
+                two = neighbours(one.where("mm = 1").drop("mm"), 12, "key", "_key2", "_e2").where("_e2 > _e").select(
+                    "read_id", F.col("_key2").alias("key"), F.lit(2).alias("mm"))
                 v = v.unionByName(two)
         return v.join(seeds, "key").select("read_id", "exon", F.col("key").alias(f"key{no}"),
                                            F.col("mm").alias(f"mm{no}"), F.col("n").alias(f"n{no}"))
@@ -244,7 +246,7 @@ def place_four_mers(reads: DataFrame, chunks: DataFrame, chunk: int, k: int = 8,
     g = w.withColumn("w", F.explode(F.array(*[F.lit(x) for x in wobble]))).where(F.length("kmer") >= F.col("w") + k)
     first = g.select("chr", (F.col("chunk_no") * chunk + F.col("pos")).alias("pos0"), "w",
                      F.left("kmer", F.lit(k)).alias("mer0"), F.substr("kmer", F.col("w") + 1, F.lit(k)).alias("mer1"))
-    placed = reads.join(first, ["mer0", "mer1"])
+    placed = reads.join(broadcast_if_small(first), ["mer0", "mer1"])
     seen = reference_slice(placed, chunks, chunk, F.col("pos0"), F.lit(reach), "_win").withColumn("_b", F.encode("_win", "US-ASCII"))
 
     def found(m):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import seq as S
-from .kmers import explode_kmers
+from .kmers import explode_kmers, neighbours
 
 
 def select_reads(df: DataFrame, skip_degenerates: bool = False, skip_no_snps: bool = False,
@@ -171,8 +171,7 @@ def expand_degenerate(reads: DataFrame, arm0: str = "arm0", arm1: str = "arm1")
 
 def substitute_variants(mers: DataFrame, k: int, mer: str = "mer") -> DataFrame:
     """Every mer with its one-substitution neighbours and error position (-1: unchanged)."""
-    return mers.withColumn("_v", F.explode(S.substitutions(mer, k))).select(
-        *mers.columns, F.col("_v.mer").alias("variant"), F.col("_v.err").alias("err"))
+    return neighbours(mers, k, mer)
 
 
 def two_letter_gap(df: DataFrame, gap: str = "gap_seq", letters: int = 2) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from ..functions.prob import tail_probability
 from ..functions.seq import let
+from ..scale import settle
 from ..session import cut
 
 # The twelve edits in report order.
@@ -64,6 +65,7 @@ def alignment_runs(alignments: DataFrame, m: int, n: int) -> DataFrame:
     runs = one.withColumn("runs", F.when(usable, F.filter(
         F.coalesce(_islands(found), F.array().cast("array<struct<edit:string,n:int,positions:array<int>>>")),
         lambda x: x["n"] >= n)))
+    runs = settle(runs, "runs")
     status = (F.when(F.col("_n") == 0, "EMPTY").when(F.col("_n") > 1, "REDUNDANT")
               .when((F.size("runs") > 0) | F.lit(n == 0), "HIT").otherwise("UNIQUE"))
     return runs.withColumn("status", status).drop("_n")

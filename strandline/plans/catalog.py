@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .views import BASE_TABLES, DUCK_VIEWS, SPARK_VIEWS
 
-# Tables of long texts and the keys that spread them.
-TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
+# Tables whose rows carry most of the work, and the columns that spread them.
+SPREAD_KEYS = {"documents": ("doc_id",), "pages": ("page_id",), "lineitem": ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")}
 
 QUERIES: dict[str, Callable[["Tables"], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,12 +35,12 @@ class Tables:
         return self._seen[name]
 
     def _scan(self, name: str) -> DataFrame:
-        """The table's parquet scan. Texts in fewer row groups than the session has task slots
-        are spread by key first, because the work per text far outweighs moving it once."""
+        """The table's parquet scan. A table in fewer row groups than the session has task slots
+        is spread first, because the work per row outweighs moving it once; larger tables are read as they lie."""
         df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         slots = self.spark.sparkContext.defaultParallelism
-        if name in TEXT_KEYS and df.rdd.getNumPartitions() < slots:
-            df = df.repartition(slots, TEXT_KEYS[name])
+        if name in SPREAD_KEYS and df.rdd.getNumPartitions() < slots:
+            df = df.repartition(slots, *SPREAD_KEYS[name])
         return df
 
     def sql(self, text: str) -> DataFrame:

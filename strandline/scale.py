@@ -16,6 +16,24 @@ def _cols(names):
     return [F.col(n) if isinstance(n, str) else n for n in names]
 
 
+def settle(df: DataFrame, *names: str) -> DataFrame:
+    """Compute the named columns here, once per row.
+
+    A later filter on a derived column is otherwise pushed below it with the
+    whole expression copied in, per use. Filters do not move past a generator.
+    """
+    rest = [c for c in df.columns if c not in names]
+    return df.select(*rest, F.inline(F.array(F.struct(*names))))
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """Mark a narrow join side for broadcast after counting that it has at most `rows` rows.
+
+    The count stops at `rows` + 1. A larger side stays as it is and is shuffled.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def with_group_size(df: DataFrame, keys: list[str], out: str = "n") -> DataFrame:
     """Attach the number of rows sharing `keys`.
 
@@ -35,7 +53,9 @@ def running_sum(df: DataFrame, order: str, value: Column, out: str, width: int =
     added back, so no task sees more than one slice of rows.
     """
     keys = list(keys)
-    sliced = df.withColumn("_slice", F.floor(F.col(order) / width)).withColumn("_v", value)
+    # One shuffle by slice serves the window, the totals and the join back.
+    sliced = (df.withColumn("_slice", F.floor(F.col(order) / width)).withColumn("_v", value)
+              .repartition(*keys, "_slice"))
     inside = W.partitionBy(*keys, "_slice").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     before = W.partitionBy(*(keys or [F.lit(0)])).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     base = (sliced.groupBy(*keys, "_slice").agg(F.sum("_v").alias("_t"))
@@ -55,7 +75,8 @@ def rank_in_group(df: DataFrame, keys: list[str], order: str, out: str = "rn",
     of the same key in earlier slices. Keys living in one slice need no shift
     and are left out of the join side.
     """
-    sliced = df.withColumn("_slice", F.floor(F.col(order) / width))
+    # One shuffle by (key, slice) serves the window, the counts and the join back.
+    sliced = df.withColumn("_slice", F.floor(F.col(order) / width)).repartition(*keys, "_slice")
     inside = W.partitionBy(*keys, "_slice").orderBy(order, *ties)
     before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     shift = (sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_c"))
