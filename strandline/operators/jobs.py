@@ -78,25 +78,27 @@ def lineage(jobs: DataFrame, roots: DataFrame, direction: str = "up") -> DataFra
     """Jobs reachable from `roots` (id) with their least distance.
 
     `up`: the jobs that made a job's input, smaller ids only. `down`: the jobs
-    that used its output as input or named it in a knob. Each round joins the
-    newest jobs with the job table and drops the visited; rounds end at the
-    graph's depth. Visited rounds are checkpointed, so plans stay short.
+    that used its output as input or named it in a knob. Each round reduces the
+    newest jobs to the keys they lead to and looks those up, so a key with many
+    makers and many users never meets itself pairwise. Rounds end at the graph's
+    depth and are checkpointed.
     """
     if direction == "up":
-        edges = jobs.select(F.col("id").alias("src"), F.col("inputkey").alias("key")).join(
-            jobs.select(F.col("id").alias("dst"), F.col("outputkey").alias("key")), "key").where("dst < src").select("src", "dst")
+        ends = cut(jobs.select("id", F.col("inputkey").alias("from_key"), F.col("outputkey").alias("key")))
     else:
         named = F.regexp_extract_all("knobs", F.lit("([0-9a-f]{32})"), F.lit(1))
-        uses = jobs.select(F.col("id").alias("dst"), F.explode(F.array_union(F.array("inputkey"), named)).alias("key"))
-        edges = jobs.select(F.col("id").alias("src"), F.col("outputkey").alias("key")).join(uses, "key").where("dst <> src").select("src", "dst")
-    edges = cut(edges)
+        ends = cut(jobs.select("id", F.col("outputkey").alias("from_key"), F.explode(F.array_union(F.array("inputkey"), named)).alias("key")))
     seen = cut(roots.select("id").distinct().withColumn("depth", F.lit(0)))
     newest = seen
     depth = 0
     while not newest.isEmpty():
         depth += 1
-        step = edges.join(newest.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-        newest = cut(step.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
+        # The largest newest id of a key decides which makers are smaller than some user.
+        keys = ends.join(newest.select("id"), "id", "left_semi").groupBy(F.col("from_key").alias("key")).agg(F.max("id").alias("_top"))
+        step = ends.join(keys, "key")
+        if direction == "up":
+            step = step.where("id < _top")
+        newest = cut(step.select("id").distinct().join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
         seen = cut(seen.unionByName(newest))
     return seen
 
@@ -134,11 +136,13 @@ def spec_hash(func, inputkey, knobs) -> Column:
 
 def reusable_job(jobs: DataFrame, specs: DataFrame) -> DataFrame:
     """For each spec (spec, func, inputkey, knobs, min_rev, max_rev) the latest successful job like it, else the latest running one."""
-    j = jobs.where("success = 1 or success is null").select(
-        "id", "revision", "success", "outputkey", spec_hash("func", F.col("inputkey"), "knobs").alias("_h"))
+    done = F.coalesce("success", F.lit(0)).alias("done")
+    # Equal jobs reduce to the best of each revision before they meet the specs.
+    j = (jobs.where("success = 1 or success is null").groupBy(spec_hash("func", F.col("inputkey"), "knobs").alias("_h"), "revision")
+         .agg(F.max(F.struct(done, "id", "outputkey")).alias("_j")))
     s = specs.withColumn("_h", spec_hash("func", F.col("inputkey"), "knobs"))
     fit = s.join(j, "_h").where("revision between min_rev and max_rev")
-    best = fit.groupBy("spec").agg(F.max(F.struct(F.coalesce("success", F.lit(0)).alias("done"), "id", "outputkey")).alias("_b"))
+    best = fit.groupBy("spec").agg(F.max("_j").alias("_b"))
     return best.select("spec", F.col("_b.id").alias("job"), F.col("_b.done").alias("done"), F.col("_b.outputkey").alias("outputkey"))
 
 

@@ -218,9 +218,11 @@ def dig_alignments(bases: DataFrame, targets: DataFrame, reach: int = 29) -> Dat
     """
     hit = bases.join(targets.distinct(), ["chr", "pos"], "left_semi").select("chr", F.col("pos").alias("target"), "read_id").distinct()
     near = bases.join(hit, ["chr", "read_id"]).where(F.abs(F.col("pos") - F.col("target")) <= reach)
-    g = near.groupBy("chr", "target", "read_id").agg(
+    # A read called twice at a position keeps one of the calls.
+    per_pos = near.groupBy("chr", "target", "read_id", "pos").agg(F.min("strand").alias("strand"), F.max(F.struct("base", "qual")).alias("_b"))
+    g = per_pos.groupBy("chr", "target", "read_id").agg(
         F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.min("strand").alias("strand"),
-        F.map_from_entries(F.array_agg(F.struct("pos", F.struct("base", "qual")))).alias("_m"))
+        F.map_from_entries(F.array_agg(F.struct("pos", "_b"))).alias("_m"))
     span = F.sequence("first_pos", "last_pos")
     fill = lambda f, d: F.array_join(F.transform(span, lambda p: F.coalesce(f(F.col("_m")[p]), F.lit(d))), "")
     return g.select("chr", "target", "read_id", "first_pos", F.when(F.col("strand") == "F", "+").otherwise("-").alias("strand"),
