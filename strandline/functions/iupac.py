@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
 # Letters in mask order 0..15.
@@ -53,7 +51,3 @@ def call_class(call) -> Column:
     bits = F.bit_count(m)
     return (F.when(is_nocall(call) | m.isin(0, 15), "nocall")
             .when(bits == 1, "hom").when(bits > 1, "het"))
-
-
-def any_of(cols) -> Column:
-    return reduce(lambda a, b: a.bitwiseOR(b), cols)

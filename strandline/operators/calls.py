@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import iupac
-from ..scale import rank_in_group
+from ..scale import SLICE, rank_in_group
 from .intervals import pileup_columns
 
 
@@ -41,27 +41,28 @@ def call_reader(lines: DataFrame, rsid_only: bool = False, line: str = "line") -
     return parsed.select(*keep, F.explode(rows).alias("r")).select(*keep, "r.*")
 
 
-def _ranked(calls: DataFrame, who: str) -> DataFrame:
-    return (rank_in_group(calls.select("sample", "chr", "pos", "mask", "ord"), ["sample", "chr", "pos"], "ord", ties=("mask",))
+def _ranked(calls: DataFrame, who: str, width: int) -> DataFrame:
+    return (rank_in_group(calls.select("sample", "chr", "pos", "mask", "ord"), ["sample", "chr", "pos"], "ord", ties=("mask",), width=width)
             .select(F.col("sample").alias(f"{who}_list"), "chr", "pos", "rn", F.col("mask").alias(f"{who}_mask")))
 
 
-def concordance_pairs(x: DataFrame, y: DataFrame) -> DataFrame:
+def concordance_pairs(x: DataFrame, y: DataFrame, width: int = SLICE) -> DataFrame:
     """Pair two sets of call lists position by position and classify every pair.
 
     Repeated positions of a list pair one-to-one in order, so the join key is
     (chr, pos, occurrence) and a position repeated millions of times spreads.
+    `width` is the span of `ord` that holds about a million rows.
     """
-    pairs = _ranked(x, "x").join(_ranked(y, "y"), ["chr", "pos", "rn"])
+    pairs = _ranked(x, "x", width).join(_ranked(y, "y", width), ["chr", "pos", "rn"])
     no_x, no_y = F.col("x_mask").isin(0, 15), F.col("y_mask").isin(0, 15)
     return pairs.withColumn("verdict", F.when(no_x & no_y, "nocall_both").when(no_x, "nocall_x").when(no_y, "nocall_y")
                             .when(F.col("x_mask") == F.col("y_mask"), "yes").otherwise("no"))
 
 
-def concordance_matrix(x: DataFrame, y: DataFrame) -> DataFrame:
+def concordance_matrix(x: DataFrame, y: DataFrame, width: int = SLICE) -> DataFrame:
     """Score of every (y list, x list): 100 yes/(yes+no), starred above 0.9 of the row's best."""
     count = lambda v: F.count_if(F.col("verdict") == v).alias(v)
-    per_pair = concordance_pairs(x, y).groupBy("y_list", "x_list").agg(
+    per_pair = concordance_pairs(x, y, width).groupBy("y_list", "x_list").agg(
         *[count(v) for v in ("yes", "no", "nocall_x", "nocall_y")])
     scored = per_pair.withColumn("score", F.when(
         F.col("yes") + F.col("no") > 0, F.round(100.0 * F.col("yes") / (F.col("yes") + F.col("no")), 4)))
@@ -147,13 +148,13 @@ def skeptic_recall(calls: DataFrame, reads: DataFrame, min_qual: int = 20, min_c
             .drop(*[f"sites_{b}" for b in iupac.BASE_BITS]))
 
 
-def collapse_calls(df: DataFrame, order: str = "ord", part_rows: int = 10_000) -> DataFrame:
+def collapse_calls(df: DataFrame, order: str = "ord", part_rows: int = 10_000, width: int = SLICE) -> DataFrame:
     """One annotation row per position with its alleles joined, latest first.
 
     A position with more than `part_rows` calls continues on further rows
     (`part` 1, 2, …), so no cell or task has to hold an unbounded position.
     """
-    ranked = rank_in_group(df, ["chr", "pos"], order, ties=("call", "ref"))
+    ranked = rank_in_group(df, ["chr", "pos"], order, ties=("call", "ref"), width=width)
     part = F.floor((F.col("rn") - 1) / part_rows) + 1
     return (ranked.withColumn("part", part).groupBy("chr", "pos", "part")
             .agg(F.min_by("ref", "rn").alias("ref"), F.sort_array(F.collect_list(F.struct("rn", "call")), False).alias("c"))

@@ -196,6 +196,11 @@ def sequence_encode(df: DataFrame, k: int = 8, seq: str = "seq", id: str = "doc_
         id, F.col("pos").cast("int").alias("offset"), S.kmer_code("kmer").alias("code"))
 
 
+def sequence_decode(df: DataFrame, k: int = 8, code: str = "code") -> DataFrame:
+    """Codes back to letters."""
+    return df.withColumn("kmer", S.kmer_text(code, k))
+
+
 def fill_ambiguous_runs(df: DataFrame, seq: str = "seq") -> DataFrame:
     return df.withColumn("filled", S.fill_ambiguous(seq))
 

@@ -10,6 +10,8 @@ from .catalog import query
 from .views import add_view
 
 _MASK = "instr('XACMGRSVTWYHKDBN', {}) - 1"
+# `ord` of the derived calls steps by a million per line.
+WIDTH = 1 << 40
 CALLMASK = _MASK.format("call")
 
 add_view("masked", f"select *, cast({CALLMASK} as int) as mask from <calls>")
@@ -72,7 +74,7 @@ p as (select x.sample as x_list, y.sample as y_list, x.chr, x.pos, x.rn, x.mask
 
 @query("concordance_pairs", _PAIRS + "select * from p")
 def _(t):
-    return C.concordance_pairs(t.masked, t.masked)
+    return C.concordance_pairs(t.masked, t.masked, WIDTH)
 
 
 @query("concordance_matrix", _PAIRS + """, s as (
@@ -81,7 +83,7 @@ def _(t):
   from p group by 1, 2), q as (select *, case when yes + no > 0 then round(100.0 * yes / (yes + no), 4) end as score from s)
 select *, cast(coalesce(score, 0) > 0.9 * max(coalesce(score, 0)) over (partition by y_list) as int) as starred from q""")
 def _(t):
-    return C.concordance_matrix(t.masked, t.masked)
+    return C.concordance_matrix(t.masked, t.masked, WIDTH)
 
 
 @query("genotype_filter", """
@@ -163,7 +165,7 @@ def _(t):
 select chr, pos, 1 as part, concat('alleles ', string_agg(call, '/' order by ord desc, call desc, ref desc), '; ref_allele ',
   arg_min(ref, (ord, call, ref))) as attributes from $calls group by chr, pos""")
 def _(t):
-    return C.collapse_calls(t.calls)
+    return C.collapse_calls(t.calls, width=WIDTH)
 
 
 @query("site_union", "select distinct chr, pos from $calls union select distinct chr, start_pos from $regions")
@@ -276,3 +278,13 @@ select chr, start_pos, end_pos, name, strand, region_id,
   concat(name, '=', chr, '@', start_pos, '-', end_pos) as title from x""")
 def _(t):
     return I.context_slice(t.doc_regions, t.ref_chunks, 1000, context=8)
+
+
+@query("context_fasta", """
+with x as (select r.*, substr(s.seq, greatest(start_pos - 1, 0) + 1, end_pos - greatest(start_pos - 1, 0)) as f from $doc_regions r join $seqs s on r.chr = concat('d', s.doc_id)
+  where length(s.seq) > 0 and cast(floor((length(seq) - 1) / 1000) as bigint) >= cast(floor((start_pos - 1) / 1000) as bigint)),
+y as (select region_id, concat('nn', case when strand = '-' then reverse(translate(f, 'acgt', 'tgca')) else f end, 'n') as q, concat(name, '=', chr, '@', start_pos, '-', end_pos) as title from x)
+select region_id, concat('>', title, chr(10), regexp_replace(regexp_replace(q, '(.{50})', '\\1' || chr(10), 'g'), chr(10) || '$', ''), chr(10)) as fasta from y""")
+def _(t):
+    cut = I.context_slice(t.doc_regions, t.ref_chunks, 1000)
+    return cut.select("region_id", I.wrap_fasta(F.col("title"), I.pad_to_query(F.col("seq"), F.lit(2), F.lit(1))).alias("fasta"))

@@ -199,6 +199,12 @@ def _(t):
     return R.sequence_encode(t.seqs)
 
 
+@query("sequence_decode", """
+select doc_id, o as offset, substr(seq, o + 1, 8) as kmer from (select doc_id, seq, unnest(range(length(seq) - 7)) as o from $seqs where length(seq) >= 8)""")
+def _(t):
+    return R.sequence_decode(R.sequence_encode(t.seqs)).drop("code")
+
+
 _RESOLVE = """case when length(translate({0}, 'acgt', '')) = 0 then [{0}]
   when length(translate({0}, 'acgt', '')) = 1 then [regexp_replace({0}, '[^acgt]', x) for x in ['a','c','g','t']] else [] end"""
 

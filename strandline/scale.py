@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+# Order values per slice. Suits row numbers; sparser order columns want a proportionally larger width.
 SLICE = 1 << 20
 
 
@@ -34,16 +35,6 @@ def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def with_group_size(df: DataFrame, keys: list[str], out: str = "n") -> DataFrame:
-    """Attach the number of rows sharing `keys`.
-
-    Map-side combined count joined back; the join side has one row per key, so
-    a hot key is split by AQE's skew join instead of filling one window.
-    """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out))
-    return df.join(sizes, keys)
-
-
 def running_sum(df: DataFrame, order: str, value: Column, out: str, width: int = SLICE,
                 keys: tuple[str, ...] = ()) -> DataFrame:
     """Inclusive running total of `value` along the integer column `order`.
@@ -98,8 +89,3 @@ def first_row(df: DataFrame, keys: list[str], order, last: bool = False) -> Data
     by = F.struct(*_cols(order)) if isinstance(order, (list, tuple)) else F.col(order)
     return (df.groupBy(*keys).agg(pick(F.struct(*[F.col(f"`{c}`") for c in rest]), by).alias("_row"))
             .select(*keys, "_row.*"))
-
-
-def global_sort(df: DataFrame, *order) -> DataFrame:
-    """Total order by range partitioning; ties spread when `order` ends in a unique column."""
-    return df.orderBy(*order)
