@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality_rules, simhash
+from . import prefix_free, quality_rules, simhash, substring_fm
 from .rows import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,16 @@ def query(fn):
     return fn
 
 
+@query
+def op4_substring_fm_index(spark, folder):
+    return substring_fm.substring_dedup(documents(spark, folder)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query
+def op5_prefix_free_parsing(spark, folder):
+    return prefix_free.prefix_free_dedup(documents(spark, folder)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query
 def op7_simhash_near_dedup(spark, folder):
     return simhash.near_duplicates(documents(spark, folder)).select(
