@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import prefix_free, quality_rules, simhash, substring_fm
+import corpus_pipeline
+
+from . import decontamination, packing, prefix_free, quality_rules, simhash, substring_fm
 from .rows import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +20,11 @@ def query(fn):
     return fn
 
 
+@query
+def op3_cutting_stock_packing(spark, folder):
+    return packing.pack(documents(spark, folder))
+
+
 @query
 def op4_substring_fm_index(spark, folder):
     return substring_fm.substring_dedup(documents(spark, folder)).select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -38,3 +45,14 @@ def op7_simhash_near_dedup(spark, folder):
 def op9_line_rules(spark, folder):
     return quality_rules.line_rules(documents(spark, folder)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query
+def op10_cgk_decontamination(spark, folder):
+    return decontamination.leaks(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet")).select(
+        "doc_id", "item_id", "distance", "at", "n_words")
+
+
+@query
+def pipeline(spark, folder):
+    return corpus_pipeline.run(spark, folder)
