@@ -34,7 +34,7 @@ from .rows import KEY, doc_id, keyed, unpacked
 
 SHARE = 0.2
 MIN_ITEM_WORDS = 5
-REPETITIONS = 16
+REPETITIONS = 24
 SAMPLES = 4
 # Words of the items of one block.
 BLOCK_WORDS = 1 << 20

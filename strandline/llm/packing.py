@@ -1,10 +1,10 @@
 """Cutting-stock packing: documents into sequences of at most 2048 tokens.
 
-Documents are tokenized once. Each becomes whole sequences and one rest, so
-text is cut no more often than its length asks for. A histogram of the rests'
+Documents are tokenized once. Each becomes whole sequences and a rest of at
+most half a sequence (or a half and such a rest). A histogram of the pieces'
 lengths (classes of GRID tokens, at most 2048 / GRID numbers, whatever the
 input) goes to the driver. There a linear program over patterns (how many
-rests of each class share a sequence) is solved by column generation: a
+pieces of each class share a sequence) is solved by column generation: a
 knapsack recursion prices new patterns with the duals. The patterns' numbers
 are rounded down, what is left over is packed by decreasing size, and the
 slots of each class are handed to its documents by rank, as a join.
@@ -32,6 +32,18 @@ SLICE_ROWS = 50_000
 # The program ends within this share of its optimum (the best price bounds it from below), or after so many simplex steps.
 GAP = 0.001
 MAX_STEPS = 3000
+SMOOTHING = 0.5
+
+
+def _cuts(n: int, length: int) -> Iterator[tuple[int, int]]:
+    """Full sequences, then the rest; a rest over half a sequence is cut at the half, because longer ones leave gaps that few others fit."""
+    at = 0
+    while n - at > length // 2:
+        size = length if n - at >= length else length // 2
+        yield at, at + size
+        at += size
+    if at < n:
+        yield at, n
 
 
 def _pieces(path: str, length: int, end: int):
@@ -45,8 +57,8 @@ def _pieces(path: str, length: int, end: int):
                 for i, ids in enumerate(encoder(path).encode_all(texts)):
                     ids += tail
                     n = len(ids) // 4
-                    for at in range(0, n, length):
-                        part = ids[4 * at:4 * (at + length)]
+                    for at, stop in _cuts(n, length):
+                        part = ids[4 * at:4 * stop]
                         rows.append(lo + i)
                         start.append(at)
                         size.append(len(part) // 4)
@@ -60,7 +72,7 @@ def _pieces(path: str, length: int, end: int):
 
 
 def token_pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: int = END) -> DataFrame:
-    """`_doc`, `_row`, `start`, `length`, `ids_crc32`, `doc_tokens`: each document's full sequences and its rest."""
+    """`_doc`, `_row`, `start`, `length`, `ids_crc32`, `doc_tokens`: each document's pieces."""
     return keyed(docs).select("_doc", "_row", "text").mapInArrow(
         _pieces(path or vocabulary_path(), length, end),
         "_doc long, _row long, start long, length long, ids_crc32 long, doc_tokens long")
@@ -92,22 +104,33 @@ def cutting_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, steps
     basis = np.diag((capacity // sizes).astype(float))
     inverse = np.diag(1 / np.diag(basis))
     number = inverse @ demand
+    # Duals are priced halfway to the best ones so far; a length's share of a sequence is feasible, and close, to begin with.
+    centre, bound = sizes / capacity, float(demand @ sizes) / capacity
     for step in range(steps):
-        duals = np.ones(m) @ inverse
-        value, pattern = _price(sizes, duals, capacity)
-        if value <= 1 + GAP:
+        duals = inverse.sum(0)
+        if number.sum() <= bound * (1 + GAP):
+            break
+        for weight in (SMOOTHING, 0.0):
+            mixed = weight * centre + (1 - weight) * duals
+            value, pattern = _price(sizes, mixed, capacity)
+            if float(demand @ mixed) / value > bound:
+                centre, bound = mixed / value, float(demand @ mixed) / value
+            if duals @ pattern > 1 + 1e-9:
+                break
+        else:
             break
-        change = inverse @ pattern
+        used = np.flatnonzero(pattern)
+        change = (inverse[:, used] * pattern[used]).sum(1)
         ratio = np.where(change > 1e-9, number / np.where(change > 1e-9, change, 1), np.inf)
         out = int(ratio.argmin())
         basis[:, out] = pattern
-        if step % 100 == 99:
-            inverse = np.linalg.inv(basis)
-        else:
-            pivot = inverse[out] / change[out]
-            inverse = inverse - np.outer(change, pivot)
-            inverse[out] = pivot
-        number = np.maximum(inverse @ demand, 0)
+        # Rounding errors of the updates cost a little fill at most: patterns are whole numbers, and seats are counted against the demand.
+        pivot = inverse[out] / change[out]
+        inverse -= change[:, None] * pivot
+        inverse[out] = pivot
+        moved = ratio[out]
+        number = np.maximum(number - moved * change, 0)
+        number[out] = moved
     return basis.T, number
 
 
@@ -130,11 +153,13 @@ def packing_plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[i
             left[c] -= k * times
         made += times
 
-    for pattern, times in zip(np.rint(patterns).astype(np.int64), np.floor(number + 1e-6).astype(np.int64).tolist()):
-        on = pattern > 0
-        times = min(times, int((left[on] // pattern[on]).min())) if on.any() else 0
+    patterns, whole = np.rint(patterns).astype(np.int64), np.floor(number + 1e-6).astype(np.int64)
+    nearest = np.argsort(whole - number, kind="stable")
+    for p, times in [*enumerate(whole.tolist()), *((p, 1) for p in nearest.tolist())]:
+        on = patterns[p] > 0
+        times = min(times, int((left[on] // patterns[p][on]).min()))
         if times > 0:
-            seat(pattern, times)
+            seat(patterns[p], times)
     # What rounding leaves: decreasing size, as many equal sequences at once as there are.
     while left.any():
         pattern, room = np.zeros(len(sizes), np.int64), capacity
