@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 
-from . import decontamination, packing, prefix_free, quality_rules, simhash, substring_fm
+from . import decontamination, lm_scoring, packing, preference, prefix_free, pu_quality, quality_rules, simhash, substring_fm, token_scan
 from .rows import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,20 @@ def query(fn):
     return fn
 
 
+def labels(spark, folder):
+    return spark.read.parquet(f"{folder}/labels.parquet")
+
+
+@query
+def op1_nn_pu_quality(spark, folder):
+    return pu_quality.quality_scores(documents(spark, folder), labels(spark, folder))
+
+
+@query
+def op2_cross_entropy_difference(spark, folder):
+    return lm_scoring.cross_entropy_difference(documents(spark, folder), labels(spark, folder).where("quality = 1"))
+
+
 @query
 def op3_cutting_stock_packing(spark, folder):
     return packing.pack(documents(spark, folder))
@@ -35,12 +49,31 @@ def op5_prefix_free_parsing(spark, folder):
     return prefix_free.prefix_free_dedup(documents(spark, folder)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+@query
+def op6_preference_format(spark, folder):
+    turns = spark.read.parquet(f"{folder}/conversations.parquet")
+    convs = preference.conversations(turns)
+    # The table names no preferences: conversations that open alike are paired, and neighbours by id.
+    pairs = preference.first_turn_pairs(convs).union(preference.neighbour_pairs(convs)).distinct()
+    made = preference.preference_format(turns, pairs)
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), " ")
+    return made.withColumns({c: spans(c) for c in ("chosen_mask", "rejected_mask")})
+
+
+ORACLES["op6_preference_format"] = preference.ORACLE
+
+
 @query
 def op7_simhash_near_dedup(spark, folder):
     return simhash.near_duplicates(documents(spark, folder)).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op8_separator_scan(spark, folder):
+    return token_scan.document_token_counts(documents(spark, folder))
+
+
 @query
 def op9_line_rules(spark, folder):
     return quality_rules.line_rules(documents(spark, folder)).select(

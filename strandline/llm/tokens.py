@@ -28,10 +28,11 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 class Encoder:
     """`encode(text)`: its ids as little-endian unsigned 32-bit bytes. White space separates words for the tokenizer, so ids come word by word."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain_specials: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain_specials
         self.words: dict[str, bytes] = {}
         self.letters: dict[str, bytes] = {}
 
@@ -73,5 +74,5 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, plain_specials: bool = False) -> Encoder:
+    return Encoder(path, plain_specials)
