@@ -148,19 +148,12 @@ def skeptic_recall(calls: DataFrame, reads: DataFrame, min_qual: int = 20, min_c
             .drop(*[f"sites_{b}" for b in iupac.BASE_BITS]))
 
 
-def collapse_calls(df: DataFrame, order: str = "ord", part_rows: int = 10_000, width: int = SLICE) -> DataFrame:
-    """One annotation row per position with its alleles joined, latest first.
-
-    A position with more than `part_rows` calls continues on further rows
-    (`part` 1, 2, …), so no cell or task has to hold an unbounded position.
-    """
-    ranked = rank_in_group(df, ["chr", "pos"], order, ties=("call", "ref"), width=width)
-    part = F.floor((F.col("rn") - 1) / part_rows) + 1
-    return (ranked.withColumn("part", part).groupBy("chr", "pos", "part")
-            .agg(F.min_by("ref", "rn").alias("ref"), F.sort_array(F.collect_list(F.struct("rn", "call")), False).alias("c"))
-            .select("chr", "pos", "part", F.concat(
-                F.lit("alleles "), F.array_join(F.transform("c", lambda s: s["call"]), "/"),
-                F.lit("; ref_allele "), F.col("ref")).alias("attributes")))
+def collapse_calls(df: DataFrame, order: str = "ord") -> DataFrame:
+    """One annotation row per position with all its alleles joined, latest first, and the first row's reference."""
+    rank = F.struct(order, "call", "ref")
+    return (df.groupBy("chr", "pos").agg(F.min(rank).alias("first"), F.sort_array(F.collect_list(rank), False).alias("c"))
+            .select("chr", "pos", F.concat(F.lit("alleles "), F.array_join(F.transform("c", lambda s: s["call"]), "/"),
+                                           F.lit("; ref_allele "), F.col("first.ref")).alias("attributes")))
 
 
 def site_union(*lists: DataFrame) -> DataFrame:

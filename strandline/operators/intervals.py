@@ -193,14 +193,15 @@ def context_slice(regions: DataFrame, ref_chunks: DataFrame, chunk: int, context
     lo = F.greatest(F.col("start_pos") - 1 - context, F.lit(0))
     hi = F.col("end_pos") + context
     chunks = ref_chunks.select(F.col("chr").alias("_rchr"), F.col("chunk_no").alias("_no"), F.col("seq").alias("_seq"))
-    want = (regions.withColumn("_lo", lo).withColumn("_hi", hi)
+    # Equal regions stay apart by a row id.
+    want = (regions.withColumn("_rid", F.monotonically_increasing_id()).withColumn("_lo", lo).withColumn("_hi", hi)
             .withColumn("_want", F.explode(F.sequence(F.floor(F.col("_lo") / chunk), F.floor((F.col("_hi") - 1) / chunk)))))
     first = F.greatest(F.col("_lo") - F.col("_want") * chunk, F.lit(0))
     last = F.least(F.col("_hi") - F.col("_want") * chunk, F.lit(chunk))
     pieces = (want.join(chunks, (F.col("chr") == F.col("_rchr")) & (F.col("_want") == F.col("_no")))
               .withColumn("_piece", F.substr("_seq", (first + 1).cast("int"), (last - first).cast("int"))))
-    glued = pieces.groupBy(*regions.columns).agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("_want", "_piece"))), lambda s: s["_piece"]), "").alias("seq"))
+    glued = pieces.groupBy("_rid", *regions.columns).agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("_want", "_piece"))), lambda s: s["_piece"]), "").alias("seq")).drop("_rid")
     return (glued.withColumn("seq", F.when(F.col("strand") == "-", revcomp("seq")).otherwise(F.col("seq")))
             .withColumn("title", F.concat(F.col("name"), F.lit("="), F.col("chr"), F.lit("@"),
                                           F.col("start_pos"), F.lit("-"), F.col("end_pos"))))

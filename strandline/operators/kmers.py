@@ -7,10 +7,9 @@ partitions of low-complexity k-mers.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import seq as S
-from ..scale import broadcast_if_small
 
 PIECE = 1024
 
@@ -50,17 +49,39 @@ def with_margin(chunks: DataFrame, margin: int) -> DataFrame:
 
 
 def reference_slice(df: DataFrame, chunks: DataFrame, chunk: int, at, length, out: str, chr: str = "chr") -> DataFrame:
-    """Reference letters [at, at + length) (0-based) of each row, from chunks whose margin covers `length`."""
-    c = chunks.select(F.col("chr").alias("_rchr"), F.col("chunk_no").alias("_no"), F.col("seq").alias("_seq"))
+    """Reference letters [at, at + length) (0-based) of each row, shorter only at the end of a sequence.
+
+    Every chunk is glued to its follower first (a join of the reference with
+    itself), so a slice of up to `chunk` letters needs one lookup and no margin.
+    A longer slice is an error.
+    """
+    glued = with_margin(chunks.select("chr", "chunk_no", F.left("seq", F.lit(chunk)).alias("seq")), chunk)
+    c = glued.select(F.col("chr").alias("_rchr"), F.col("chunk_no").alias("_no"), F.col("seq").alias("_seq"))
     a = df.withColumn("_at", at)
+    size = F.when(length <= chunk, length.cast("int")).otherwise(F.raise_error(F.lit("a slice is longer than a chunk of the reference")).cast("int"))
     return (a.join(c, (F.col(chr) == F.col("_rchr")) & (F.floor(F.col("_at") / chunk) == F.col("_no")))
-            .withColumn(out, F.substr("_seq", (F.col("_at") % chunk + 1).cast("int"), length.cast("int")))
+            .withColumn(out, F.substr("_seq", (F.col("_at") % chunk + 1).cast("int"), size))
             .drop("_rchr", "_no", "_seq", "_at"))
 
 
+def fill_chunks(chunks: DataFrame) -> DataFrame:
+    """Chunks with each run of ambiguous letters replaced by the base before it, over chunk ends; a leading run by the first base."""
+    low = chunks.withColumn("seq", F.lower("seq"))
+    base = lambda form: F.nullif(F.regexp_extract("seq", form, 1), F.lit(""))
+    edges = low.select("chr", "chunk_no", base("^[^acgt]*([acgt])").alias("_first"), base("([acgt])[^acgt]*$").alias("_last"))
+    by = W.partitionBy("chr").orderBy("chunk_no")  # one short row per chunk
+    carried = edges.select("chr", "chunk_no", F.coalesce(
+        F.last("_last", True).over(by.rowsBetween(W.unboundedPreceding, -1)),
+        F.first("_first", True).over(by.rowsBetween(W.currentRow, W.unboundedFollowing))).alias("_carry"))
+    return low.join(carried, ["chr", "chunk_no"]).select("chr", "chunk_no", F.when(F.col("_carry").isNull(), F.col("seq")).otherwise(
+        F.substr(S.fill_ambiguous(F.concat("_carry", "seq")), F.lit(2))).alias("seq"))
+
+
 def all_kmers(chunks: DataFrame, k: int, chunk: int) -> DataFrame:
-    """(chr, pos, kmer) of a chunked reference, windows crossing chunk ends included."""
-    filled = with_margin(chunks, k - 1).withColumn("seq", S.fill_ambiguous("seq"))
+    """(chr, pos, kmer) of a chunked reference, windows crossing chunk ends included; the same at every chunk size of at least k - 1."""
+    if k - 1 > chunk:
+        raise ValueError("a k-mer may not reach over a whole chunk")
+    filled = with_margin(fill_chunks(chunks), k - 1)
     return explode_kmers(filled, k, "seq", ("chr", "chunk_no")).where(F.col("pos") < chunk).select(
         "chr", (F.col("chunk_no") * chunk + F.col("pos")).alias("pos"), "kmer")
 
@@ -116,7 +137,7 @@ def kmer_join(reads: DataFrame, ref_kmers: DataFrame, k: int, max_mm: int = 1, m
         seeds = neighbours(reads, k, mer, "_key")
     else:
         seeds = reads.withColumns({"_key": F.lower(mer), "err": F.lit(-1)})
-    ref = broadcast_if_small(ref_kmers.select("chr", "pos", F.col("kmer").alias("_key")))
+    ref = ref_kmers.select("chr", "pos", F.col("kmer").alias("_key"))
     return seeds.join(ref, "_key").drop("_key")
 
 

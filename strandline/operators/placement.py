@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import iupac, seq as S
-from ..scale import broadcast_if_small
 from .kmers import explode_kmers, kmer_join, neighbours, pairs_within, reference_slice
 
 
@@ -158,7 +157,7 @@ def place_split_reads(reads: DataFrame, exons: DataFrame, max_mm: int = 1) -> Da
     substitutions in total. U rows carry the exon and the read as placed.
     Reads containing `.` are skipped.
     """
-    seeds = broadcast_if_small(exon_seeds(exons).withColumn("key", F.lower("key")))
+    seeds = exon_seeds(exons).withColumn("key", F.lower("key"))
     good = reads.where(~F.col("bases").contains("."))
 
     def half(no: int):
@@ -248,7 +247,7 @@ def place_four_mers(reads: DataFrame, chunks: DataFrame, chunk: int, k: int = 8,
     g = w.withColumn("w", F.explode(F.array(*[F.lit(x) for x in wobble]))).where(F.length("kmer") >= F.col("w") + k)
     first = g.select("chr", (F.col("chunk_no") * chunk + F.col("pos")).alias("pos0"), "w",
                      F.left("kmer", F.lit(k)).alias("mer0"), F.substr("kmer", F.col("w") + 1, F.lit(k)).alias("mer1"))
-    placed = reads.join(broadcast_if_small(first), ["mer0", "mer1"])
+    placed = reads.join(first, ["mer0", "mer1"])
     seen = reference_slice(placed, chunks, chunk, F.col("pos0"), F.lit(reach), "_win").withColumn("_b", F.encode("_win", "US-ASCII"))
 
     def found(m):
@@ -304,7 +303,7 @@ def mismatch_scan(alignments: DataFrame, chunks: DataFrame, chunk: int, limit: i
     """Per read the positions differing from the reference with their quality and 5-base contexts.
 
     More than `limit` differences give one `over-mismatch` row; reads starting
-    before 2 are skipped. `chunks` need a margin of the read length + 4.
+    before 2 are skipped. A read may be as long as a chunk less 4.
     """
     usable = alignments.where(F.col("start_pos") >= 2)
     n = F.length("bases")

@@ -6,8 +6,7 @@ the row with array functions and need no shuffle.
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.prob import tail_probability
 from ..functions.seq import let
@@ -196,76 +195,63 @@ def snap_to_grid(points: DataFrame, w: int, h: int) -> DataFrame:
 
 # -- clusters of one edit type -------------------------------------------------------
 
-_CLUSTER = T.StructType([T.StructField(n, t) for n, t in (
-    ("query", T.StringType()), ("edit", T.StringType()), ("control", T.IntegerType()), ("total_probability", T.DoubleType()),
-    ("n_clusters", T.IntegerType()), ("n_members", T.IntegerType()), ("positions", T.StringType()), ("n_edits", T.IntegerType()),
-    ("n_mismatches", T.IntegerType()))])
-
-
-def _tail(p: float, n: int, k: int) -> float:
-    from math import exp
-    poisson = n > 20 and p < 0.05
-    term = exp(-n * p) if poisson else (1 - p) ** n
-    left = 1 - term
-    for i in range(1, k):
-        term *= n * p / i if poisson else (n - i + 1) * p / (i * (1 - p))
-        left -= term
-    return max(left, 0.0)
-
-
-def _greedy(positions, ordinals, p: float, pvalue: float, least: int):
-    """Widest improbable stretches of one edit, left to right; a stretch must be free of other mismatches."""
-    members, product, count, reached = [], 1.0, 0, -1
-    for i in range(len(positions) - 1):
-        for j in range(len(positions) - 1, max(reached, i + least - 2), -1):
-            size = j - i + 1
-            if size < least or ordinals[j] - ordinals[i] + 1 > size:
-                continue
-            chance = _tail(p, positions[j] - positions[i] + 1, size)
-            if chance < pvalue:
-                members.extend(range(max(i, reached + 1), j + 1))
-                if i > reached:
-                    product, count = product * chance, count + 1
-                reached = j
-                break
-    return members, product, count
+# Edits that count as real, then the controls.
+CLUSTERED = (("ag", 0), ("tc", 0), ("ga", 1), ("ct", 1))
 
 
-def cluster_edits(alignments: DataFrame, pvalue: float, min_size: int) -> DataFrame:
-    """Greedy clusters of A>G / T>C (real) and G>A / C>T (control) edits along each alignment.
+def _mismatches(z):
+    """(i, edit) of the letters that differ, gap columns left out; i is the address in the reference, where gaps take no place."""
+    q, r = z["q"], z["r"]
+    gap = F.encode(F.lit("-"), "US-ASCII")
+    at = lambda s, i: _bytes(s, i, 1)
+    columns = F.sequence(F.lit(0), F.length(q) - 1)
+    differ = F.filter(columns, lambda i: (at(q, i) != at(r, i)) & (at(q, i) != gap) & (at(r, i) != gap))
+    return let(F.filter(columns, lambda i: at(r, i) == gap), lambda gaps: F.transform(differ, lambda i: F.struct(
+        (i - F.size(F.filter(gaps, lambda g: g < i))).alias("i"), F.lower(F.concat(at(q, i).cast("string"), at(r, i).cast("string"))).alias("edit"))))
+
+
+def _clusters(pos, p, pvalue: float, least: int):
+    """Clusters of one island of equal edits.
 
-    Mismatches are found and typed by Spark inside the row; only their
-    positions reach the per-row scan.
+    From each member the widest stretch inside the island is taken whose tail
+    probability is below `pvalue`. A cluster is a union of overlapping
+    stretches; its probability is that of the stretch it starts with.
     """
-    def mismatches(z):
-        q, r = z["q"], z["r"]
-        gap = F.encode(F.lit("-"), "US-ASCII")
-        at = lambda s, i: _bytes(s, i, 1)
-        hit = F.filter(F.sequence(F.lit(0), F.length(q) - 1), lambda i: (at(q, i) != at(r, i)) & (at(q, i) != gap) & (at(r, i) != gap))
-        return F.transform(hit, lambda i: F.struct(
-            i.alias("i"), F.lower(F.concat(at(q, i).cast("string"), at(r, i).cast("string"))).alias("t")))
+    chance = lambda i, j: tail_probability(p, pos[j] - pos[i] + 1, j - i + 1)
+    every = F.sequence(F.lit(0), F.size(pos) - 1)
+    reach = F.transform(every, lambda i: F.when(i + least <= F.size(pos), F.array_max(F.filter(
+        F.sequence(i + least - 1, F.size(pos) - 1), lambda j: chance(i, j) < pvalue))))
+
+    def found(reach):
+        starts = F.filter(every, lambda i: reach[i].isNotNull() & (F.coalesce(F.array_max(F.slice(reach, F.lit(1), i)), F.lit(-1)) < i))
+        inside = F.filter(every, lambda x: F.array_max(F.slice(reach, F.lit(1), x + 1)) >= x)
+        return F.struct(F.size(starts).alias("n"), F.transform(inside, lambda x: pos[x]).alias("members"),
+                        F.aggregate(starts, F.lit(1.0), lambda a, i: a * chance(i, reach[i])).alias("probability"))
 
+    return let(reach, found)
+
+
+def cluster_edits(alignments: DataFrame, pvalue: float, min_size: int) -> DataFrame:
+    """Clusters of A>G / T>C (real) and G>A / C>T (control) edits along each alignment.
+
+    A cluster holds at least `min_size` edits of one kind and no other mismatch
+    between them, so it lies in one island of equal edits. All is found inside
+    the alignment's row; positions are addresses in the reference string.
+    """
     rows = alignments.where("length(bp_q) > 0 and length(bp_q) = length(bp_r)").select(
-        "query", F.length("bp_q").alias("len"),
-        let(_pair(), mismatches).alias("mm")).where(F.size("mm") >= min_size)
-    flat = rows.select("query", "len", F.col("mm.i").alias("pos"), F.col("mm.t").alias("kind"))
-
-    def scan(batches):
-        for pdf in batches:
-            out = []
-            for query, length, pos, kind in zip(pdf["query"], pdf["len"], pdf["pos"], pdf["kind"]):
-                pos, kind = list(pos), list(kind)
-                n = {t: kind.count(t) for t in ("ag", "ga", "tc", "ct")}
-                for t, control in (("ag", 0), ("tc", 0), ("ga", 1), ("ct", 1)):
-                    own = [j for j, k in enumerate(kind) if k == t]
-                    p = (sum(n.values()) - n[t]) / (3 * length)
-                    members, product, count = _greedy([pos[j] for j in own], own, p, pvalue, min_size)
-                    if count:
-                        out.append((query, t, control, product, count, len(members),
-                                    " ".join(str(pos[own[x]]) for x in members), len(own), len(kind)))
-            yield pd.DataFrame(out, columns=[f.name for f in _CLUSTER.fields])
-
-    return flat.mapInPandas(scan, _CLUSTER)
+        "query", F.length("bp_q").alias("len"), let(_pair(), _mismatches).alias("mm")).where(F.size("mm") >= min_size)
+    kinds = F.array(*[F.struct(F.lit(e).alias("edit"), F.lit(c).alias("control")) for e, c in CLUSTERED])
+    each = settle(rows.withColumn("islands", _islands(F.col("mm"))), "mm", "islands").select("query", "len", "mm", "islands", F.inline(kinds))
+    count = lambda keep: F.size(F.filter("mm", keep))
+    other = count(lambda m: m["edit"].isin([e for e, _ in CLUSTERED]) & (m["edit"] != F.col("edit")))
+    own = F.filter("islands", lambda x: (x["edit"] == F.col("edit")) & (x["n"] >= min_size))
+    each = (each.withColumn("p", other / (3 * F.col("len"))).withColumn("n_edits", count(lambda m: m["edit"] == F.col("edit")))
+            .withColumn("found", F.transform(own, lambda x: _clusters(x["positions"], F.col("p"), pvalue, min_size))))
+    each = settle(each, "found").withColumn("members", F.flatten("found.members")).withColumn(
+        "n_clusters", F.aggregate("found.n", F.lit(0), lambda a, n: a + n)).where("n_clusters > 0")
+    return each.select("query", "edit", "control", F.aggregate("found.probability", F.lit(1.0), lambda a, x: a * x).alias("total_probability"),
+                       "n_clusters", F.size("members").alias("n_members"), F.array_join(F.col("members").cast("array<string>"), " ").alias("positions"),
+                       "n_edits", F.size("mm").alias("n_mismatches"))
 
 
 def cluster_probability(df: DataFrame, p: str, n: str, k: str) -> DataFrame:

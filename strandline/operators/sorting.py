@@ -37,10 +37,21 @@ def merge_streams(dfs: list[DataFrame], number: str, then: tuple[str, ...] = ())
     return merge_sorted(*dfs, order=(number, *then))
 
 
-def sort_keep_header(lines: DataFrame, line: str = "line") -> DataFrame:
-    """Header lines (`#…`) first, the rest sorted."""
-    return (lines.withColumn("_body", (~F.col(line).startswith("#")).cast("int"))
-            .orderBy("_body", F.when(F.col("_body") == 1, F.col(line)), line).drop("_body"))
+def numbered(ordered: DataFrame, out: str) -> DataFrame:
+    """1-based place of each row of a sorted table: a count of its own partition's rows, after those of the partitions before."""
+    rows = ordered.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33))
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_part")) - F.col("_n")).alias("_before"))
+    return (rows.join(before, "_part").withColumn(out, F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before") + 1)
+            .drop("_id", "_part", "_before"))
+
+
+def sort_keep_header(lines: DataFrame, line: str = "line", number: str = "line_no") -> DataFrame:
+    """The leading `#` lines in their own order (by `number`), then all other lines sorted."""
+    body = lines.where(~F.col(line).startswith("#")).agg(F.min(number)).scalar()
+    head = F.coalesce(F.col(number) < body, F.lit(True))
+    return (lines.withColumn("_head", F.when(head, F.col(number)))
+            .orderBy(F.col("_head").asc_nulls_last(), line).drop("_head"))
 
 
 def printable_lines(df: DataFrame, text: str = "text", width: int = 100) -> DataFrame:

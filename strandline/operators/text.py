@@ -121,20 +121,29 @@ def file_checksums(df: DataFrame, algo: str = "md5", content: str = "content", f
 
 
 def checksum_of_checksums(df: DataFrame, group: str, order: str, checksum: str = "checksum") -> DataFrame:
-    """Hash of the ordered checksums of each group, and over all groups (`group` NULL).
+    """md5 of the joined checksums of each group in order, and of all groups' (`group` NULL).
 
-    A group of any size is first reduced in slices of the order column: each
-    slice hashes its own checksums, then the slices' hashes are hashed.
+    A cell holds one checksum per file, not the files; `checksum_tree` is for lists too long for that.
+    """
+    def fold(by, *keys):
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*keys, checksum))), lambda s: s[checksum]), "")
+        return df.groupBy(*by).agg(F.md5(joined).alias("checksum"))
+
+    total = fold([], group, order).select(F.lit(None).cast(df.schema[group].dataType).alias(group), "checksum")
+    return fold([group], order).select(group, "checksum").unionByName(total)
+
+
+def checksum_tree(df: DataFrame, group: str, order: str, checksum: str = "checksum", slice_rows: int = 4096) -> DataFrame:
+    """Like `checksum_of_checksums`, but a hash of hashes: each slice of the order column is hashed, then the slices of a group, then the groups.
+
+    Another value than the flat one, for groups of any size.
     """
     def fold(d, by, key, value):
-        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, value))),
-                                          lambda s: s[value]), "")
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda s: s[value]), "")
         return d.groupBy(*by).agg(F.md5(joined).alias("h"))
 
-    sliced = df.withColumn("_slice", F.floor(F.col(order) / 4096))
-    inner = fold(sliced, [group, "_slice"], order, checksum)
+    inner = fold(df.withColumn("_slice", F.floor(F.col(order) / slice_rows)), [group, "_slice"], order, checksum)
     per_group = fold(inner, [group], "_slice", "h").select(group, F.col("h").alias("checksum"))
-    # Over all groups the same way: buckets of the group id, then the buckets.
     spread = per_group.withColumn("_bucket", F.substring(F.md5(F.col(group).cast("string")), 1, 3))
     total = fold(fold(spread, ["_bucket"], group, "checksum"), [], "_bucket", "h")
     return per_group.unionByName(total.select(F.lit(None).cast(df.schema[group].dataType).alias(group), F.col("h").alias("checksum")))

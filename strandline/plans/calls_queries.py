@@ -162,10 +162,10 @@ def _(t):
 
 
 @query("collapse_calls", """
-select chr, pos, 1 as part, concat('alleles ', string_agg(call, '/' order by ord desc, call desc, ref desc), '; ref_allele ',
+select chr, pos, concat('alleles ', string_agg(call, '/' order by ord desc, call desc, ref desc), '; ref_allele ',
   arg_min(ref, (ord, call, ref))) as attributes from $calls group by chr, pos""")
 def _(t):
-    return C.collapse_calls(t.calls, width=WIDTH)
+    return C.collapse_calls(t.calls)
 
 
 @query("site_union", "select distinct chr, pos from $calls union select distinct chr, start_pos from $regions")

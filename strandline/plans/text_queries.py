@@ -129,6 +129,14 @@ def _(t):
 
 
 @query("checksum_of_checksums", """
+select o_custkey as grp, md5(string_agg(md5(cast(o_orderkey as varchar)), '' order by o_orderkey)) as checksum from orders group by 1
+union all select null, md5(string_agg(md5(cast(o_orderkey as varchar)), '' order by o_custkey, o_orderkey)) from orders""")
+def _(t):
+    sums = t.sql("select o_custkey as grp, o_orderkey as ord, md5(cast(o_orderkey as string)) as checksum from {orders}")
+    return X.checksum_of_checksums(sums, "grp", "ord")
+
+
+@query("checksum_tree", """
 with s as (select o_custkey as grp, o_orderkey // 4096 as slice, md5(string_agg(md5(cast(o_orderkey as varchar)), '' order by o_orderkey)) as h
     from orders group by 1, 2),
 g as (select grp, md5(string_agg(h, '' order by slice)) as h from s group by 1),
@@ -136,7 +144,7 @@ b as (select substr(md5(cast(grp as varchar)), 1, 3) as b, md5(string_agg(h, ''
 select grp, h as checksum from g union all select null, md5(string_agg(h, '' order by b)) from b""")
 def _(t):
     sums = t.sql("select o_custkey as grp, o_orderkey as ord, md5(cast(o_orderkey as string)) as checksum from {orders}")
-    return X.checksum_of_checksums(sums, "grp", "ord")
+    return X.checksum_tree(sums, "grp", "ord")
 
 
 @query("compare_checksums", """
@@ -215,9 +223,16 @@ def _(t):
     return O.merge_streams([t.conversations.select("conv_id", "turn", "text"), docs], "conv_id", then=("turn",))
 
 
-@query("sort_keep_header", "select line from $doc_lines")
+@query("sort_keep_header", """
+with l as (select line, doc_id * 100000 + pos as line_no from (select doc_id, unnest(str_split(text, chr(10))) as line, unnest(range(len(str_split(text, chr(10))))) as pos from documents)),
+h as (select case when line_no < 300000 then concat('# ', line) else line end as line, line_no from l),
+m as (select *, line_no < (select min(line_no) from h where not starts_with(line, '#')) as head from h)
+select line, row_number() over (order by case when head then line_no end nulls last, line) as place from m""")
 def _(t):
-    return O.sort_keep_header(t.doc_lines.select("line"))
+    # The first lines become a header.
+    lines = t.sql("select doc_id * 100000 + pos as line_no, line from (select doc_id, posexplode(split(text, '\n')) as (pos, line) from {documents})")
+    lines = lines.withColumn("line", F.when(F.col("line_no") < 300_000, F.concat(F.lit("# "), "line")).otherwise(F.col("line")))
+    return O.numbered(O.sort_keep_header(lines).select("line"), "place")
 
 
 @query("sort_bench", """

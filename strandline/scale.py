@@ -27,14 +27,6 @@ def settle(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*rest, F.inline(F.array(F.struct(*names))))
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """Mark a narrow join side for broadcast after counting that it has at most `rows` rows.
-
-    The count stops at `rows` + 1. A larger side stays as it is and is shuffled.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def running_sum(df: DataFrame, order: str, value: Column, out: str, width: int = SLICE,
                 keys: tuple[str, ...] = ()) -> DataFrame:
     """Inclusive running total of `value` along the integer column `order`.

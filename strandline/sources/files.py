@@ -59,11 +59,9 @@ def write_files(df: DataFrame, path: str, line: str = "line", gzip: bool = False
 def recompress(spark: SparkSession, source: str, target: str, codec: str | None = "gzip") -> None:
     """Rewrite a dataset with `codec` (None decompresses), one folder per input file.
 
-    Files that already are in the wanted form (by their name) are left alone.
+    Files that are in the wanted form already come along as they are.
     """
-    done = r"\.gz$" if codec == "gzip" else r"(?<!\.gz)$"
-    rows = read_files(spark, source).where(~F.col("file").rlike(done))
-    write_files(rows, target, gzip=codec == "gzip", by="file")
+    write_files(read_files(spark, source), target, gzip=codec == "gzip", by="file")
 
 
 def copy_dataset(spark: SparkSession, source: str, target: str, fmt: str = "text") -> None:

@@ -27,7 +27,9 @@ def read_fastq(spark: SparkSession, path: str, pattern: str | None = None) -> Da
 
 
 def fastq_lines(reads: DataFrame) -> DataFrame:
-    return reads.select(F.concat_ws("\n", F.concat(F.lit("@"), "name"), "bases", F.lit("+"), "quals").alias("line"))
+    """Four lines per read; NULL is an empty line."""
+    cell = lambda c: F.coalesce(c, F.lit(""))
+    return reads.select(F.concat_ws("\n", F.concat(F.lit("@"), cell("name")), cell("bases"), F.lit("+"), cell("quals")).alias("line"))
 
 
 def parse_fasta(lines: DataFrame, chunk: int = 1_000_000, width: int = 1 << 16) -> DataFrame:
@@ -200,13 +202,11 @@ def read_table(spark: SparkSession, path: str, mers: tuple[str, ...] | None = No
 
     Only header lines reach the driver; rows are read with the declared schema.
     """
-    head = spark.read.text(path).where(F.col("value").startswith("# field ")).distinct().limit(10_000).collect()
-    order = {r[0]: i for i, r in enumerate(head)}
-    if len(head) > 1:  # restore the order of the header lines
-        numbered = numbered_text(spark, path).where(F.col("line").startswith("# field ")).groupBy("line").agg(F.min("line_no").alias("n"))
-        order = {r["line"]: r["n"] for r in numbered.collect()}
+    # One row per column of the table.
+    head = numbered_text(spark, path).where(F.col("line").startswith("# field ")).groupBy("line").agg(F.min("line_no").alias("n"))
+    order = {r["line"]: r["n"] for r in head.collect()}
     schema = table_schema(sorted(order, key=order.get), mers)
-    return spark.read.schema(schema).option("sep", " ").option("comment", "#").option("quote", '"').csv(path)
+    return spark.read.schema(schema).option("sep", " ").option("comment", "#").option("quote", '"').option("nullValue", ".").csv(path)
 
 
 _NAMES = {T.ByteType: "int8", T.ShortType: "uint8", T.IntegerType: "int32", T.LongType: "int64", T.FloatType: "sfloat",
@@ -214,13 +214,16 @@ _NAMES = {T.ByteType: "int8", T.ShortType: "uint8", T.IntegerType: "int32", T.Lo
 
 
 def write_table(df: DataFrame, path: str, first_line: str) -> None:
-    """The same kind of table: header lines in the first file, rows after it.
+    """The same kind of table: header lines in the first file, rows after it. NULL is written as `.`.
 
     `first_line` is the format line (`#: name-version/text`) the readers of the table expect.
     """
     spark = df.sparkSession
+    strange = [f.name for f in df.schema.fields if type(f.dataType) not in _NAMES]
+    if strange:
+        raise ValueError(f"no type name for columns {strange}")
     fields = [f'# field "{f.name}" "{"uint64" if f.name.startswith("mer") else _NAMES[type(f.dataType)]}"' for f in df.schema.fields]
     header = spark.createDataFrame([("\n".join([first_line, *fields, "#."]),)], "line string").coalesce(1)
     cells = [F.when(F.lit(isinstance(f.dataType, T.StringType) and not f.name.startswith("mer")), F.concat(F.lit('"'), F.col(f.name), F.lit('"')))
              .otherwise(F.col(f.name).cast("string")) for f in df.schema.fields]
-    header.union(df.select(F.concat_ws(" ", *cells).alias("line"))).write.text(path)
+    header.union(df.select(F.concat_ws(" ", *[F.coalesce(c, F.lit(".")) for c in cells]).alias("line"))).write.text(path)

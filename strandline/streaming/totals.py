@@ -19,7 +19,9 @@ def hourly_usage(jobs: DataFrame, lateness: str = "1 day") -> DataFrame:
     """Node-seconds per clock hour of a stream of finished jobs.
 
     Hours older than the watermark (`lateness` behind the newest hour seen) are
-    final and leave the state; jobs reaching further back lose those hours.
+    final and leave the state; jobs reaching further back lose those hours. In
+    `update` mode every hour is written, the newest with what is known so far;
+    `append` mode writes final hours only.
     """
     s = F.unix_timestamp("starttime")
     j = jobs.where("elapsed_s > 0 and nodes > 0").select(s.alias("_s"), (s + F.col("elapsed_s")).alias("_e"), "nodes")

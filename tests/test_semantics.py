@@ -104,12 +104,11 @@ def test_matrix_counts_mirror(t):
         assert x != y or (r.no == 0 and r.starred == 1)
 
 
-def test_collapse_splits_a_hot_position(spark):
+def test_collapse_keeps_a_hot_position_in_one_row(spark):
     df = spark.createDataFrame([("c", 1, "A", "ACGT"[i % 4], i) for i in range(25)] + [("c", 2, "G", "T", 99)], "chr string, pos int, ref string, call string, ord long")
-    got = rows(C.collapse_calls(df, part_rows=10))
-    assert [g[:3] for g in got] == [("c", 1, 1), ("c", 1, 2), ("c", 1, 3), ("c", 2, 1)]
-    assert sum(g[3].split(";")[0].count("/") + 1 for g in got) == 26
-    assert got[0][3] == "alleles C/A/T/G/C/A/T/G/C/A; ref_allele A"
+    got = rows(C.collapse_calls(df))
+    assert [g[:2] for g in got] == [("c", 1), ("c", 2)]
+    assert got[0][2] == "alleles " + "/".join("ACGT"[i % 4] for i in reversed(range(25))) + "; ref_allele A"
 
 
 def test_masks(spark):
@@ -228,6 +227,86 @@ def test_edit_clusters(spark):
     assert [(r.query, r.edit, r.control, r.n_clusters, r.positions) for r in got] == [("q", "ag", 0, 1, "30 32 34 36")]
 
 
+def brute_clusters(positions, ordinals, p, pvalue, least):
+    """Members and number of clusters by testing every stretch."""
+    from math import comb
+    tail = lambda n, k: max(0.0, 1 - sum(comb(n, i) * p ** i * (1 - p) ** (n - i) for i in range(k)))
+    good = [(i, j) for i in range(len(positions)) for j in range(i + least - 1, len(positions))
+            if ordinals[j] - ordinals[i] == j - i and tail(positions[j] - positions[i] + 1, j - i + 1) < pvalue]
+    members = {x for i, j in good for x in range(i, j + 1)}
+    starts = [x for x in members if x - 1 not in members or not any(i < x <= j for i, j in good)]
+    return [positions[x] for x in sorted(members)], len(starts)
+
+
+def test_edit_clusters_against_brute_force(spark):
+    rng = random.Random(12)
+    made = []
+    for k in range(40):
+        ref = "".join(rng.choice("acgt") for _ in range(18))
+        read = "".join(("a" if c == "g" and rng.random() < 0.8 else rng.choice("acgt-") if rng.random() < 0.1 else c) for c in ref)
+        ref = "".join("-" if rng.random() < 0.1 and a != "-" else c for c, a in zip(ref, read))
+        made.append((f"q{k}", read, ref))
+    got = {(r.query, r.edit): (r.positions, r.n_clusters) for r in U.cluster_edits(spark.createDataFrame(made, "query string, bp_q string, bp_r string"), 0.05, 2).collect()}
+    want = {}
+    for name, q, r in made:
+        address, mm = 0, []
+        for a, b in zip(q, r):
+            if a != b and "-" not in (a, b):
+                mm.append((address, a + b))
+            address += b != "-"
+        counted = [e for _, e in mm if e in ("ag", "ga", "tc", "ct")]
+        for e in ("ag", "ga", "tc", "ct"):
+            own = [i for i, (_, x) in enumerate(mm) if x == e]
+            p = (len(counted) - len(own)) / (3 * len(q))
+            members, n = brute_clusters([mm[i][0] for i in own], own, p, 0.05, 2)
+            if n:
+                want[(name, e)] = (" ".join(map(str, members)), n)
+    assert got == want and len(want) > 3
+
+
+def test_kmers_do_not_depend_on_chunks(spark):
+    rng = random.Random(1)
+    seq = "".join(rng.choice("acgt") if rng.random() < 0.9 else "n" * rng.randint(1, 40) for _ in range(300))
+    df = spark.createDataFrame([("c", "nnn" + seq), ("n", "nnnnnn"), ("d", "n" * 30 + "acgt" * 5)], "chr string, seq string")
+    got = [{tuple(r) for r in K.all_kmers(K.chunk_sequences(df, size), 9, size).collect()} for size in (10, 64, 1000)]
+    assert got[0] == got[1] == got[2] and any(k[2] == "acgtacgta" and k[0] == "d" for k in got[0])
+
+
+def test_reference_slices_reach_over_chunks(spark):
+    seq = "".join(random.Random(2).choice("acgt") for _ in range(95))
+    chunks = K.chunk_sequences(spark.createDataFrame([("c", seq)], "chr string, seq string"), 20)
+    df = spark.createDataFrame([("c", i) for i in range(95)], "chr string, pos long")
+    for r in K.reference_slice(df, chunks, 20, F.col("pos"), F.lit(20), "s").collect():
+        assert r.s == seq[r.pos:r.pos + 20]
+    with pytest.raises(Exception, match="longer than a chunk"):
+        K.reference_slice(df, chunks, 20, F.col("pos"), F.lit(21), "s").collect()
+
+
+def test_header_keeps_its_order(spark):
+    lines = ["#: z", "# field b", "# field a", "#.", "m", "#body", "a"]
+    df = spark.createDataFrame(list(enumerate(lines)), "line_no long, line string").repartition(3)
+    assert [r.line for r in O.sort_keep_header(df).collect()] == ["#: z", "# field b", "# field a", "#.", "#body", "a", "m"]
+
+
+def test_checksums_are_hashed_flat(spark):
+    import hashlib
+    df = spark.createDataFrame([("j", 2, "bb"), ("j", 1, "aa"), ("k", 1, "cc")], "job string, ord int, checksum string")
+    got = {r.job: r.checksum for r in X.checksum_of_checksums(df, "job", "ord").collect()}
+    assert got == {"j": hashlib.md5(b"aabb").hexdigest(), "k": hashlib.md5(b"cc").hexdigest(), None: hashlib.md5(b"aabbcc").hexdigest()}
+
+
+def test_equal_regions_stay_apart(spark):
+    chunks = K.chunk_sequences(spark.createDataFrame([("c", "acgtacgtac")], "chr string, seq string"), 3)
+    df = spark.createDataFrame([("c", 1, 4, "+", "r")] * 2, "chr string, start_pos int, end_pos int, strand string, name string")
+    assert [r.seq for r in I.context_slice(df, chunks, 3).collect()] == ["acgt", "acgt"]
+
+
+def test_null_cells_keep_their_place(spark, tmp_path):
+    df = spark.createDataFrame([(1, None, 7), (None, "x", 8)], "a long, b string, c long")
+    M.write_table(df, str(tmp_path / "t"), "#: t-0.1/text")
+    assert sorted(map(tuple, M.read_table(spark, str(tmp_path / "t")).collect()), key=lambda r: r[2]) == [(1, None, 7), (None, "x", 8)]
+
+
 def test_segments_are_stable(spark):
     data = [("chr1", b, 50, 50 if b < 40 else 150) for b in range(80)]
     got = rows(B.cnv_segment(spark.createDataFrame(data, "chr string, bin long, normal long, tumor long"), chunk=16))
@@ -289,12 +368,12 @@ def test_fasta_gaps_advance_the_position(spark):
     assert got == [("one", 0, "acgt"), ("one", 8, "ac"), ("one", 10, "gt"), ("two", 2, "ac")]
 
 
-def test_recompress_leaves_finished_files(spark, tmp_path):
+def test_recompress_takes_finished_files_along(spark, tmp_path):
     src, dst = str(tmp_path / "a"), str(tmp_path / "b")
     spark.range(3).selectExpr("cast(id as string)").coalesce(1).write.text(src)
     spark.range(2).selectExpr("cast(id as string)").coalesce(1).write.mode("append").option("compression", "gzip").text(src)
     L.recompress(spark, src, dst)
-    assert L.read_files(spark, dst, "*.gz").count() == 3
+    assert L.read_files(spark, dst, "*.gz").count() == 5
 
 
 def test_late_jobs_lose_final_hours(spark, tmp_path):
