@@ -10,14 +10,15 @@ import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1  # id behind every document
-# A worker's cache is emptied beyond this many entries.
-CACHE_ENTRIES = 400_000
+# A worker keeps two generations of so many words: a full one becomes the old one, from which words still in use move on.
+CACHE_WORDS = 400_000
 
 _SPACE = re.compile("[\x20\x09-\x0D]+")
-# Characters that str.split takes for white space and the tokenizer doesn't.
-_ODD = re.compile("[\x1c-\x1f]")
-# A word of letters with ASCII punctuation behind it is two pieces to the tokenizer.
-_LETTERS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)\Z")
+# Texts with these are not taken apart further than at spaces: characters that str.split takes for white space and the
+# tokenizer doesn't, a letter whose lower case depends on its place, and what special tokens begin with.
+_ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "Σ", "<|")
+# ASCII punctuation behind a letter: the tokenizer always cuts between them.
+_EDGE = re.compile("[!-&(-/:-@\\[-`{-~](?<=[^\\W\\d_].)", re.S)
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -26,7 +27,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class Encoder:
-    """`encode(text)`: its ids as little-endian unsigned 32-bit bytes. White space separates words for the tokenizer, so ids come word by word."""
+    """`encode_all(texts)`: ids of each text as little-endian unsigned 32-bit bytes. White space separates words for the tokenizer, so ids come word by word."""
 
     def __init__(self, path: str, plain_specials: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -34,43 +35,39 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain_specials
         self.words: dict[str, bytes] = {}
-        self.letters: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.words) + len(words) > CACHE_ENTRIES:
-            self.words.clear()
-            self.letters.clear()
-        split, fresh = {}, set()
-        for word in words:
-            parts = _LETTERS.match(word)
-            if parts:
-                split[word] = (parts[1].lower(), parts[2])
-                fresh.update(x for x in split[word] if x and x not in self.letters)
+    def _learn(self, missing: set[str]) -> None:
+        fresh = []
+        for word in missing:
+            known = self.old.get(word)
+            if known is not None:
+                self.words[word] = known
+            elif word.isalpha():
+                fresh.append(word)
             else:
                 self.words[word] = self._plain(word)
-        fresh = sorted(fresh)
-        for lo in range(0, len(fresh), 500):
+        for lo in range(0, len(fresh), 500):  # words of letters, many at a time
             part = fresh[lo:lo + 500]
             found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids, piece = np.array(found.ids, "<u4"), np.array(found.word_ids, np.int64)
-            cuts = np.append(np.flatnonzero(np.append(True, piece[1:] != piece[:-1])), len(ids))
+            ids, piece = np.array(found.ids, "<u4").tobytes(), np.array(found.word_ids, np.int64)
+            cuts = [0, *(4 * (np.flatnonzero(piece[1:] != piece[:-1]) + 1)).tolist(), len(ids)]
             if len(cuts) == len(part) + 1:
-                self.letters.update((w, ids[a:b].tobytes()) for w, a, b in zip(part, cuts[:-1], cuts[1:]))
+                self.words.update((w, ids[a:b]) for w, a, b in zip(part, cuts, cuts[1:]))
             else:  # a word of several pieces among them
-                self.letters.update((w, self._plain(w)) for w in part)
-        self.words.update((word, self.letters.get(a, b"") + self.letters.get(b, b"")) for word, (a, b) in split.items())
+                self.words.update((w, self._plain(w)) for w in part)
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t.split() if not _ODD.search(t) else _SPACE.split(t)) if t else [] for t in texts]
-        fresh = {w for words in split for w in words if w not in self.words}
-        if fresh:
-            self._learn(fresh)
-            if any(w not in self.words for words in split for w in words):
-                self._learn({w for words in split for w in words} - self.words.keys())
-        return [b"".join([self.words[w] for w in words]) for words in split]
+        if len(self.words) > CACHE_WORDS:
+            self.words, self.old = {}, self.words
+        split = [[] if not t else [w for w in _SPACE.split(t) if w] if any(x in t for x in _ODD) else _EDGE.sub(r" \g<0>", t.lower()).split()
+                 for t in texts]
+        self._learn(set().union(*split).difference(self.words))
+        known = self.words.__getitem__
+        return [b"".join(map(known, words)) for words in split]
 
 
 @lru_cache(maxsize=2)
