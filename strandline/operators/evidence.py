@@ -99,7 +99,11 @@ def allele_freq_join(variants: DataFrame, freq: DataFrame, build: str | None = N
     best = first_row(named.select("name", "freq", "detail", "_o"), ["name"], "_o", last=True).select(
         F.col("name").alias("_name"), F.col("freq").alias("esp_freq"), F.col("detail").alias("esp_detail"))
     key = F.concat("gene", F.lit(" "), "amino_acid_change")
-    return variants.join(best, key == F.col("_name"), "left").drop("_name")
+    # Variants without a name go around the join, so that they don't meet in one partition.
+    named_rows = variants.where(key.isNotNull()).join(best, key == F.col("_name"), "left").drop("_name")
+    kinds = {f.name: f.dataType for f in best.schema.fields}
+    return named_rows.unionByName(variants.where(key.isNull()).withColumns(
+        {c: F.lit(None).cast(kinds[c]) for c in ("esp_freq", "esp_detail")}))
 
 
 def annotate_counts(tumor: DataFrame, normal: DataFrame, repeats: DataFrame) -> DataFrame:

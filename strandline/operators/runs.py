@@ -47,9 +47,14 @@ def alignment_runs(alignments: DataFrame, m: int, n: int) -> DataFrame:
     An edit is the reference and query text within `m` letters of a mismatch;
     only another mismatch breaks a run.
     """
-    row = F.struct(*[c for c in alignments.columns if c != "query"])
-    g = alignments.groupBy("query").agg(F.count(F.col("bp_q")).alias("_n"), F.min_by(row, F.col("bp_q").isNull()).alias("_a"))
-    one = g.select("query", "_n", "_a.*")
+    rest = [c for c in alignments.columns if c != "query"]
+    # Names alone are shuffled to find the repeated ones; only their rows are brought together.
+    repeated = alignments.groupBy(F.col("query").alias("_q")).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("_q")
+    same = F.col("query").eqNullSafe(F.col("_q"))
+    alone = alignments.join(repeated, same, "left_anti").select("query", F.col("bp_q").isNotNull().cast("long").alias("_n"), *rest)
+    groups = alignments.join(repeated, same, "left_semi").groupBy("query").agg(
+        F.count("bp_q").alias("_n"), F.min_by(F.struct(*rest), F.col("bp_q").isNull()).alias("_a")).select("query", "_n", "_a.*")
+    one = alone.unionByName(groups)
     width = 1 + 2 * m
 
     def edits(z):

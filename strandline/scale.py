@@ -27,23 +27,41 @@ def settle(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*rest, F.inline(F.array(F.struct(*names))))
 
 
+# Slices are gathered by FAN into nodes, these again, and so on: enough levels for any 64-bit order.
+FAN = 4096
+LEVELS = 4
+
+
+def _before(totals: DataFrame, keys: list[str]) -> DataFrame:
+    """`_base`: the total `_t` of all earlier slices of (keys, `_slice`), where there is any.
+
+    That is, on every level, the total of the nodes before the slice's own one
+    under the same parent. However sparse the order is, no window holds more
+    than FAN nodes.
+    """
+    nodes = F.inline(F.array(*[F.struct(F.lit(i).alias("_level"), F.floor(F.col("_slice") / FAN ** i).alias("_node")) for i in range(LEVELS + 1)]))
+    parent = F.when(F.col("_level") < LEVELS, F.floor(F.col("_node") / FAN)).otherwise(F.lit(0))
+    earlier = W.partitionBy(*keys, "_level", parent).orderBy("_node").rowsBetween(W.unboundedPreceding, -1)
+    sums = totals.select(*keys, "_t", nodes).groupBy(*keys, "_level", "_node").agg(F.sum("_t").alias("_t"))
+    shift = sums.withColumn("_earlier", F.sum("_t").over(earlier)).where("_earlier <> 0").drop("_t")
+    return (totals.select(*keys, "_slice", nodes).join(shift, [*keys, "_level", "_node"])
+            .groupBy(*keys, "_slice").agg(F.sum("_earlier").alias("_base")))
+
+
 def running_sum(df: DataFrame, order: str, value: Column, out: str, width: int = SLICE,
                 keys: tuple[str, ...] = ()) -> DataFrame:
     """Inclusive running total of `value` along the integer column `order`.
 
     Rows are cut into slices of `width` order values. Totals run inside each
-    slice; the slices' own totals (one row per slice) are accumulated apart and
-    added back, so no task sees more than one slice of rows.
+    slice; the slices' own totals (one row per slice) are accumulated apart, in
+    groups, and added back, so no task sees more than one slice of rows.
     """
     keys = list(keys)
     # One shuffle by slice serves the window, the totals and the join back.
     sliced = (df.withColumn("_slice", F.floor(F.col(order) / width)).withColumn("_v", value)
               .repartition(*keys, "_slice"))
     inside = W.partitionBy(*keys, "_slice").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    before = W.partitionBy(*(keys or [F.lit(0)])).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    base = (sliced.groupBy(*keys, "_slice").agg(F.sum("_v").alias("_t"))
-            .select(*keys, "_slice", F.sum("_t").over(before).alias("_base"))
-            .where("_base is not null and _base <> 0"))
+    base = _before(sliced.groupBy(*keys, "_slice").agg(F.sum("_v").alias("_t")), keys)
     return (sliced.withColumn("_in", F.sum("_v").over(inside))
             .join(base, keys + ["_slice"], "left")
             .withColumn(out, F.col("_in") + F.coalesce("_base", F.lit(0)))

@@ -227,6 +227,20 @@ def test_edit_clusters(spark):
     assert [(r.query, r.edit, r.control, r.n_clusters, r.positions) for r in got] == [("q", "ag", 0, 1, "30 32 34 36")]
 
 
+def test_running_sum_of_sparse_ids(spark):
+    """Ids far apart make as many slices as rows; no window may gather them."""
+    ids = [i * 10 ** 9 for i in range(3000)] + [2 ** 62, -5]
+    df = spark.createDataFrame([(i, 1 + i % 3) for i in ids], "ord long, v long")
+    got = {r.ord: r.s for r in scale.running_sum(df, "ord", F.col("v"), "s").collect()}
+    total, want = 0, {}
+    for i in sorted(ids):
+        total += 1 + i % 3
+        want[i] = total
+    assert got == want
+    batches = X.batch(df, 100, "ord").groupBy("batch").count().collect()
+    assert sorted((r.batch, r["count"]) for r in batches) == [(b, 100) for b in range(1, 31)] + [(31, 2)]
+
+
 def brute_clusters(positions, ordinals, p, pvalue, least):
     """Members and number of clusters by testing every stretch."""
     from math import comb
