@@ -173,22 +173,21 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, s
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """`_doc`, `_row`, `doc_id`, `fp` and `component_id` (least id reachable) of every document."""
+    """`_doc`, `_row`, `doc_id`, `fp`, `root` (least fingerprint of the component) and `component_id` (least id reachable) of every document."""
     prints = written(fingerprints(docs, shingle), "fingerprints")
     nodes = written(prints.groupBy("fp").agg(F.min("_doc").alias("least")), "nodes")
     roots = components(near_links(nodes.select("fp"), max_bits))
     rooted = (nodes.join(roots, nodes["fp"] == roots["node"], "left")
               .select("fp", "least", F.coalesce("root", "fp").alias("root")))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    named = rooted.join(ids, "root").select("fp", "component")
+    named = rooted.join(ids, "root").select("fp", "root", "component")
     return prints.join(named, "fp").select(
-        *KEY, doc_id(), "fp", F.when(F.col("component") != NO_ID, F.col("component")).alias("component_id"))
+        *KEY, doc_id(), "fp", "root", F.when(F.col("component") != NO_ID, F.col("component")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, **knobs) -> DataFrame:
-    """The document with the least id of each component; of rows that share that id, the one with the least text hash and fingerprint."""
-    found = near_duplicates(docs, **knobs)
-    first = (found.groupBy(F.coalesce("component_id", F.lit(NO_ID)).alias("c"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("f"))
-             .agg(F.min(F.struct(*KEY)).alias("one")).select(F.col("one._doc").alias("_d"), F.col("one._row").alias("_r")))
+    """The document with the least id of each component; of rows that share that id, the one with the least text hash."""
+    first = (near_duplicates(docs, **knobs).groupBy("root").agg(F.min(F.struct(*KEY)).alias("one"))
+             .select(F.col("one._doc").alias("_d"), F.col("one._row").alias("_r")))
     kept = keyed(docs).join(first, (F.col("_doc") == F.col("_d")) & (F.col("_row") == F.col("_r")))
     return unpacked(kept.dropDuplicates(KEY), docs)
