@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 
-from . import decontamination, lm_scoring, packing, preference, prefix_free, pu_quality, quality_rules, simhash, substring_fm, token_scan
+from . import decontamination, lm_scoring, oracles, packing, preference, prefix_free, pu_quality, quality_rules, simhash, substring_fm, token_scan
 from .rows import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,9 @@ def op4_substring_fm_index(spark, folder):
     return substring_fm.substring_dedup(documents(spark, folder)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+ORACLES["op4_substring_fm_index"] = oracles.SUBSTRING
+
+
 @query
 def op5_prefix_free_parsing(spark, folder):
     return prefix_free.prefix_free_dedup(documents(spark, folder)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -80,6 +83,9 @@ def op9_line_rules(spark, folder):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+ORACLES["op9_line_rules"] = oracles.RULES
+
+
 @query
 def op10_cgk_decontamination(spark, folder):
     return decontamination.leaks(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet")).select(
