@@ -101,23 +101,52 @@ def in_regions(points: DataFrame, regions: DataFrame, margin: int = 0, padding:
     return joined.where(~keep if invert else keep).select(*points.columns)
 
 
+# Bins are gathered by FAN into nodes, these again: a span is cut into few nodes however long it is.
+FAN = 64
+LEVELS = 4
+
+
+def _span_nodes(lo: Column, hi: Column) -> Column:
+    """(level, node) that together cover the bins lo..hi once, the largest nodes that fit."""
+    low = [F.ceil(lo / FAN ** i) for i in range(LEVELS + 1)]
+    top = [F.floor((hi + 1) / FAN ** i) for i in range(LEVELS + 1)]
+    none = F.array().cast("array<bigint>")
+    numbers = lambda x, y: F.when(x < y, F.sequence(x.cast("long"), (y - 1).cast("long"))).otherwise(none)
+    level = lambda i: lambda n: F.struct(F.lit(i).alias("_level"), n.alias("_node"))
+    parts = []
+    for i in range(LEVELS):
+        inner = F.when(low[i + 1] < top[i + 1], F.concat(numbers(low[i], low[i + 1] * FAN), numbers(top[i + 1] * FAN, top[i])))
+        nodes = numbers(low[i], top[i]) if i == LEVELS - 1 else inner.otherwise(numbers(low[i], top[i]))
+        parts.append(F.transform(nodes, level(i)))
+    return F.concat(*parts)
+
+
+def _starts_in_spans(points: DataFrame, spans: DataFrame, start: str, lo: str, hi: str, chr_p: str, chr_s: str, bin_size: int) -> DataFrame:
+    """Pairs of a point and a span whose nodes meet, each once."""
+    at = _bin(start, bin_size)
+    p = points.select("*", F.inline(F.array(*[F.struct(F.lit(i).alias("_level"), F.floor(at / FAN ** i).alias("_node")) for i in range(LEVELS)])))
+    s = spans.where(F.col(lo) <= F.col(hi)).select("*", F.inline(_span_nodes(_bin(lo, bin_size), _bin(hi, bin_size)))).withColumnsRenamed({"_level": "_l", "_node": "_n"})
+    return p.join(s, (F.col(chr_p) == F.col(chr_s)) & (F.col("_level") == F.col("_l")) & (F.col("_node") == F.col("_n"))
+                  & (F.col(start) >= F.col(lo)) & (F.col(start) <= F.col(hi))).drop("_level", "_node", "_l", "_n")
+
+
 def interval_join(left: DataFrame, right: DataFrame, bin_size: int = BIN, chr: str = "chr",
                   left_span=("start_pos", "end_pos"), right_span=("start_pos", "end_pos"),
                   suffix: str = "_r") -> DataFrame:
-    """Pairs of overlapping rows, each once: a pair is kept only in its first common bin.
+    """Pairs of overlapping rows, each once.
 
-    Right columns get `suffix`. The pairs are the result, so their number is
-    the overlap count; AQE splits hot bins on either side.
+    Two spans overlap iff one's start lies in the other: right starts in left
+    spans, and left starts in right spans unless both start alike. Right columns
+    get `suffix`. The pairs are the result, so their number is the overlap
+    count; AQE splits hot nodes on either side.
     """
     ls, le = left_span
     rs, re_ = (c + suffix for c in right_span)
     r = right.select(*[F.col(c).alias(c + suffix) for c in right.columns])
-    lb = left.withColumn("_bin", F.explode(F.sequence(_bin(ls, bin_size), _bin(le, bin_size))))
-    rb = r.withColumn("_rbin", F.explode(F.sequence(_bin(rs, bin_size), _bin(re_, bin_size))))
-    on = ((F.col(chr) == F.col(chr + suffix)) & (F.col("_bin") == F.col("_rbin"))
-          & (F.col(ls) <= F.col(re_)) & (F.col(rs) <= F.col(le))
-          & (F.col("_bin") == F.greatest(_bin(ls, bin_size), _bin(rs, bin_size))))
-    return lb.join(rb, on).drop("_bin", "_rbin", chr + suffix)
+    columns = [*left.columns, *(c for c in r.columns if c != chr + suffix)]
+    ahead = _starts_in_spans(r, left, rs, ls, le, chr + suffix, chr, bin_size).where(F.col(ls) <= F.col(re_))
+    behind = _starts_in_spans(left, r, ls, rs, re_, chr, chr + suffix, bin_size).where((F.col(ls) > F.col(rs)) & (F.col(rs) <= F.col(le)))
+    return ahead.select(*columns).unionByName(behind.select(*columns))
 
 
 def point_in_region(points: DataFrame, regions: DataFrame, margin: int = 0) -> DataFrame:

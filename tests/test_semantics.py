@@ -241,6 +241,19 @@ def test_running_sum_of_sparse_ids(spark):
     assert sorted((r.batch, r["count"]) for r in batches) == [(b, 100) for b in range(1, 31)] + [(31, 2)]
 
 
+def test_long_spans_join_without_fan_out(spark):
+    rng = random.Random(3)
+    spans = lambda n, most: [(f"c{rng.randrange(2)}", i, a := rng.randrange(3_000_000), a + rng.choice([0, 5, 3000, rng.randrange(most)])) for i in range(n)]
+    a, b = spans(120, 2_500_000), spans(120, 2_500_000)
+    b += [(c, 1000 + i, s, e) for c, i, s, e in a[:5]]
+    make = lambda x: spark.createDataFrame(x, "chr string, id int, start_pos long, end_pos long")
+    want = Counter((x[1], y[1]) for x in a for y in b if x[0] == y[0] and x[2] <= y[3] and y[2] <= x[3])
+    got = Counter((r.id, r.id_r) for r in I.interval_join(make(a), make(b), bin_size=100).collect())
+    assert got == want
+    nodes = make(a).select(F.size(I._span_nodes(I._bin("start_pos", 100), I._bin("end_pos", 100))).alias("n")).agg(F.max("n")).first()[0]
+    assert nodes < 3 * 2 * I.FAN
+
+
 def brute_clusters(positions, ordinals, p, pvalue, least):
     """Members and number of clusters by testing every stretch."""
     from math import comb
