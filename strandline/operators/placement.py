@@ -13,8 +13,8 @@ def place_gapped(reads: DataFrame, ref_kmers: DataFrame, k: int, gaps: list[tupl
     """Positions pos0..posM where every read mer matches the reference with at
     most one substitution and k+gmin <= pos[i+1]-pos[i] <= k+gmax.
 
-    `reads` has `id`, optionally `side`, and mer0..merM. Every mer's hits come
-    from an equi-join on the k-mer; they chain by binned position joins per read.
+    `reads` has `id` (with `side`, if there, one row each) and mer0..merM. The
+    first mer's hits come from an equi-join on the k-mer, the others chain by position.
     """
     n = len(gaps) + 1
     keys = [id] + (["side"] if "side" in reads.columns else [])
@@ -23,9 +23,19 @@ def place_gapped(reads: DataFrame, ref_kmers: DataFrame, k: int, gaps: list[tupl
         seeds = reads.select(*keys, F.col(f"mer{i}").alias("mer"))
         return kmer_join(seeds, ref_kmers, k, snps).select(*keys, "chr", F.col("pos").alias(f"pos{i}"))
 
+    # Only the first mer is widened. Behind each hit, the few positions the gap allows are looked up and compared in the row;
+    # a gap with more positions than a mer has neighbours takes the mer's own hits instead.
     out = at(0)
+    places = ref_kmers.select("chr", "pos", "kmer")
     for i, (lo, hi) in enumerate(gaps):
-        out = pairs_within(out, at(i + 1), keys + ["chr"], f"pos{i}", f"pos{i + 1}", k + lo, k + hi)
+        here, there = f"pos{i}", f"pos{i + 1}"
+        if hi - lo > 3 * k:
+            out = pairs_within(out, at(i + 1), keys + ["chr"], here, there, k + lo, k + hi)
+            continue
+        mer = reads.select(*keys, F.lower(f"mer{i + 1}").alias("_mer"))
+        ahead = (out.join(mer, keys).withColumn("pos", F.explode(F.sequence(F.col(here) + k + lo, F.col(here) + k + hi)))
+                 .join(places, ["chr", "pos"]).where(S.mismatches("_mer", "kmer") <= min(snps, 1)))
+        out = ahead.withColumnRenamed("pos", there).drop("_mer", "kmer")
     cols = [f"pos{i}" for i in range(n)]
     if not all_matches:
         out = (out.groupBy(*keys, "chr", cols[-1]).agg(F.min(F.struct(*cols)).alias("_first"))
@@ -160,21 +170,36 @@ def place_split_reads(reads: DataFrame, exons: DataFrame, max_mm: int = 1) -> Da
     seeds = exon_seeds(exons).withColumn("key", F.lower("key"))
     good = reads.where(~F.col("bases").contains("."))
 
-    def half(no: int):
-        s = good.select("read_id", F.lower(F.substr("bases", F.lit(1 + 12 * no), F.lit(12))).alias("mer"))
-        if max_mm == 0:
-            v = s.select("read_id", F.col("mer").alias("key"), F.lit(0).alias("mm"))
-        else:
-            one = neighbours(s, 12, "mer", "key", "_e").withColumn("mm", (F.col("_e") >= 0).cast("int"))
-            v = one.select("read_id", "key", "mm")
-            if max_mm == 2:
-                two = neighbours(one.where("mm = 1").drop("mm"), 12, "key", "_key2", "_e2").where("_e2 > _e").select(
-                    "read_id", F.col("_key2").alias("key"), F.lit(2).alias("mm"))
-                v = v.unionByName(two)
-        return v.join(seeds, "key").select("read_id", "exon", F.col("key").alias(f"key{no}"),
-                                           F.col("mm").alias(f"mm{no}"), F.col("n").alias(f"n{no}"))
-
-    both = half(0).join(half(1), ["read_id", "exon"]).where(F.col("mm0") + F.col("mm1") <= max_mm)
+    def halves(no: int) -> DataFrame:
+        return good.select("read_id", F.lower(F.substr("bases", F.lit(1 + 12 * no), F.lit(12))).alias("mer"))
+
+    def variants(s: DataFrame, least: int, most: int) -> DataFrame:
+        """`key` and `mm`: the rows' mers with `least` to `most` substitutions."""
+        out = s.withColumns({"key": F.col("mer"), "mm": F.lit(0)}) if least == 0 else None
+        if most and out is not None:
+            out = out.where(F.translate("mer", "acgt", "") == "")
+        one = neighbours(s, 12, "mer", "key", "_e").where("_e >= 0").withColumn("mm", F.lit(1)) if most else None
+        if most and least <= 1:
+            out = one.drop("_e") if out is None else out.unionByName(one.drop("_e"))
+        if most == 2:
+            two = (neighbours(one.drop("mm"), 12, "key", "_key2", "_e2").where("_e2 > _e").withColumn("mm", F.lit(2))
+                   .drop("key", "_e", "_e2").withColumnRenamed("_key2", "key"))
+            out = two if out is None else out.unionByName(two)
+        return out
+
+    def named(hits: DataFrame, no: int) -> DataFrame:
+        return hits.withColumnsRenamed({"key": f"key{no}", "mm": f"mm{no}", "n": f"n{no}"}).drop("mer")
+
+    def placed(no: int, first: int, least: int) -> DataFrame:
+        """Hits of one half with up to `first` substitutions, then the other half, with `least` or more, inside the exons found."""
+        hits = named(variants(halves(no), 0, first).join(seeds, "key"), no)
+        rest = variants(hits.join(halves(1 - no), "read_id"), least, max_mm).join(seeds, ["exon", "key"])
+        return named(rest, 1 - no).where(F.col("mm0") + F.col("mm1") <= max_mm)
+
+    # In all at most max_mm: the first half has no more than half of them, or the second has none.
+    both = placed(0, max_mm // 2, 0)
+    if max_mm:
+        both = both.unionByName(placed(1, 0, max_mm))
     per = both.groupBy("read_id").agg(
         F.sum(F.col("n0") * F.col("n1")).alias("n_pairs"),
         F.min(F.struct((F.col("mm0") + F.col("mm1")).alias("mm"), "exon", F.concat("key0", "key1").alias("placed"))).alias("_b"))
