@@ -39,6 +39,13 @@ def _(t):
     return back.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("line").alias("lines"))
 
 
+@query("disk_checksums", "select item_id, md5(concat(text, chr(10))) as checksum, octet_length(encode(concat(text, chr(10)))) as bytes from benchmark")
+def _(t):
+    path = _written(t, t.benchmark.select("item_id", F.col("text").alias("line")), "items", lambda d, p: L.write_files(d, p, gzip=True, by="item_id"))
+    found = L.disk_checksums(t.spark, path, pattern="*.gz", uncompress=True)
+    return found.select(F.regexp_extract("file", "item_id=([0-9]+)", 1).cast("long").alias("item_id"), "checksum", "bytes")
+
+
 @query("numbered_text", "select count(*) as n, max(n) as top, cast(sum(n) as bigint) as total from (select row_number() over (order by item_id) as n from benchmark, unnest(str_split(replace(text, chr(13), ' '), chr(10))))")
 def _(t):
     lines = t.benchmark.select(F.explode(F.split(F.replace("text", F.lit("\r"), F.lit(" ")), "\n")).alias("line"))

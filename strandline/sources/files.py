@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 
@@ -64,6 +66,28 @@ def recompress(spark: SparkSession, source: str, target: str, codec: str | None
     write_files(read_files(spark, source), target, gzip=codec == "gzip", by="file")
 
 
+def disk_files(spark: SparkSession, path: str, pattern: str | None = None, uncompress: bool = False) -> DataFrame:
+    """(file, content, bytes) of each file as it lies on disk, or after gunzip (names ending in .gz)."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    raw = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path).select(F.col("path").alias("file"), "content")
+    if not uncompress:
+        return raw.withColumn("bytes", F.length("content"))
+
+    def gunzip(batches):
+        for batch in batches:
+            names = batch.column("file").to_pylist()
+            content = [gzip.decompress(c) if n.endswith(".gz") else c for n, c in zip(names, batch.column("content").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("file"), pa.array(content, pa.binary())], names=["file", "content"])
+
+    return raw.mapInArrow(gunzip, "file string, content binary").withColumn("bytes", F.length("content"))
+
+
+def disk_checksums(spark: SparkSession, path: str, algo: str = "md5", pattern: str | None = None, uncompress: bool = False) -> DataFrame:
+    """(file, checksum, bytes) of the files of a folder, raw or after gunzip."""
+    from ..operators.text import file_checksums
+    return file_checksums(disk_files(spark, path, pattern, uncompress).withColumn("file", F.struct("file", "bytes")), algo).select("file.*", "checksum")
+
+
 def copy_dataset(spark: SparkSession, source: str, target: str, fmt: str = "text") -> None:
     """The same data written elsewhere."""
     spark.read.format(fmt).load(source).write.format(fmt).save(target)
