@@ -48,17 +48,19 @@ def with_margin(chunks: DataFrame, margin: int) -> DataFrame:
         "chr", "chunk_no", F.concat("seq", F.coalesce("_more", F.lit(""))).alias("seq"))
 
 
-def reference_slice(df: DataFrame, chunks: DataFrame, chunk: int, at, length, out: str, chr: str = "chr") -> DataFrame:
+def reference_slice(df: DataFrame, chunks: DataFrame, chunk: int, at, length, out: str, chr: str = "chr", most: int | None = None) -> DataFrame:
     """Reference letters [at, at + length) (0-based) of each row, shorter only at the end of a sequence.
 
-    Every chunk is glued to its follower first (a join of the reference with
-    itself), so a slice of up to `chunk` letters needs one lookup and no margin.
-    A longer slice is an error.
+    Every chunk is glued to as many followers first as slices of up to `most`
+    letters (a chunk, if not given) may reach, so a slice needs one lookup and no
+    margin. A longer slice is an error.
     """
-    glued = with_margin(chunks.select("chr", "chunk_no", F.left("seq", F.lit(chunk)).alias("seq")), chunk)
-    c = glued.select(F.col("chr").alias("_rchr"), F.col("chunk_no").alias("_no"), F.col("seq").alias("_seq"))
+    most = most or chunk
+    c = (chunks.select("chr", "chunk_no", F.left("seq", F.lit(chunk)).alias("seq"), F.explode(F.sequence(F.lit(0), F.lit(-(-most // chunk)))).alias("_j"))
+         .groupBy(F.col("chr").alias("_rchr"), (F.col("chunk_no") - F.col("_j")).alias("_no"))
+         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_j", "seq"))), lambda x: x["seq"]), "").alias("_seq")))
     a = df.withColumn("_at", at)
-    size = F.when(length <= chunk, length.cast("int")).otherwise(F.raise_error(F.lit("a slice is longer than a chunk of the reference")).cast("int"))
+    size = F.when(length <= most, length.cast("int")).otherwise(F.raise_error(F.lit("a slice is longer than a chunk of the reference")).cast("int"))
     return (a.join(c, (F.col(chr) == F.col("_rchr")) & (F.floor(F.col("_at") / chunk) == F.col("_no")))
             .withColumn(out, F.substr("_seq", (F.col("_at") % chunk + 1).cast("int"), size))
             .drop("_rchr", "_no", "_seq", "_at"))

@@ -273,7 +273,7 @@ def place_four_mers(reads: DataFrame, chunks: DataFrame, chunk: int, k: int = 8,
     first = g.select("chr", (F.col("chunk_no") * chunk + F.col("pos")).alias("pos0"), "w",
                      F.left("kmer", F.lit(k)).alias("mer0"), F.substr("kmer", F.col("w") + 1, F.lit(k)).alias("mer1"))
     placed = reads.join(first, ["mer0", "mer1"])
-    seen = reference_slice(placed, chunks, chunk, F.col("pos0"), F.lit(reach), "_win").withColumn("_b", F.encode("_win", "US-ASCII"))
+    seen = reference_slice(placed, chunks, chunk, F.col("pos0"), F.lit(reach), "_win", most=reach).withColumn("_b", F.encode("_win", "US-ASCII"))
 
     def found(m):
         return F.filter(F.sequence(F.lit(lo), F.lit(hi - 1)), lambda p: F.substring(F.col("_b"), p + 1, F.lit(k)) == F.encode(m, "US-ASCII"))
