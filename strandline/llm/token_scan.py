@@ -88,18 +88,21 @@ def scan_flat(spark: SparkSession, folder: str, end: int = END_OF_TEXT, width: i
 def document_token_counts(docs: DataFrame) -> DataFrame:
     """`doc_id`, `n_tokens`, `file_part`, `start` of every document, counted from flat files written of `docs`.
 
-    The files know no ids: file number and place give the document back, in
-    the order of the partitions that wrote them. A difference in their numbers is an error.
+    The files know no ids: a document is found by its partition, which names
+    the file, and its place in it. `docs` must give the same partitions when it
+    is read again, as tables in files do; a document without a place in the
+    files, or the reverse, is an error.
     """
     spark = docs.sparkSession
     folder = new_path(spark, "flat-tokens")
     write_flat(docs, folder)
-    number = F.regexp_extract("file", r"part-(\d+)-", 1).cast("int")
-    chunk = F.coalesce(F.nullif(F.regexp_extract("file", r"-c(\d+)[^/]*$", 1), F.lit("")).cast("long"), F.lit(0).cast("long"))
+    number = F.regexp_extract("file", r"part-(\d+)-[^/]*$", 1).cast("int")
+    chunk = F.coalesce(F.nullif(F.regexp_extract("file", r"-c(\d+)\.txt$", 1), F.lit("")).cast("long"), F.lit(0).cast("long"))
     counted = scan_flat(spark, folder).select(number.alias("part"), (chunk * DOCS_PER_FILE + F.col("ordinal")).alias("place"), "n_tokens", "start")
     row = F.monotonically_increasing_id()
-    ids = docs.select("doc_id").select("doc_id", F.shiftright(row, 33).cast("int").alias("part"), row.bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))
+    ids = docs.select("doc_id").select("doc_id", F.shiftright(row, 33).cast("int").alias("part"), row.bitwiseAND(F.lit((1 << 33) - 1)).alias("place"),
+                                       F.lit(True).alias("known"))
     joined = ids.join(counted, ["part", "place"], "full")
-    # Every document has its place in the files, and the files hold no other.
-    return joined.select("doc_id", F.coalesce("n_tokens", F.raise_error(F.lit("a document is missing from the token files")).cast("long")).alias("n_tokens"),
+    missing = F.raise_error(F.lit("documents and token files don't match")).cast("long")
+    return joined.select("doc_id", F.when(F.col("known") & F.col("n_tokens").isNotNull(), F.col("n_tokens")).otherwise(missing).alias("n_tokens"),
                          F.col("part").alias("file_part"), "start")
