@@ -148,7 +148,8 @@ def repeated_spans(docs: DataFrame, unit: Unit, index: Callable, split_above: in
     rows = keyed(docs).select(*KEY, "text")
     runs = written(rows.mapInArrow(_runs(unit), "_doc long, _row long, key long, seg long, at int, n int"), "runs")
     per_key = runs.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("_doc").alias("lo"), F.max("_doc").alias("hi"))
-    again = per_key.where("lo < hi" if unit.other_document else "c > 1").select("key")
+    # Written, so that the join behind it has a shuffle on either side and a hot key is split.
+    again = written(per_key.where("lo < hi" if unit.other_document else "c > 1").select("key"), "repeated-keys")
     runs = written(runs.join(again, "key"), "repeated-runs")
     weight = F.min("_doc") if unit.other_document else F.count(F.lit(1))
     classes = written(runs.groupBy("key", "seg").agg(weight.alias("weight"), F.min(F.struct(*KEY, "at", "n")).alias("one")), "classes")
@@ -168,7 +169,7 @@ def repeated_spans(docs: DataFrame, unit: Unit, index: Callable, split_above: in
              .groupBy("shard").applyInArrow(_shard(unit, index), "key long, seg long, off int, n int"))
     hot = cut.where("hot").select("key", "seg", "weight", "off", "hash")
     total = F.min("weight") if unit.other_document else F.sum("weight")
-    totals = hot.groupBy("key", "hash").agg(total.alias("total"))
+    totals = written(hot.groupBy("key", "hash").agg(total.alias("total")), "window-totals")
     found_hot = (hot.join(totals, ["key", "hash"]).where(F.col("total") < F.col("weight") if unit.other_document else F.col("total") > 1)
                  .select("key", "seg", "off", F.lit(1).alias("n")))
     found = found.union(found_hot).select("key", "seg", F.col("off").alias("off"), F.col("n").alias("m"))
