@@ -8,34 +8,42 @@ A window of an item's size is embedded by a random walk that copies the word
 under its pointer at every step and moves on by a coin that depends on step
 and word (Chakraborty, Goldenberg, Koucky): close strings stay in step, so few
 of the copied words differ. Each repetition samples a few steps as a key and
-windows and items meet on equal keys; REPETITIONS walks bring the recall to
-its target. Met pairs are verified by a banded edit distance. Before walking,
+windows and items meet on equal keys. How often a walk at the full distance
+meets falls with the size, so each bucket of sizes gets as many repetitions as
+bring RECALL on made-up items of its largest size with edits at its full
+distance; where MOST_REPETITIONS would not do, with fewer samples a key.
+Met pairs are verified by a banded edit distance. Before walking,
 windows are left out only if they cannot match: they start with a word of the
 first words of no item, or hold more words unknown to all items of that size
 than the distance allows.
 
 Items are taken in blocks of bounded size, each a stated query set against all
 documents. Defined results: NULL and empty texts hold nothing; items with
-fewer than MIN_ITEM_WORDS words are never matched; equal items all match.
+fewer than MIN_ITEM_WORDS words allow no edit and are looked up by the hash of
+their words; items without words match nothing; equal items all match.
 Repeated rows of a document give one row per item.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .arrays import mix, split_words, text_chunks, word_hashes
+from .arrays import Rolling, mix, split_words, text_chunks, word_hashes
 from .quality_rules import LOWER
 from .rows import KEY, doc_id, keyed, unpacked
 
 SHARE = 0.2
 MIN_ITEM_WORDS = 5
-REPETITIONS = 24
+# Share of made-up items that a bucket's walks must meet, at the full distance.
+RECALL = 0.97
+TRIALS = 400
 SAMPLES = 4
+MOST_REPETITIONS = 96
 # Words of the items of one block.
 BLOCK_WORDS = 1 << 20
 _TABLE = 1 << 20
@@ -54,47 +62,80 @@ def _hashed(column: pa.Array):
         yield lo, hi, word_hashes(LOWER[data], starts, ends), first
 
 
+def walk(seed: int, repetition: int, samples: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Coins of every step and the sampled steps of one repetition."""
+    rng = np.random.default_rng([seed, repetition])
+    steps = max(samples, 2 * least)
+    coins = rng.integers(1, 1 << 63, steps, dtype=np.uint64) * _U(2) + _U(1)
+    return coins, np.sort(rng.choice(steps, min(samples, steps), replace=False))
+
+
+def embedded(words, start, stop, coins, sampled, sets=None):
+    """Keys after each sampled step. With `sets`, only starts whose keys stay among them go on; gives (which, key)."""
+    at, key, which, keys = start.copy(), np.zeros(len(start), np.uint64), np.arange(len(start)), []
+    for step in range(int(sampled[-1]) + 1):
+        word = np.where(at < stop, words[np.minimum(at, len(words) - 1)], _U(0))
+        found = int(np.searchsorted(sampled, step))
+        if found < len(sampled) and sampled[found] == step:
+            key = mix(key + word * _U(0x9E3779B97F4A7C15) + _U(step))
+            keys.append(key)
+            if sets is not None:
+                place = np.minimum(np.searchsorted(sets[found], key), len(sets[found]) - 1)
+                stay = sets[found][place] == key
+                at, key, which, stop, word = at[stay], key[stay], which[stay], stop[stay], word[stay]
+                if not len(which):
+                    break
+        at = at + ((word * coins[step]) >> _U(63)).astype(np.int64)
+    return keys if sets is None else (which, key)
+
+
+class Exact:
+    """Items of one size that allows no edit."""
+
+    def __init__(self, words: np.ndarray, start: np.ndarray, size: int, item: np.ndarray):
+        self.size, self.item, self.limit = size, item, np.zeros(len(item), np.int64)
+        keys = Rolling(words).slices(start, start + size)
+        self.order = np.argsort(keys, kind="stable")
+        self.keys = keys[self.order]
+
+    def candidates(self, words: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, index of the item) of stretches equal to an item."""
+        start = np.arange(len(words))
+        start = start[start + self.size <= stop]
+        key = Rolling(words).slices(start, start + self.size)
+        lo, hi = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
+        return _matched(start, self.order, lo, hi)
+
+    def verified(self, words: np.ndarray, start: np.ndarray, item: np.ndarray, stop: np.ndarray):
+        return np.zeros(len(start), np.int64), np.full(len(start), self.size)
+
+
+def _matched(start: np.ndarray, order: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """(start, index of the item) for each start and each place lo to hi of the ordered items."""
+    many = hi - lo
+    return np.stack([np.repeat(start, many), order[np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]])
+
+
 class Bucket:
     """Items of similar size, with their keys for every repetition."""
 
     def __init__(self, words: np.ndarray, start: np.ndarray, size: np.ndarray, item: np.ndarray, share: float, seed: int,
-                 repetitions: int, samples: int):
+                 repetitions: int, samples: int, low: int):
         self.words, self.start, self.size, self.item = words, start, size, item
         self.limit = np.floor(share * size + 1e-9).astype(np.int64)
         self.most = int(self.limit.max())
         self.least = int((size - self.limit).min())
-        rng = np.random.default_rng(seed)
-        steps = max(samples, 2 * self.least)
-        self.coins = rng.integers(1, 1 << 63, (repetitions, steps), dtype=np.uint64) * _U(2) + _U(1)
-        self.samples = [np.sort(rng.choice(steps, min(samples, steps), replace=False)) for _ in range(repetitions)]
+        walks = [walk(seed, r, samples, low - int(share * low + 1e-9)) for r in range(repetitions)]
+        self.coins, self.samples = [c for c, _ in walks], [x for _, x in walks]
         self.known, self.heads = np.zeros(_TABLE, bool), np.zeros(_TABLE, bool)
         for a, n, d in zip(start.tolist(), size.tolist(), self.limit.tolist()):
             self.known[words[a:a + n] & _U(_TABLE - 1)] = True
             self.heads[words[a:a + d + 1] & _U(_TABLE - 1)] = True
         stop = start + size
-        self.keys = [self._walk(words, start, stop, r, None) for r in range(repetitions)]
+        self.keys = [embedded(words, start, stop, self.coins[r], self.samples[r]) for r in range(repetitions)]
         self.order = [np.argsort(k[-1], kind="stable") for k in self.keys]
         self.sets = [[np.unique(k) for k in keys] for keys in self.keys]
 
-    def _walk(self, words, start, stop, r, sets):
-        """Keys after each sampled step. With `sets`, only starts whose keys stay among them go on; gives (which, key)."""
-        at, key, which, keys = start.copy(), np.zeros(len(start), np.uint64), np.arange(len(start)), []
-        coins, sampled = self.coins[r], self.samples[r]
-        for step in range(int(sampled[-1]) + 1):
-            word = np.where(at < stop, words[np.minimum(at, len(words) - 1)], _U(0))
-            found = int(np.searchsorted(sampled, step))
-            if found < len(sampled) and sampled[found] == step:
-                key = mix(key + word * _U(0x9E3779B97F4A7C15) + _U(step))
-                keys.append(key)
-                if sets is not None:
-                    place = np.minimum(np.searchsorted(sets[found], key), len(sets[found]) - 1)
-                    stay = sets[found][place] == key
-                    at, key, which, stop, word = at[stay], key[stay], which[stay], stop[stay], word[stay]
-                    if not len(which):
-                        break
-            at = at + ((word * coins[step]) >> _U(63)).astype(np.int64)
-        return keys if sets is None else (which, key)
-
     def candidates(self, words: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, index of the item) of windows that meet an item in some repetition. `stop`: end of each word's row."""
         slot = words & _U(_TABLE - 1)
@@ -106,12 +147,10 @@ class Bucket:
         for r in range(len(self.keys)):
             if not len(start):
                 break
-            which, key = self._walk(words, start, stop[start], r, self.sets[r])
+            which, key = embedded(words, start, stop[start], self.coins[r], self.samples[r], self.sets[r])
             ranked = self.keys[r][-1][self.order[r]]
             lo, hi = np.searchsorted(ranked, key, "left"), np.searchsorted(ranked, key, "right")
-            many = hi - lo
-            item = self.order[r][np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
-            pairs.append(np.stack([np.repeat(start[which], many), item]))
+            pairs.append(_matched(start[which], self.order[r], lo, hi))
         pairs = np.unique(np.concatenate(pairs, axis=1), axis=1) if pairs else np.empty((2, 0), np.int64)
         return pairs[0], pairs[1]
 
@@ -141,9 +180,46 @@ class Bucket:
         return best, length
 
 
-def item_buckets(items: list[tuple[int, str]], share: float = SHARE, repetitions: int = REPETITIONS, samples: int = SAMPLES,
-                 min_words: int = MIN_ITEM_WORDS, seed: int = 11) -> list[Bucket]:
-    """Buckets of one block of items; sizes in a bucket differ by a fifth at most."""
+def edited(rng: np.random.Generator, words: np.ndarray, edits: int) -> np.ndarray:
+    """`words` after so many substitutions, insertions and deletions at different words."""
+    kind = np.full(len(words), -1)
+    kind[rng.choice(len(words), edits, replace=False)] = rng.integers(0, 3, edits)
+    new = rng.integers(1, 1 << 63, len(words), dtype=np.uint64)
+    both = np.stack([np.where(kind == 0, new, words), new], axis=1)
+    return both[np.stack([kind != 2, kind == 1], axis=1)]
+
+
+@lru_cache(maxsize=256)
+def plan(low: int, high: int, share: float, samples: int, seed: int) -> tuple[int, int]:
+    """(repetitions, samples) that meet RECALL of made-up items of `high` words edited at their full distance.
+
+    A bucket of the same seed, sizes and samples walks the same way in its first repetitions.
+    """
+    rng = np.random.default_rng(seed)
+    limit = int(share * high + 1e-9)
+    items = rng.integers(1, 1 << 63, (TRIALS, high), dtype=np.uint64)
+    least = low - int(share * low + 1e-9)
+    texts = [edited(rng, words, limit) for words in items]
+    tails = [rng.integers(1, 1 << 63, high, dtype=np.uint64) for _ in texts]
+    first = np.cumsum([0] + [len(t) + high for t in texts])
+    words = np.concatenate([x for pair in zip(texts, tails) for x in pair])
+    size = np.full(TRIALS, high)
+    for n in range(min(samples, 2 * least), 0, -1):
+        most = MOST_REPETITIONS if n > 1 else 16 * MOST_REPETITIONS
+        met = np.zeros(TRIALS, bool)
+        for r in range(most):
+            coins, sampled = walk(seed, r, n, least)
+            item_keys = embedded(items.ravel(), np.arange(TRIALS) * high, (np.arange(TRIALS) + 1) * high, coins, sampled)[-1]
+            text_keys = embedded(words, first[:-1], first[1:], coins, sampled)[-1]
+            met |= item_keys == text_keys
+            if met.mean() >= RECALL:
+                return r + 1, n
+    return most, n
+
+
+def item_buckets(items: list[tuple[int, str]], share: float = SHARE, repetitions: int | None = None, samples: int = SAMPLES,
+                 min_words: int = MIN_ITEM_WORDS, seed: int = 11) -> list[Bucket | Exact]:
+    """Buckets of one block of items; sizes in a bucket differ by a fifth at most. Stated `repetitions` are taken as they are."""
     ids = np.array([i for i, _ in items], np.int64)
     parts = [(lo, words, first) for lo, _, words, first in _hashed(pa.array([t for _, t in items], pa.string()))]
     if not parts:
@@ -153,11 +229,16 @@ def item_buckets(items: list[tuple[int, str]], share: float = SHARE, repetitions
     start = np.concatenate([f[:-1] + b for (_, _, f), b in zip(parts, base)])
     size = np.concatenate([np.diff(f) for _, _, f in parts])
     out, low = [], min_words
+    for n in range(1, min_words):
+        mine = np.flatnonzero(size == n)
+        if len(mine):
+            out.append(Exact(words, start[mine], n, ids[mine]))
     while len(size) and low <= size.max():
         high = max(low + 1, int(low * 1.2))
         mine = np.flatnonzero((size >= low) & (size < high))
         if len(mine):
-            out.append(Bucket(words, start[mine], size[mine], ids[mine], share, seed + low, repetitions, samples))
+            walks, keyed_by = (repetitions, samples) if repetitions else plan(low, high - 1, share, samples, seed + low)
+            out.append(Bucket(words, start[mine], size[mine], ids[mine], share, seed + low, walks, keyed_by, low))
         low = high
     return out
 

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -307,6 +308,30 @@ def test_decontamination(spark, docs):
     assert decontamination.leaks(table, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [10, 20, 50, 59, 80, 100, 150, 300])
+def test_decontamination_recall_at_the_full_distance(size):
+    """Passages with as many edits as are allowed are found at every size of the item."""
+    rng = random.Random(size)
+    items = [(i, prose(rng, size)) for i in range(100)]
+    texts = []
+    for _, t in items:
+        w = t.split()
+        for at in sorted(rng.sample(range(size), size // 5), reverse=True):
+            w[at:at + 1] = [[f"new{rng.randrange(9999)}"], [w[at], f"new{rng.randrange(9999)}"], []][rng.randrange(3)]
+        texts.append(prose(rng, 20) + " " + " ".join(w) + " " + prose(rng, 20))
+    batch = pa.RecordBatch.from_pydict({"_doc": list(range(100)), "_row": list(range(100)), "text": texts})
+    found = decontamination._search(decontamination.item_buckets(items))(iter([batch]))
+    met = {(d, i) for b in found for d, i in zip(b.column("_doc").to_pylist(), b.column("item").to_pylist())}
+    assert sum((i, i) in met for i, _ in items) >= 90
+
+
+def test_decontamination_of_items_under_five_words(spark):
+    texts = spark.createDataFrame([(1, "a B, c"), (2, "x a b c d y"), (3, "a b x c"), (4, "c d"), (5, None), (6, "")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "A b c"), (2, "a, b c"), (3, "c d"), (4, "y"), (5, "!"), (6, "q r s t")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.distance, r["at"], r.n_words) for r in decontamination.leaks(texts, items).collect()}
+    assert got == {(1, 1, 0, 0, 3), (1, 2, 0, 0, 3), (2, 1, 0, 1, 3), (2, 2, 0, 1, 3), (2, 3, 0, 3, 2), (4, 3, 0, 0, 2), (2, 4, 0, 5, 1)}
+
+
 def test_pu_quality(spark, docs, none):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
