@@ -7,8 +7,8 @@ boilerplate and is removed; a document that keeps too little is rejected.
 Defined results: NULL or empty text has no words, fails the word minimum and
 is rejected. A NULL source is a host of its own. Repeated rows and exact
 copies count once per host, so copies alone never make a line boilerplate.
-Extra columns pass through. Documents are never sampled; a host's limit is a
-share of its texts with a floor, alike at every size.
+Extra columns pass through. Documents are never sampled; the limit is a number
+of texts, alike at every size of a host.
 """
 
 from __future__ import annotations
@@ -25,9 +25,9 @@ from .rows import KEY, doc_id, keyed, unpacked, written
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 REPEAT_WINDOW = 8
-# A line is boilerplate in more than this share of its host's texts, and in more than this many of them.
-MAX_LINE_SHARE = 0.10
-MIN_LINE_TEXTS = 20
+# A line is boilerplate in more than this many texts of its host, however large the host is; a share of them may raise the limit.
+MAX_LINE_SHARE = 0.0
+MIN_LINE_TEXTS = 9
 # A document is depleted if it keeps less than this share of its words.
 MIN_KEPT_SHARE = 0.30
 

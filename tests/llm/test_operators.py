@@ -219,6 +219,19 @@ def test_line_rules(spark, docs, none):
     assert quality_rules.line_rules(none).count() == 0 and quality_rules.apply_line_rules(none).count() == 0
 
 
+def test_repeated_lines_go_in_small_and_large_hosts(spark):
+    """The limit doesn't grow with the host, and a host of few texts can lose a line."""
+    rng = random.Random(12)
+    rows, i = [], 0
+    for host, texts, holders in (("small", 16, 12), ("large", 500, 30), ("natural", 500, 5)):
+        for k in range(texts):
+            rows.append((i, ("Terms of use apply here\n" if k < holders else "") + " ".join(f"v{rng.randint(0, 3000)}" for _ in range(40)), host))
+            i += 1
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    left = [r for r in quality_rules.apply_line_rules(table).collect() if "Terms of use" in r.text]
+    assert {r.source for r in left} == {"natural"} and len(left) == 5
+
+
 def test_packing(docs, none):
     rows = docs.collect()
     tokenizer = Tokenizer.from_file(vocabulary_path())
