@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 
-from . import decontamination, lm_scoring, oracles, packing, preference, prefix_free, pu_quality, quality_rules, simhash, substring_fm, token_scan
+from . import decontamination, lm_scoring, oracles, packing, preference, prefix_free, prefix_trie, pu_quality, quality_rules, simhash, substring_fm, token_scan
 from .rows import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,6 +92,14 @@ def op10_cgk_decontamination(spark, folder):
         "doc_id", "item_id", "distance", "at", "n_words")
 
 
+@query
+def op11_conversation_trie(spark, folder):
+    return prefix_trie.family_trie(spark.read.parquet(f"{folder}/conversations.parquet")).drop("na", "nb")
+
+
+ORACLES["op11_conversation_trie"] = prefix_trie.ORACLE
+
+
 @query
 def pipeline(spark, folder):
     return corpus_pipeline.run(spark, folder)
