@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 
-from . import decontamination, lm_scoring, oracles, packing, preference, prefix_free, prefix_trie, pu_quality, quality_rules, simhash, structure_repair, substring_fm, token_scan
+from . import decontamination, lm_scoring, oracles, packing, preference, prefix_free, prefix_trie, pu_quality, quality_rules, simhash, structure_repair, substring_fm, token_scan, toxicity
 from .rows import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,6 +105,11 @@ def op12_structure_repair(spark, folder):
     return structure_repair.structure_repair(spark.read.parquet(f"{folder}/conversations.parquet"))
 
 
+@query
+def op13_boosted_toxicity(spark, folder):
+    return toxicity.toxicity_scores(documents(spark, folder), labels(spark, folder))
+
+
 @query
 def pipeline(spark, folder):
     return corpus_pipeline.run(spark, folder)
