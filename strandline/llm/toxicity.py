@@ -6,10 +6,11 @@ for letters, stretched letters, single letters in a row). Words are compared
 after folding: lower case, look-alike characters as letters, other characters
 and doubled letters left out; a listed word that only folding shows is counted as disguised.
 
-Beside the fixed lists there is a learned one: words whose presence is tied to
-the label. The labelled sample has three folds; a model takes its words from
-one, its trees from the next and its calibration from the third, and a score is
-the mean of three such models. Words are counted by an aggregate; the driver
+Beside the fixed lists there is a learned one: words and word stems whose
+presence is tied to the label. The labelled sample has three folds; a model
+takes its words from one, its trees from the next, and tells the third its log
+odds, on which the calibration is fitted; a score is the calibrated mean of the
+log odds of three such models. Words are counted by an aggregate; the driver
 gets at most LEARNED words a fold, and the features of the sample.
 
 The sample holds about SAMPLE_ROWS labelled documents of either class (by hash
@@ -37,6 +38,8 @@ LEARNED = 256
 THRESHOLD = 0.7
 FOLDS = 3
 TREES, DEPTH, RATE, BINS = 60, 3, 0.15, 32
+# Bytes of the word stems that may be learned like words.
+STEMS = (4, 5, 6, 7, 8)
 NEAR = 5
 FAR = 50
 
@@ -56,25 +59,37 @@ for _c, _as in zip("013457@$", "oieastas"):
     _FOLD[ord(_c)] = ord(_as)
 
 
-def _kept(data: np.ndarray, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, double: bool) -> np.ndarray:
-    """Hash of each word's letters in `codes` (0: not a letter); 0 where there are none."""
+def _letters(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, double: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letters of `codes` (0: not a letter) without doubled ones, and each word's start and end among them."""
     keep = codes > 0
     if not double and len(codes) > 1:
         keep[1:] &= (codes[1:] != codes[:-1]) | (codes[1:] >= 128)
     before = np.concatenate([[0], np.cumsum(keep)])
-    lo, hi = before[starts], before[ends]
-    full = hi > lo
-    out = np.zeros(len(starts), np.uint64)
-    out[full] = word_hashes(codes[keep], lo[full], hi[full])
+    return codes[keep], before[starts], before[ends]
+
+
+def _hashed(letters: np.ndarray, lo: np.ndarray, hi: np.ndarray, full: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(lo), np.uint64)
+    out[full] = word_hashes(letters, lo[full], hi[full])
     return out
 
 
 def fold_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return _kept(data, _FOLD[data], starts, ends, double=False)
+    """Hash of each word after folding; 0 where no letter is left."""
+    letters, lo, hi = _letters(_FOLD[data], starts, ends, double=False)
+    return _hashed(letters, lo, hi, hi > lo)
+
+
+def fold_stems(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """Folded words, then the stems of longer words: their first bytes, told apart from words of that length."""
+    letters, lo, hi = _letters(_FOLD[data], starts, ends, double=False)
+    stems = [np.where(hi - lo > n, _hashed(letters, lo, np.minimum(hi, lo + n), hi - lo > n) ^ np.uint64(n), np.uint64(0)) for n in STEMS]
+    return [_hashed(letters, lo, hi, hi > lo), *stems]
 
 
 def plain_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return _kept(data, np.where(_LETTER[data], _FOLD[data], 0).astype(np.uint8), starts, ends, double=True)
+    letters, lo, hi = _letters(np.where(_LETTER[data], _FOLD[data], 0).astype(np.uint8), starts, ends, double=True)
+    return _hashed(letters, lo, hi, hi > lo)
 
 
 def _listed(words: list[str], hashes) -> np.ndarray:
@@ -113,7 +128,8 @@ def features(data: np.ndarray, bounds: np.ndarray, learned: list[tuple[np.ndarra
     words = np.maximum(np.diff(first), 1).astype(float)
     size = np.maximum(np.diff(bounds), 1).astype(float)
     owner = np.repeat(np.arange(n), np.diff(bounds))
-    folded, plain = fold_words(data, starts, ends), plain_words(data, starts, ends)
+    stems, plain = fold_stems(data, starts, ends), plain_words(data, starts, ends)
+    folded = stems[0]
     per_word = lambda mask, weight=None: np.bincount(row[mask], None if weight is None else weight[mask], n)
     per_byte = lambda mask: np.bincount(owner[mask], minlength=n)
 
@@ -163,10 +179,11 @@ def features(data: np.ndarray, bounds: np.ndarray, learned: list[tuple[np.ndarra
     run[2:] = alone[2:] & alone[1:-1] & alone[:-2] & (row[2:] == row[:-2])
     columns.append(per_word(run) / words)
     for known, weight in learned:
-        hit = _member(folded, known)
         value = np.zeros(len(starts))
-        if len(known):
-            value[hit] = weight[np.searchsorted(known, folded[hit])]
+        for h in stems if len(known) else ():
+            found = _member(h, known)
+            value[found] = np.maximum(value[found], weight[np.searchsorted(known, h[found])])
+        hit = value > 0
         most = np.zeros(n)
         np.maximum.at(most, row[hit], value[hit])
         columns += [per_word(hit) / words, np.log1p(per_word(hit)), per_word(hit, value) / words, most, *near(hit)]
@@ -257,14 +274,15 @@ def held_out() -> Column:
 
 
 def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct folded words of each document, counted by fold and class within a batch."""
+    """Distinct folded words and stems of each document, counted by fold and class within a batch."""
     for batch in batches:
         for lo, hi, data, bounds in text_chunks(batch.column("text")):
             part = batch.slice(lo, hi - lo)
             kind = part.column("fold").to_numpy() * 2 + part.column("toxic").to_numpy()
             starts, ends, first = split_words(data, bounds)
-            word = fold_words(data, starts, ends)
-            row = np.repeat(np.arange(hi - lo), np.diff(first))
+            stems = fold_stems(data, starts, ends)
+            word = np.concatenate(stems)
+            row = np.tile(np.repeat(np.arange(hi - lo), np.diff(first)), len(stems))
             order = np.lexsort((word, row))
             word, row = word[order], row[order]
             new = np.r_[True, (word[1:] != word[:-1]) | (row[1:] != row[:-1])][:len(word)] & (word > 0)
@@ -332,20 +350,21 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> dict:
     weight = np.where(y == 1, 1 / share[1], 1 / share[0])
     weight = weight / weight.mean()
     common = x.shape[1] - FOLDS * LEARNED_FEATURES
-    models = []
+    models, seen = [], []
     for j in range(FOLDS):
         use = np.r_[np.arange(common), common + j * LEARNED_FEATURES + np.arange(LEARNED_FEATURES)]
         grow, check = fold == (j + 1) % FOLDS, fold == (j + 2) % FOLDS
         if all(0 < y[part].sum() < part.sum() for part in (grow, check)):
             trees = boost(x[grow][:, use], y[grow], weight[grow])
-            models.append((use, trees, isotonic(margins(trees, x[check][:, use]), y[check], weight[check])))
-    return {"learned": learned, "models": models}
+            models.append((use, trees))
+            seen.append((margins(trees, x[check][:, use]), y[check], weight[check]))
+    return {"learned": learned, "models": models, "knots": isotonic(*map(np.concatenate, zip(*seen))) if seen else None}
 
 
 def score_rows(model: dict, x: np.ndarray) -> np.ndarray:
     if not model["models"]:
         return np.zeros(len(x))
-    return np.mean([np.interp(margins(trees, x[:, use]), *knots) for use, trees, knots in model["models"]], axis=0)
+    return np.interp(np.mean([margins(trees, x[:, use]) for use, trees in model["models"]], axis=0), *model["knots"])
 
 
 def _score(model: dict):
