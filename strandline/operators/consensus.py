@@ -37,11 +37,12 @@ def consensus_votes(placed: DataFrame, chunks: DataFrame, chunk: int, n_mers: in
     An ambiguous letter votes for each of its bases.
     """
     mers = F.array(*[F.struct(F.col(f"pos{i}").alias("p"), F.col(f"mer{i}").alias("mer")) for i in range(n_mers)])
-    letters = (placed.select("chr", F.explode(mers).alias("m"))
-               .select("chr", F.col("m.p").alias("p"), F.posexplode(F.split("m.mer", "")).alias("i", "base"))
-               .select("chr", (F.col("p") + F.col("i")).alias("pos"), iupac.mask("base").alias("m")))
-    votes = letters.groupBy("chr", "pos").agg(*[
-        F.least(F.count_if(F.col("m").bitwiseAND(bit) != 0), F.lit(cap)).alias(b.lower()) for b, bit in iupac.BASE_BITS.items()])
+    # Equal mers at a position are counted first, then split into letters.
+    counted = placed.select("chr", F.inline(mers)).groupBy("chr", "p", "mer").agg(F.count(F.lit(1)).alias("c"))
+    letters = (counted.select("chr", "p", "c", F.posexplode(F.split("mer", "")).alias("i", "base"))
+               .select("chr", (F.col("p") + F.col("i")).alias("pos"), "c", iupac.mask("base").alias("m")))
+    total = lambda bit: F.coalesce(F.sum(F.when(F.col("m").bitwiseAND(bit) != 0, F.col("c"))), F.lit(0))
+    votes = letters.groupBy("chr", "pos").agg(*[F.least(total(bit), F.lit(cap)).alias(b.lower()) for b, bit in iupac.BASE_BITS.items()])
     with_ref = reference_slice(votes, chunks, chunk, F.col("pos"), F.lit(1), "_base")
     return with_ref.withColumn("ref_mask", iupac.mask("_base")).drop("_base")
 

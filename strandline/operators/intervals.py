@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..scale import lookup
+
 BIN = 1024
 
 
@@ -122,10 +124,13 @@ def _span_nodes(lo: Column, hi: Column) -> Column:
 
 
 def _starts_in_spans(points: DataFrame, spans: DataFrame, start: str, lo: str, hi: str, chr_p: str, chr_s: str, bin_size: int) -> DataFrame:
-    """Pairs of a point and a span whose nodes meet, each once."""
+    """Pairs of a point and a span whose nodes meet, each once. A point is sent only to the levels that spans as long as these can reach."""
     at = _bin(start, bin_size)
-    p = points.select("*", F.inline(F.array(*[F.struct(F.lit(i).alias("_level"), F.floor(at / FAN ** i).alias("_node")) for i in range(LEVELS)])))
-    s = spans.where(F.col(lo) <= F.col(hi)).select("*", F.inline(_span_nodes(_bin(lo, bin_size), _bin(hi, bin_size)))).withColumnsRenamed({"_level": "_l", "_node": "_n"})
+    some = spans.where(F.col(lo) <= F.col(hi))
+    bins = some.agg(F.max(_bin(hi, bin_size) - _bin(lo, bin_size) + 1)).first()[0] or 1
+    levels = [i for i in range(LEVELS) if i == 0 or FAN ** i <= bins]
+    p = points.select("*", F.inline(F.array(*[F.struct(F.lit(i).alias("_level"), F.floor(at / FAN ** i).alias("_node")) for i in levels])))
+    s = some.select("*", F.inline(_span_nodes(_bin(lo, bin_size), _bin(hi, bin_size)))).withColumnsRenamed({"_level": "_l", "_node": "_n"})
     return p.join(s, (F.col(chr_p) == F.col(chr_s)) & (F.col("_level") == F.col("_l")) & (F.col("_node") == F.col("_n"))
                   & (F.col(start) >= F.col(lo)) & (F.col(start) <= F.col(hi))).drop("_level", "_node", "_l", "_n")
 
@@ -181,7 +186,7 @@ def pileup_columns(calls: DataFrame, alignments: DataFrame, bin_size: int = BIN)
     Counts are combined before the shuffle per (position, base, read start), so
     a deep position costs at most read length x letters rows.
     """
-    index = points_by_bin(calls, bin_size=bin_size)
+    index, _ = lookup(points_by_bin(calls, bin_size=bin_size), "called-positions")
     spread = (alignments
               .withColumn("_b", F.explode(F.sequence(_bin("start_pos", bin_size), _bin("end_pos", bin_size))))
               .join(index, (F.col("chr") == F.col("_chr")) & (F.col("_b") == F.col("_bin"))))

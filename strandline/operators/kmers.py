@@ -1,7 +1,7 @@
 """k-mers of sequences, seed joins and candidate pairs on a reference.
 
 References come as chunks (chr, chunk_no, seq) of fixed size, so no row holds a
-whole chromosome. Joins are equi-joins on the k-mer text; AQE splits the
+whole chromosome. Joins are equi-joins on the k-mer's code; AQE splits the
 partitions of low-complexity k-mers.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import seq as S
+from ..scale import lookup
 
 PIECE = 1024
 
@@ -41,25 +42,27 @@ def chunk_sequences(df: DataFrame, chunk: int, chr: str = "chr", seq: str = "seq
             .select("chr", "chunk_no", F.substring("_b", (F.col("chunk_no") * chunk + 1).cast("int"), F.lit(chunk + margin)).cast("string").alias("seq")))
 
 
-def with_margin(chunks: DataFrame, margin: int) -> DataFrame:
-    """Chunks followed by the first `margin` letters of the next chunk (equi-join on the number)."""
-    nxt = chunks.select("chr", (F.col("chunk_no") - 1).alias("chunk_no"), F.left("seq", F.lit(margin)).alias("_more"))
-    return chunks.join(nxt, ["chr", "chunk_no"], "left").select(
-        "chr", "chunk_no", F.concat("seq", F.coalesce("_more", F.lit(""))).alias("seq"))
+def glued(chunks: DataFrame, chunk: int, margin: int) -> DataFrame:
+    """Chunks followed by up to `margin` letters of the chunks after them, as far as these follow on without a hole."""
+    near = -(-margin // chunk)
+    parts = (chunks.select("chr", "chunk_no", F.left("seq", F.lit(chunk)).alias("_part"), F.explode(F.sequence(F.lit(0), F.lit(near))).alias("_j"))
+             .groupBy("chr", (F.col("chunk_no") - F.col("_j")).alias("chunk_no")).agg(F.array_sort(F.collect_list(F.struct("_j", "_part"))).alias("_parts")))
+    # A part counts only if the letters before it are all there.
+    text = F.aggregate("_parts", F.lit(""), lambda done, x: F.when(F.length(done) == x["_j"] * chunk, F.concat(done, x["_part"])).otherwise(done))
+    return parts.select("chr", "chunk_no", F.left(text, F.lit(chunk + margin)).alias("seq")).where("seq <> ''")
 
 
 def reference_slice(df: DataFrame, chunks: DataFrame, chunk: int, at, length, out: str, chr: str = "chr", most: int | None = None) -> DataFrame:
-    """Reference letters [at, at + length) (0-based) of each row, shorter only at the end of a sequence.
+    """Reference letters [at, at + length) (0-based) of each row, shorter only at the end of a sequence or before an absent chunk.
 
     Every chunk is glued to as many followers first as slices of up to `most`
     letters (a chunk, if not given) may reach, so a slice needs one lookup and no
-    margin. A longer slice is an error.
+    margin. A longer slice and a start below 0 are errors; a row whose start lies in no chunk is left out.
     """
     most = most or chunk
-    c = (chunks.select("chr", "chunk_no", F.left("seq", F.lit(chunk)).alias("seq"), F.explode(F.sequence(F.lit(0), F.lit(-(-most // chunk)))).alias("_j"))
-         .groupBy(F.col("chr").alias("_rchr"), (F.col("chunk_no") - F.col("_j")).alias("_no"))
-         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_j", "seq"))), lambda x: x["seq"]), "").alias("_seq")))
-    a = df.withColumn("_at", at)
+    c = glued(chunks, chunk, most).select(F.col("chr").alias("_rchr"), F.col("chunk_no").alias("_no"), F.col("seq").alias("_seq"))
+    start = F.when(at >= 0, at).otherwise(F.raise_error(F.lit("a slice starts before the reference")).cast("long"))
+    a = df.withColumn("_at", start)
     size = F.when(length <= most, length.cast("int")).otherwise(F.raise_error(F.lit("a slice is longer than a chunk of the reference")).cast("int"))
     return (a.join(c, (F.col(chr) == F.col("_rchr")) & (F.floor(F.col("_at") / chunk) == F.col("_no")))
             .withColumn(out, F.substr("_seq", (F.col("_at") % chunk + 1).cast("int"), size))
@@ -71,21 +74,27 @@ def fill_chunks(chunks: DataFrame) -> DataFrame:
     low = chunks.withColumn("seq", F.lower("seq"))
     base = lambda form: F.nullif(F.regexp_extract("seq", form, 1), F.lit(""))
     edges = low.select("chr", "chunk_no", base("^[^acgt]*([acgt])").alias("_first"), base("([acgt])[^acgt]*$").alias("_last"))
-    by = W.partitionBy("chr").orderBy("chunk_no")  # one short row per chunk
-    carried = edges.select("chr", "chunk_no", F.coalesce(
-        F.last("_last", True).over(by.rowsBetween(W.unboundedPreceding, -1)),
-        F.first("_first", True).over(by.rowsBetween(W.currentRow, W.unboundedFollowing))).alias("_carry"))
+    before = W.partitionBy("chr").orderBy("chunk_no").rowsBetween(W.unboundedPreceding, -1)  # one short row per chunk
+    # Only chunks before the first base of all look ahead.
+    lead = edges.groupBy("chr").agg(F.min_by("_first", F.when(F.col("_first").isNotNull(), F.col("chunk_no"))).alias("_lead"))
+    carried = (edges.select("chr", "chunk_no", F.last("_last", True).over(before).alias("_carry")).join(lead, "chr")
+               .select("chr", "chunk_no", F.coalesce("_carry", "_lead").alias("_carry")))
     return low.join(carried, ["chr", "chunk_no"]).select("chr", "chunk_no", F.when(F.col("_carry").isNull(), F.col("seq")).otherwise(
         F.substr(S.fill_ambiguous(F.concat("_carry", "seq")), F.lit(2))).alias("seq"))
 
 
-def all_kmers(chunks: DataFrame, k: int, chunk: int) -> DataFrame:
-    """(chr, pos, kmer) of a chunked reference, windows crossing chunk ends included; the same at every chunk size of at least k - 1."""
-    if k - 1 > chunk:
-        raise ValueError("a k-mer may not reach over a whole chunk")
-    filled = with_margin(fill_chunks(chunks), k - 1)
-    return explode_kmers(filled, k, "seq", ("chr", "chunk_no")).where(F.col("pos") < chunk).select(
-        "chr", (F.col("chunk_no") * chunk + F.col("pos")).alias("pos"), "kmer")
+def all_kmers(chunks: DataFrame, k: int, chunk: int, ahead: int = 0) -> DataFrame:
+    """(chr, pos, kmer) of a chunked reference, windows crossing chunk ends included; the same at every chunk size.
+
+    With `ahead` each row also has up to so many letters that follow the k-mer,
+    so that what lies behind a hit needs no further lookup.
+    """
+    filled = glued(fill_chunks(chunks), chunk, k - 1 + ahead)
+    at = (explode_kmers(filled, k + ahead, "seq", ("chr", "chunk_no"), shorter=ahead).where(F.col("pos") < chunk)
+          .withColumn("pos", F.col("chunk_no") * chunk + F.col("pos")))
+    if not ahead:
+        return at.select("chr", "pos", "kmer")
+    return at.select("chr", "pos", F.left("kmer", F.lit(k)).alias("kmer"), F.substr("kmer", F.lit(k + 1)).alias("ahead", metadata={"letters": ahead}))
 
 
 def gapped_from_windows(windows: DataFrame, k: int, gap_min: int, gap_max: int, gap_pos: int) -> DataFrame:
@@ -128,19 +137,92 @@ def neighbours(df: DataFrame, k: int, mer: str = "mer", variant: str = "variant"
     return each.withColumn(variant, F.when(F.col("_v") == 0, F.col("_m")).otherwise(spelled)).drop("_m", "_n", "_spot", "_v")
 
 
+# Most bits of a seed filter; 2k bits make it exact.
+FILTER_BITS = 28
+
+
+class KmerIndex:
+    """A reference's k-mers under their 2-bit codes (k <= 31), written once.
+
+    A small index is broadcast. Of a large one a bit table is made, an aggregate
+    of fixed size, so that only keys that the reference may have are shuffled.
+    """
+
+    def __init__(self, ref_kmers: DataFrame, k: int):
+        if k > 31:
+            raise ValueError("k-mer codes have at most 31 letters")
+        self.k = k
+        low = F.lower("kmer")
+        rows = ref_kmers.where((F.length("kmer") == k) & (F.translate(low, "acgt", "") == "")).withColumn("_key", S.kmer_code(low)).drop("kmer")
+        self.rows, self.small = lookup(rows, "kmer-index")
+
+    def _slot(self, key):
+        bits = min(FILTER_BITS, 2 * self.k)
+        return key if bits == 2 * self.k else F.pmod(F.xxhash64(key), F.lit(1 << bits))
+
+    def may_have(self, key):
+        """Whether the bit of a key is set."""
+        words = 1 << (min(FILTER_BITS, 2 * self.k) - min(6, 2 * self.k))
+        slot = self._slot(F.col("_key"))
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
+        set_bits = self.rows.select(F.shiftright(slot, 6).alias("w"), one.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+        every = self.rows.sparkSession.range(words).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("b"))
+        table = (set_bits.union(every).groupBy("w").agg(F.bit_or("b").alias("b")).agg(F.sort_array(F.collect_list(F.struct("w", "b"))).alias("t"))
+                 .select(F.transform("t", lambda x: x["b"]).alias("t")).scalar())
+        at = self._slot(key)
+        return F.getbit(F.get(table, F.shiftright(at, 6).cast("int")), (at % 64).cast("int")) == 1
+
+    def hits(self, reads: DataFrame, max_mm: int = 1, mer: str = "mer") -> DataFrame:
+        """(read columns…, chr, pos…, err) for reads whose `mer` is at most `max_mm` (<= 1) substitutions from an indexed one."""
+        if self.small:
+            return widened(reads, self.k, max_mm, mer).join(self.rows, "_key").drop("_key")
+        # Distinct mers are widened and filtered, the reads come back to them by the mer.
+        keys = widened(reads.select(mer).distinct(), self.k, max_mm, mer)
+        return reads.join(keys.where(self.may_have(F.col("_key"))).join(self.rows, "_key").drop("_key"), mer)
+
+
+def widened(reads: DataFrame, k: int, max_mm: int = 1, mer: str = "mer") -> DataFrame:
+    """Reads with the codes `_key` of all mers at most `max_mm` (<= 1) substitutions away and `err`, the changed position or -1.
+
+    A mer with one ambiguous letter gives its four resolutions, with more it gives no row; so `neighbours`, in whole numbers.
+    """
+    low = F.lower(mer)
+    digits = F.translate(low, "acgt", "0123")
+    base = (reads.where(F.length(mer) == k).withColumn("_n", F.length(F.translate(low, "acgt", "")))
+            .withColumn("_code", F.conv(F.regexp_replace(digits, "[^0-3]", "0"), 4, 10).cast("long")))
+    if not max_mm:
+        return base.where("_n = 0").withColumnRenamed("_code", "_key").withColumn("err", F.lit(-1)).drop("_n")
+    # 0 is the mer itself, 1 + 3i + s changes letter i, 3k + 1.. resolve.
+    number = (F.when(F.col("_n") == 0, F.sequence(F.lit(0), F.lit(3 * k))).when(F.col("_n") == 1, F.sequence(F.lit(3 * k + 1), F.lit(3 * k + 4))))
+    spot = F.when(F.col("_n") == 1, F.length(F.regexp_extract(low, "^([acgt]*)", 1)))
+    each = base.withColumn("_spot", spot).withColumn("_v", F.explode(number))
+    v, resolving = F.col("_v"), F.col("_v") > 3 * k
+    err = F.when(v == 0, -1).when(resolving, F.col("_spot")).otherwise(F.floor((v - 1) / 3).cast("int"))
+    change = F.when(v == 0, 0).when(resolving, v - (3 * k + 1)).otherwise((v - 1) % 3 + 1).cast("long")
+    at = F.when(v == 0, 0).otherwise(2 * (k - 1 - F.when(resolving, F.col("_spot")).otherwise(F.floor((v - 1) / 3).cast("int"))))
+    return each.withColumns({"err": err, "_key": F.col("_code").bitwiseXOR(F.call_function("shiftleft", change, at.cast("int")))}).drop("_n", "_code", "_spot", "_v")
+
+
+def mer_codes(mer: str, code: str, ambiguous: str) -> list:
+    """The 2-bit code of a mer, ambiguous letters as 0, and a mask with a bit for each of them."""
+    digits = F.translate(F.lower(mer), "acgt", "0123")
+    number = lambda text: F.conv(text, 4, 10).cast("long")
+    return [number(F.regexp_replace(digits, "[^0-3]", "0")).alias(code),
+            number(F.regexp_replace(F.translate(digits, "123", "000"), "[^0]", "1")).alias(ambiguous)]
+
+
+def code_differences(code, other, ambiguous, k: int):
+    """A bit for each letter in which two codes differ; letters of `ambiguous` always do."""
+    x = code.bitwiseXOR(other)
+    return x.bitwiseOR(F.shiftright(x, 1)).bitwiseAND(F.lit(int("01" * k, 2))).bitwiseOR(ambiguous)
+
+
 def kmer_join(reads: DataFrame, ref_kmers: DataFrame, k: int, max_mm: int = 1, mer: str = "mer") -> DataFrame:
     """Reference hits of each read seed: (read columns…, chr, pos, err), err -1 for exact.
 
-    The neighbours are made on the read side (1 + 3k keys per seed), so the
-    reference is moved once, unexpanded: broadcast when counted small, so that
-    the widened reads need no shuffle, else shuffled by k-mer.
+    The neighbours (1 + 3k keys per seed) are made on the read side, so the reference is moved once, unexpanded.
     """
-    if max_mm:
-        seeds = neighbours(reads, k, mer, "_key")
-    else:
-        seeds = reads.withColumns({"_key": F.lower(mer), "err": F.lit(-1)})
-    ref = ref_kmers.select("chr", "pos", F.col("kmer").alias("_key"))
-    return seeds.join(ref, "_key").drop("_key")
+    return KmerIndex(ref_kmers.select("chr", "pos", "kmer"), k).hits(reads, max_mm, mer)
 
 
 def kmer_members(df: DataFrame, mers: DataFrame, mer: str = "kmer") -> DataFrame:
@@ -164,8 +246,6 @@ def pairs_within(left: DataFrame, right: DataFrame, keys: list[str], left_pos: s
 
 def candidate_pairs(mers: DataFrame, chunks: DataFrame, chunk: int, k: int, gap_lo: int, gap_hi: int, max_letters: int = 2) -> DataFrame:
     """Hit mers `gap_lo`..`gap_hi` letters apart whose gap uses at most `max_letters` bases.
-
-    `chunks` carry a margin of at least `gap_hi` letters.
     """
     a = mers.select("chr", F.col("pos").alias("pos0"), F.col("kmer").alias("mer0"), F.col("err").alias("err0"))
     b = mers.select("chr", F.col("pos").alias("pos1"), F.col("kmer").alias("mer1"), F.col("err").alias("err1"))

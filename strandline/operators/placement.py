@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import iupac, seq as S
-from .kmers import explode_kmers, kmer_join, neighbours, pairs_within, reference_slice
+from ..scale import lookup
+from .kmers import KmerIndex, code_differences, explode_kmers, glued, mer_codes, pairs_within, reference_slice, widened
 
 
 def place_gapped(reads: DataFrame, ref_kmers: DataFrame, k: int, gaps: list[tuple[int, int]], snps: int = 1,
@@ -14,28 +15,44 @@ def place_gapped(reads: DataFrame, ref_kmers: DataFrame, k: int, gaps: list[tupl
     most one substitution and k+gmin <= pos[i+1]-pos[i] <= k+gmax.
 
     `reads` has `id` (with `side`, if there, one row each) and mer0..merM. The
-    first mer's hits come from an equi-join on the k-mer, the others chain by position.
+    first mer's hits come from an equi-join on the k-mer, the others chain by
+    position; `ref_kmers` of `all_kmers(..., ahead=)` need no lookup for that.
     """
     n = len(gaps) + 1
     keys = [id] + (["side"] if "side" in reads.columns else [])
-
-    def at(i):
-        seeds = reads.select(*keys, F.col(f"mer{i}").alias("mer"))
-        return kmer_join(seeds, ref_kmers, k, snps).select(*keys, "chr", F.col("pos").alias(f"pos{i}"))
-
-    # Only the first mer is widened. Behind each hit, the few positions the gap allows are looked up and compared in the row;
-    # a gap with more positions than a mer has neighbours takes the mer's own hits instead.
-    out = at(0)
-    places = ref_kmers.select("chr", "pos", "kmer")
-    for i, (lo, hi) in enumerate(gaps):
-        here, there = f"pos{i}", f"pos{i + 1}"
-        if hi - lo > 3 * k:
-            out = pairs_within(out, at(i + 1), keys + ["chr"], here, there, k + lo, k + hi)
-            continue
-        mer = reads.select(*keys, F.lower(f"mer{i + 1}").alias("_mer"))
-        ahead = (out.join(mer, keys).withColumn("pos", F.explode(F.sequence(F.col(here) + k + lo, F.col(here) + k + hi)))
-                 .join(places, ["chr", "pos"]).where(S.mismatches("_mer", "kmer") <= min(snps, 1)))
-        out = ahead.withColumnRenamed("pos", there).drop("_mer", "kmer")
+    # Only the first mer is widened. The letters behind a hit come with it, if the index has enough of them: the positions the gap
+    # allows are compared in the row. Else they are looked up by position; a gap with more positions than a mer has neighbours takes
+    # the mer's own hits instead.
+    reach = sum(hi + k for _, hi in gaps)
+    has = "ahead" in ref_kmers.columns and ref_kmers.schema["ahead"].metadata.get("letters", 0) >= reach
+    index = KmerIndex(ref_kmers if has else ref_kmers.select("chr", "pos", "kmer"), k)
+
+    def at(i, *more):
+        return index.hits(reads.select(*keys, F.col(f"mer{i}").alias("mer"), *more), snps).drop("mer", "err").withColumnRenamed("pos", f"pos{i}")
+
+    def coded(i):
+        return [*mer_codes(f"mer{i}", f"_c{i}", f"_a{i}"), (F.length(f"mer{i}") == k).alias(f"_ok{i}")]
+
+    if has:
+        out = at(0, *[c for i in range(1, n) for c in coded(i)])
+        for i, (lo, hi) in enumerate(gaps):
+            skip = F.col(f"pos{i}") - F.col("pos0")
+            out = out.withColumn("_g", F.explode(F.sequence(F.lit(lo), F.lit(hi)))).withColumn(f"pos{i + 1}", F.col(f"pos{i}") + k + F.col("_g"))
+            there = F.substr("ahead", (skip + F.col("_g") + 1).cast("int"), F.lit(k))
+            near = F.bit_count(code_differences(S.kmer_code(there), F.col(f"_c{i + 1}"), F.col(f"_a{i + 1}"), k)) <= min(snps, 1)
+            out = out.where(F.col(f"_ok{i + 1}") & (F.length(there) == k) & near).drop("_g")
+    else:
+        out = at(0)
+        places = ref_kmers.select("chr", "pos", "kmer")
+        for i, (lo, hi) in enumerate(gaps):
+            here, there = f"pos{i}", f"pos{i + 1}"
+            if hi - lo > 3 * k:
+                out = pairs_within(out, at(i + 1), keys + ["chr"], here, there, k + lo, k + hi)
+                continue
+            mer = reads.select(*keys, F.lower(f"mer{i + 1}").alias("_mer"))
+            ahead = (out.join(mer, keys).withColumn("pos", F.explode(F.sequence(F.col(here) + k + lo, F.col(here) + k + hi)))
+                     .join(places, ["chr", "pos"]).where(S.mismatches("_mer", "kmer") <= min(snps, 1)))
+            out = ahead.withColumnRenamed("pos", there).drop("_mer", "kmer")
     cols = [f"pos{i}" for i in range(n)]
     if not all_matches:
         out = (out.groupBy(*keys, "chr", cols[-1]).agg(F.min(F.struct(*cols)).alias("_first"))
@@ -47,21 +64,30 @@ def place_gapped(reads: DataFrame, ref_kmers: DataFrame, k: int, gaps: list[tupl
 
 
 def place_report(placements: DataFrame, reads: DataFrame, chunks: DataFrame, chunk: int, k: int, n_mers: int = 2,
-                 gap_letters: int = 32, id: str = "sample") -> DataFrame:
-    """Placements with read mers, reference mers, gap contents, the base before, mismatch positions and count.
+                 gap_letters: int = 32, id: str = "sample", reach: int | None = None) -> DataFrame:
+    """Placements with read mers, reference mers, gap contents, mismatch positions and count.
 
-    `chunks` need a margin of k + gap_letters + 1.
+    With `reach`, the most letters from the first mer's start to the last one's end, all comes from one reference slice per placement.
     """
     keys = [id] + (["side"] if "side" in placements.columns and "side" in reads.columns else [])
     out = placements.join(reads, keys)
+    last = F.col(f"pos{n_mers - 1}")
+    if reach:
+        out = reference_slice(out, chunks, chunk, F.col("pos0"), last - F.col("pos0") + k, "_all", most=reach)
+
+    def cut(out, at, size, name):
+        if not reach:
+            return reference_slice(out, chunks, chunk, at, size, name)
+        return out.withColumn(name, F.substr("_all", (at - F.col("pos0") + 1).cast("int"), size.cast("int")))
+
     for i in range(n_mers):
-        out = reference_slice(out, chunks, chunk, F.col(f"pos{i}"), F.lit(k), f"mer{i}ref")
+        out = cut(out, F.col(f"pos{i}"), F.lit(k), f"mer{i}ref")
         out = out.withColumn(f"snppos{i}", S.first_mismatch(f"mer{i}", f"mer{i}ref"))
         out = out.withColumn(f"mm{i}", S.mismatches(f"mer{i}", f"mer{i}ref"))
     if n_mers > 1:
         size = F.least(F.col("pos1") - F.col("pos0") - k, F.lit(gap_letters))
-        out = reference_slice(out, chunks, chunk, F.col("pos0") + k, size, "gap_seq")
-    return out.withColumn("snps", sum((F.col(f"mm{i}") for i in range(n_mers)), F.lit(0)))
+        out = cut(out, F.col("pos0") + k, size, "gap_seq")
+    return out.drop("_all").withColumn("snps", sum((F.col(f"mm{i}") for i in range(n_mers)), F.lit(0)))
 
 
 def decode_small_gap(code, gap_min: int, gap_max: int):
@@ -165,36 +191,41 @@ def place_split_reads(reads: DataFrame, exons: DataFrame, max_mm: int = 1) -> Da
 
     Both 12-letter halves must seed the same exon with at most `max_mm` (<= 2)
     substitutions in total. U rows carry the exon and the read as placed.
-    Reads containing `.` are skipped.
+    Reads containing `.` are skipped. An ambiguous letter counts as a
+    substitution; over one in an exon there is no seed.
     """
-    seeds = exon_seeds(exons).withColumn("key", F.lower("key"))
+    half = 12
+    low = F.lower("key")
+    seeds = exon_seeds(exons).where(F.translate(low, "acgt", "") == "").select("exon", S.kmer_code("key").alias("_key"), "n")
+    by_key, _ = lookup(seeds, "exon-seeds")
+    # With at most max_mm changes one of max_mm + 1 parts of a half is unchanged: inside a known exon, seeds are found by a part.
+    n_parts = max_mm + 1
+    size = 2 * (half // n_parts)
+    part = lambda code, j: F.shiftright(code, size * (n_parts - 1 - j)).bitwiseAND(F.lit((1 << size) - 1)) + (j << 24)
+    by_part, _ = lookup(by_key.select("exon", F.explode(F.array(*[part(F.col("_key"), j) for j in range(n_parts)])).alias("_part"), "_key", "n"), "exon-parts")
     good = reads.where(~F.col("bases").contains("."))
-
-    def halves(no: int) -> DataFrame:
-        return good.select("read_id", F.lower(F.substr("bases", F.lit(1 + 12 * no), F.lit(12))).alias("mer"))
-
-    def variants(s: DataFrame, least: int, most: int) -> DataFrame:
-        """`key` and `mm`: the rows' mers with `least` to `most` substitutions."""
-        out = s.withColumns({"key": F.col("mer"), "mm": F.lit(0)}) if least == 0 else None
-        if most and out is not None:
-            out = out.where(F.translate("mer", "acgt", "") == "")
-        one = neighbours(s, 12, "mer", "key", "_e").where("_e >= 0").withColumn("mm", F.lit(1)) if most else None
-        if most and least <= 1:
-            out = one.drop("_e") if out is None else out.unionByName(one.drop("_e"))
-        if most == 2:
-            two = (neighbours(one.drop("mm"), 12, "key", "_key2", "_e2").where("_e2 > _e").withColumn("mm", F.lit(2))
-                   .drop("key", "_e", "_e2").withColumnRenamed("_key2", "key"))
-            out = two if out is None else out.unionByName(two)
-        return out
-
-    def named(hits: DataFrame, no: int) -> DataFrame:
-        return hits.withColumnsRenamed({"key": f"key{no}", "mm": f"mm{no}", "n": f"n{no}"}).drop("mer")
+    # Both halves travel with the read, so nothing is shuffled before the placements are counted.
+    mers = good.select("read_id", *[F.lower(F.substr("bases", F.lit(1 + half * i), F.lit(half))).alias(f"mer{i}") for i in (0, 1)])
+    halves = mers.where(f"length(mer0) = {half} and length(mer1) = {half}").select("*", *[c for i in (0, 1) for c in mer_codes(f"mer{i}", f"c{i}", f"a{i}")])
 
     def placed(no: int, first: int, least: int) -> DataFrame:
-        """Hits of one half with up to `first` substitutions, then the other half, with `least` or more, inside the exons found."""
-        hits = named(variants(halves(no), 0, first).join(seeds, "key"), no)
-        rest = variants(hits.join(halves(1 - no), "read_id"), least, max_mm).join(seeds, ["exon", "key"])
-        return named(rest, 1 - no).where(F.col("mm0") + F.col("mm1") <= max_mm)
+        """Hits of one half with up to `first` (<= 1) substitutions, then the other half, with `least` or more, inside the exons found."""
+        hits = widened(halves, half, first, f"mer{no}").withColumn(f"mm{no}", (F.col("err") >= 0).cast("int")).join(by_key, "_key")
+        hits = hits.select("read_id", "exon", F.col("_key").alias(f"key{no}"), f"mm{no}", F.col("n").alias(f"n{no}"),
+                           F.col(f"c{1 - no}").alias("_c"), F.col(f"a{1 - no}").alias("_a"))
+        tried = hits.withColumn("_part", F.explode(F.array(*[part(F.col("_c"), j) for j in range(n_parts)]))).join(by_part, ["exon", "_part"])
+        differs = code_differences(F.col("_c"), F.col("_key"), F.col("_a"), half)
+        changed = lambda j: differs.bitwiseAND(F.lit(((1 << size) - 1) << size * (n_parts - 1 - j))) != 0
+        # A seed counts where its first unchanged part found it.
+        own = F.lit(False)
+        for j in range(n_parts):
+            hit = (F.shiftright("_part", 24) == j) & ~changed(j)
+            for earlier in range(j):
+                hit = hit & changed(earlier)
+            own = own | hit
+        mm = F.bit_count(differs)
+        kept = tried.where(own & (mm >= least) & (mm + F.col(f"mm{no}") <= max_mm)).withColumn(f"mm{1 - no}", mm)
+        return kept.withColumnsRenamed({"_key": f"key{1 - no}", "n": f"n{1 - no}"}).select("read_id", "exon", "key0", "key1", "mm0", "mm1", "n0", "n1")
 
     # In all at most max_mm: the first half has no more than half of them, or the second has none.
     both = placed(0, max_mm // 2, 0)
@@ -202,12 +233,13 @@ def place_split_reads(reads: DataFrame, exons: DataFrame, max_mm: int = 1) -> Da
         both = both.unionByName(placed(1, 0, max_mm))
     per = both.groupBy("read_id").agg(
         F.sum(F.col("n0") * F.col("n1")).alias("n_pairs"),
-        F.min(F.struct((F.col("mm0") + F.col("mm1")).alias("mm"), "exon", F.concat("key0", "key1").alias("placed"))).alias("_b"))
+        F.min(F.struct((F.col("mm0") + F.col("mm1")).alias("mm"), "exon", "key0", "key1")).alias("_b"))
     unique = F.col("n_pairs") == 1
+    text = F.concat(S.kmer_text(F.col("_b.key0"), half), S.kmer_text(F.col("_b.key1"), half))
     return good.join(per, "read_id", "left").select(
         *good.columns, F.when(F.col("n_pairs").isNull(), "0").when(unique, "U").otherwise("N").alias("class"),
         F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"), F.when(unique, F.col("_b.exon")).alias("exon"),
-        F.when(unique, F.col("_b.placed")).alias("placed"), F.when(unique, F.col("_b.mm")).alias("mm"))
+        F.when(unique, text).alias("placed"), F.when(unique, F.col("_b.mm")).alias("mm"))
 
 
 def annotate_bases(placed: DataFrame, exons: DataFrame) -> DataFrame:
@@ -263,12 +295,11 @@ def place_four_mers(reads: DataFrame, chunks: DataFrame, chunk: int, k: int = 8,
 
     `exact` rows have both mers of the second pair 9-10 apart; `mer2`/`mer3`
     rows have one of them, the other marked against the reference at the better
-    of its two distances. All placements are returned. `chunks` need a margin of
-    window[1] + wobble[-1] + 2k letters.
+    of its two distances. All placements are returned.
     """
     lo, hi = window
     reach = hi + wobble[-1] + k
-    w = explode_kmers(chunks, wobble[-1] + k, "seq", ("chr", "chunk_no"), shorter=wobble[-1] - wobble[0]).where(F.col("pos") < chunk)
+    w = explode_kmers(glued(chunks, chunk, wobble[-1] + k), wobble[-1] + k, "seq", ("chr", "chunk_no"), shorter=wobble[-1] - wobble[0]).where(F.col("pos") < chunk)
     g = w.withColumn("w", F.explode(F.array(*[F.lit(x) for x in wobble]))).where(F.length("kmer") >= F.col("w") + k)
     first = g.select("chr", (F.col("chunk_no") * chunk + F.col("pos")).alias("pos0"), "w",
                      F.left("kmer", F.lit(k)).alias("mer0"), F.substr("kmer", F.col("w") + 1, F.lit(k)).alias("mer1"))

@@ -17,16 +17,21 @@ def _duck_kmers(view: str, k: int, name: str = "ref", seq: str = "seq") -> str:
             f"unnest(range(length({seq}) - {k - 1})) as p from {view} where length({seq}) >= {k})")
 
 
-def _ref(t, margin=0):
-    return K.chunk_sequences(t.refs.withColumnRenamed("ref", "chr"), CHUNK, margin=margin)
+def _ref(t):
+    return K.chunk_sequences(t.refs.withColumnRenamed("ref", "chr"), CHUNK)
 
 
-def _ref_kmers(t, k):
-    return K.all_kmers(_ref(t), k, CHUNK)
+def _ref_kmers(t, k, ahead=0):
+    return K.all_kmers(_ref(t), k, CHUNK, ahead)
 
 
-# Two 12-mers of each read, 6 letters apart, both strands.
-add_view("pairs", "select read_id as sample, substr(bases, 1, 12) as mer0, substr(bases, 19, 12) as mer1, 18 as step from <reads> where length(bases) >= 30")
+# Two 12-mers 6 letters apart, at every sixth letter of a read: all its letters are in one pair or more.
+add_view("pairs", """
+select read_id * 2 + i as sample, substr(bases, cast(1 + 6 * i as int), 12) as mer0, substr(bases, cast(19 + 6 * i as int), 12) as mer1
+from (select *, explode(sequence(0L, cast(floor((length(bases) - 30) / 6) as bigint))) as i from <reads> where length(bases) >= 30)""",
+         """
+select read_id * 2 + i as sample, substr(bases, cast(1 + 6 * i as int), 12) as mer0, substr(bases, cast(19 + 6 * i as int), 12) as mer1
+from (select *, unnest(range(cast(floor((length(bases) - 30) / 6) as bigint) + 1)) as i from $reads where length(bases) >= 30)""".replace("$reads", "<reads>"))
 _VARIANTS = """
 (select {id}, mer, mer as variant, -1 as err from {src}
  union all select {id}, mer, concat(left(mer, i), b, substr(mer, i + 2)), i from
@@ -74,7 +79,7 @@ placed as (select a.sample, a.side, a.chr, a.pos as pos0, b.pos as pos1 from hit
 def _placed(t, **kw):
     from ..operators.reads import both_strands
     reads = both_strands(t.pairs.select("sample", "mer0", "mer1"), ["mer0", "mer1"])
-    return reads, P.place_gapped(reads, _ref_kmers(t, 12), 12, [(2, 10)], **kw)
+    return reads, P.place_gapped(reads, _ref_kmers(t, 12, 22), 12, [(2, 10)], **kw)
 
 
 @query("place_gapped", f"with {_SIDES} select * from placed")
@@ -110,7 +115,7 @@ report as (select *, {_first('mer0', 'mer0ref')} as snppos0, {_first('mer1', 'me
 
 def _report(t):
     reads, placed = _placed(t)
-    return P.place_report(placed, reads, _ref(t, 60), CHUNK, 12)
+    return P.place_report(placed, reads, _ref(t), CHUNK, 12, reach=34)
 
 
 @query("place_report", f"with {_REPORT} select *, mm0 + mm1 as snps from report")
@@ -123,18 +128,18 @@ with {_REPORT} select sample, side, chr, pos0, pos1, gap_seq from report
 where cast(contains(gap_seq, 'a') as int) + cast(contains(gap_seq, 'c') as int) + cast(contains(gap_seq, 'g') as int) + cast(contains(gap_seq, 't') as int) <= 2""")
 def _(t):
     from .recipes import two_letter_placement
-    return two_letter_placement(t.pairs.select("sample", "mer0", "mer1"), _ref_kmers(t, 12), _ref(t, 60), CHUNK, 12, (2, 10)).select(
+    return two_letter_placement(t.pairs.select("sample", "mer0", "mer1"), _ref_kmers(t, 12, 22), _ref(t), CHUNK, 12, (2, 10)).select(
         "sample", "side", "chr", "pos0", "pos1", "gap_seq")
 
 
 # Reads cut from the reference itself, with their origin; every third has one changed letter.
 add_view("known_reads", """
-select item_id * 10000 + i as sample, 0 as aside, ref as aref, 5 * i as apos0, 5 * i + 18 as apos1,
+select item_id * 1000000000 + i as sample, 0 as aside, ref as aref, 5 * i as apos0, 5 * i + 18 as apos1,
   substr(seq, cast(5 * i + 1 as int), 12) as mer0,
   case when i % 3 = 0 then concat(translate(substr(seq, cast(5 * i + 19 as int), 1), 'acgt', 'cgta'), substr(seq, cast(5 * i + 20 as int), 11)) else substr(seq, cast(5 * i + 19 as int), 12) end as mer1
 from (select *, explode(sequence(0L, cast(floor((length(seq) - 30) / 5) as bigint))) as i from <refs> where length(seq) >= 30)""",
          """
-select item_id * 10000 + i as sample, 0 as aside, ref as aref, 5 * i as apos0, 5 * i + 18 as apos1,
+select item_id * 1000000000 + i as sample, 0 as aside, ref as aref, 5 * i as apos0, 5 * i + 18 as apos1,
   substr(seq, cast(5 * i + 1 as int), 12) as mer0,
   case when i % 3 = 0 then concat(translate(substr(seq, cast(5 * i + 19 as int), 1), 'acgt', 'cgta'), substr(seq, cast(5 * i + 20 as int), 11)) else substr(seq, cast(5 * i + 19 as int), 12) end as mer1
 from (select *, unnest(range(cast(floor((length(seq) - 30) / 5) as bigint) + 1)) as i from <refs> where length(seq) >= 30)""")
@@ -148,7 +153,7 @@ stats as (select sample, count(*) filter (correct = 1) as correct, count(*) filt
 
 def _checked(t):
     from .recipes import placement_accuracy
-    return placement_accuracy(t.known_reads, _ref_kmers(t, 12), _ref(t, 60), CHUNK, 12, (2, 10))
+    return placement_accuracy(t.known_reads, _ref_kmers(t, 12, 22), _ref(t), CHUNK, 12, (2, 10))
 
 
 @query("check_answer_key", f"with {_CHECKED} select sample, side, snps, chr, pos0, pos1, correct from checked")
@@ -217,7 +222,13 @@ def _(t):
                      t.conversations.selectExpr("conv_id as sample", "cast(length(text) as bigint) as n_chars")])
 
 
-add_view("pairs8", "select read_id as sample, substr(bases, 1, 8) as mer0, substr(bases, 13, 8) as mer1 from <reads> where length(bases) >= 20")
+# Two 8-mers 4 letters apart, at every eighth letter of a read.
+add_view("pairs8", """
+select read_id * 4 + i as sample, substr(bases, cast(1 + 8 * i as int), 8) as mer0, substr(bases, cast(13 + 8 * i as int), 8) as mer1
+from (select *, explode(sequence(0L, cast(floor((length(bases) - 20) / 8) as bigint))) as i from <reads> where length(bases) >= 20)""",
+         """
+select read_id * 4 + i as sample, substr(bases, cast(1 + 8 * i as int), 8) as mer0, substr(bases, cast(13 + 8 * i as int), 8) as mer1
+from (select *, unnest(range(cast(floor((length(bases) - 20) / 8) as bigint) + 1)) as i from <reads> where length(bases) >= 20)""")
 _CAND = f"""k as ({_duck_kmers('$refs', 8)}), h as (select ref as chr, pos, kmer from k where kmer in (select mer0 from $pairs8)),
 c as (select a.chr, a.pos as pos0, b.pos as pos1, a.kmer as mer0, b.kmer as mer1, b.pos - a.pos - 8 as gap, substr(r.seq, a.pos + 9, b.pos - a.pos - 8) as gap_seq
   from h a join h b on a.chr = b.chr and b.pos - a.pos - 8 between 2 and 10 join $refs r on r.ref = a.chr),
@@ -226,7 +237,7 @@ cands as (select * from c where cast(contains(gap_seq, 'a') as int) + cast(conta
 
 def _cands(t):
     hits = K.kmer_members(_ref_kmers(t, 8), t.pairs8.select(F.col("mer0").alias("kmer"))).withColumn("err", F.lit(-1))
-    return K.candidate_pairs(hits, _ref(t, 60), CHUNK, 8, 2, 10)
+    return K.candidate_pairs(hits, _ref(t), CHUNK, 8, 2, 10)
 
 
 @query("candidate_pairs", f"with {_CAND} select *, -1 as err0, -1 as err1 from cands")
@@ -241,12 +252,13 @@ def _(t):
 
 # 24-letter reads on circular exons (the benchmark passages).
 add_view("short_reads", """
-select read_id, case when read_id % 11 = 0 then concat('.', substr(bases, 2, 23)) else
-  concat(substr(bases, 1, 6), substr(bases, 21, 6), substr(bases, 7, 6), substr(bases, 27, 6)) end as bases from <reads> where length(bases) >= 34""")
+select read_id * 2 as read_id, case when read_id % 11 = 0 then concat('.', substr(bases, 2, 23)) else
+  concat(substr(bases, 1, 6), substr(bases, 21, 6), substr(bases, 7, 6), substr(bases, 27, 6)) end as bases from <reads> where length(bases) >= 34
+union all select read_id * 2 + 1, substr(bases, 13, 24) from <reads> where length(bases) >= 36""")
 add_view("exon_reads", """
 select sample as read_id, concat(substr(concat(seq, seq), cast(apos0 + 1 as int), 6), substr(concat(seq, seq), cast(apos0 + 21 as int), 5), 'a', substr(concat(seq, seq), cast(apos0 + 41 as int), 6),
   substr(concat(seq, seq), cast(apos0 + 60 as int), 6)) as bases from <known_reads> join <refs> on ref = aref where length(seq) >= 70
-union all select read_id * 100 + 7, bases from <short_reads>""")
+union all select -1 - read_id, bases from <short_reads>""")
 
 
 def _split_oracle(m):
@@ -348,7 +360,7 @@ select * from ex
 union all select read_id, chr, p, w, 'mer2', p + o, p + o + d, {_mark8('mer3', 'substr(seq, p + o + d + 1, 8)')} from l2
 union all select read_id, chr, p, w, 'mer3', p + o - d, p + o, {_mark8('mer2', 'substr(seq, p + o - d + 1, 8)')} from l3""")
 def _(t):
-    return P.place_four_mers(t.four_mers, _ref(t, 180), CHUNK, window=(40, 120))
+    return P.place_four_mers(t.four_mers, _ref(t), CHUNK, window=(40, 120))
 
 
 add_view("marked_mers", """

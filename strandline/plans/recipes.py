@@ -13,7 +13,7 @@ def two_letter_placement(reads: DataFrame, ref_kmers: DataFrame, chunks: DataFra
     """Both strands, gapped placement, report, two-letter gap filter, sorted by read."""
     both = R.both_strands(reads, ["mer0", "mer1"])
     placed = P.place_gapped(both, ref_kmers, k, [gap])
-    report = P.place_report(placed, both, chunks, chunk, k)
+    report = P.place_report(placed, both, chunks, chunk, k, reach=2 * k + gap[1])
     return R.two_letter_gap(report).orderBy("sample", "chr", "pos0", "pos1", "side")
 
 
@@ -22,7 +22,7 @@ def placement_accuracy(reads: DataFrame, ref_kmers: DataFrame, chunks: DataFrame
     """Reads of known origin: (checked placements, per-read statistics)."""
     key = reads.select("sample", *[c for c in reads.columns if c.startswith("a")])
     both = R.both_strands(reads.select("sample", "mer0", "mer1"), ["mer0", "mer1"])
-    report = P.place_report(P.place_gapped(both, ref_kmers, k, [gap]), both, chunks, chunk, k)
+    report = P.place_report(P.place_gapped(both, ref_kmers, k, [gap]), both, chunks, chunk, k, reach=2 * k + gap[1])
     checked = P.check_answer_key(report.drop("snps").join(key, "sample"))
     return checked, P.placement_read_stats(checked)
 

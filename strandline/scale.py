@@ -9,6 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .session import stored
+
+# A lookup table of at most so many (narrow) rows is broadcast; a larger one is shuffled.
+BROADCAST_ROWS = 1 << 20
 # Order values per slice. Suits row numbers; sparser order columns want a proportionally larger width.
 SLICE = 1 << 20
 
@@ -89,6 +93,17 @@ def rank_in_group(df: DataFrame, keys: list[str], order: str, out: str = "rn",
             .drop("_slice", "_r", "_shift"))
 
 
+def lookup(df: DataFrame, name: str) -> tuple[DataFrame, bool]:
+    """The table written once, marked for broadcast if it was counted small, and whether it was.
+
+    Joining a wide side with an aggregate of unknown size would move the wide
+    side before anything is known; a written table's rows are counted from its footers.
+    """
+    table = stored(df, name)
+    small = table.count() <= BROADCAST_ROWS
+    return (F.broadcast(table) if small else table), small
+
+
 def first_row(df: DataFrame, keys: list[str], order, last: bool = False) -> DataFrame:
     """One row per key: the one with the smallest (or largest) `order`.
 
