@@ -253,13 +253,16 @@ add_view("ref_chunks",
             select doc_id, seq, explode(sequence(0L, cast(floor((length(seq) - 1) / 1000) as bigint))) as i from <seqs> where length(seq) > 0)""",
          """select concat('d', doc_id) as chr, i as chunk_no, substr(seq, cast(1 + 1000 * i as bigint), 1000) as seq from (
             select doc_id, seq, unnest(range(cast(floor((length(seq) - 1) / 1000) as bigint) + 1)) as i from <seqs> where length(seq) > 0)""")
-add_view("doc_calls", """
-select concat('d', cast(l_partkey % 1000 as varchar(20))) as chr, 1 + (l_orderkey * 7 + l_linenumber) % 3000 as pos,
-  substr('ACGT', cast(1 + l_suppkey % 4 as int), 1) as call, l_orderkey * 8 + l_linenumber as ord from <lineitem>""")
-add_view("doc_regions", """
-select concat('d', cast(p_partkey % 1000 as varchar(20))) as chr, 1 + (p_partkey * 37) % 2500 as start_pos,
-  (p_partkey * 37) % 2500 + 10 * p_size as end_pos, p_name as name, case when p_size % 2 = 0 then '+' else '-' end as strand,
-  p_partkey as region_id from <part>""")
+# Calls and regions fall anywhere on any document's sequence.
+_ON_DOCS = "(select *, row_number() over (order by doc_id) - 1 as slot, count(*) over () as slots, length(seq) as letters from <seqs> where length(seq) > 0)"
+add_view("doc_calls", f"""
+select concat('d', cast(doc_id as varchar(20))) as chr, 1 + (l_orderkey * 7919 + l_linenumber * 104729) % letters as pos,
+  substr('ACGT', cast(1 + l_suppkey % 4 as int), 1) as call, l_orderkey * 8 + l_linenumber as ord
+from <lineitem> join {_ON_DOCS} on slot = (l_partkey * 31 + l_orderkey) % slots""")
+add_view("doc_regions", f"""
+select concat('d', cast(doc_id as varchar(20))) as chr, 1 + (p_partkey * 7919) % letters as start_pos,
+  (p_partkey * 7919) % letters + 10 * p_size as end_pos, p_name as name, case when p_size % 2 = 0 then '+' else '-' end as strand,
+  p_partkey as region_id from <part> join {_ON_DOCS} on slot = (p_partkey * 37) % slots""")
 
 
 @query("attach_ref_base", """

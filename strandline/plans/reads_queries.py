@@ -43,8 +43,11 @@ def _(t):
     return t.reads.select("read_id", S.revcomp("bases").alias("rc"))
 
 
-_ARMS = "select read_id, substr(bases, 1, 16) as arm0, substr(bases, 17, 16) as arm1 from {} where length(bases) >= 32"
-add_view("arms", _ARMS.format("<reads>"))
+# Two 16-letter arms at every fourth letter of a read: all its letters are in one arm or more.
+_ARM_ROWS = "select read_id * 2 + i as read_id, substr(bases, cast(1 + 4 * i as int), 16) as arm0, substr(bases, cast(17 + 4 * i as int), 16) as arm1 from (select *, {} as i from {} where length(bases) >= 32)"
+_SPARK_STARTS = "explode(sequence(0L, cast(floor((length(bases) - 32) / 4) as bigint)))"
+_DUCK_STARTS = "unnest(range(cast(floor((length(bases) - 32) / 4) as bigint) + 1))"
+add_view("arms", _ARM_ROWS.format(_SPARK_STARTS, "<reads>"), _ARM_ROWS.format(_DUCK_STARTS, "<reads>"))
 
 
 @query("both_strands", f"select read_id, 0 as side, arm0, arm1 from $arms union all select read_id, 1, {rc('arm1')}, {rc('arm0')} from $arms")
@@ -209,29 +212,46 @@ _RESOLVE = """case when length(translate({0}, 'acgt', '')) = 0 then [{0}]
   when length(translate({0}, 'acgt', '')) = 1 then [regexp_replace({0}, '[^acgt]', x) for x in ['a','c','g','t']] else [] end"""
 
 
+add_view("noisy_arms", _ARM_ROWS.format(_SPARK_STARTS, "<noisy>"), _ARM_ROWS.format(_DUCK_STARTS, "<noisy>"))
+
+
 @query("expand_degenerate", f"""
-with n as (select read_id, substr(bases, 1, 16) as arm0, substr(bases, 17, 16) as arm1 from $noisy where length(bases) >= 32),
+with n as (select * from $noisy_arms),
 a as (select read_id, unnest({_RESOLVE.format('arm0')}) as arm0, arm1 from n)
 select read_id, arm0, unnest({_RESOLVE.format('arm1')}) as arm1 from a""")
 def _(t):
-    return R.expand_degenerate(t.sql("select read_id, substr(bases, 1, 16) as arm0, substr(bases, 17, 16) as arm1 from {noisy} where length(bases) >= 32"))
+    return R.expand_degenerate(t.noisy_arms)
+
+
+# All 12-mers of a read side by side, its last one ending with the read; the same in pieces of 7 (seeds) and 6 letters.
+_PIECES = "select read_id, substr(bases, cast(1 + greatest(least({k} * i, length(bases) - {k}), 0) as int), {k}) as {name} from (select *, {each} as i from <reads>)"
+
+
+def _pieces(view, name, k):
+    add_view(view, _PIECES.format(k=k, name=name, each=f"explode(sequence(0L, cast(floor((length(bases) - 1) / {k}) as bigint)))"),
+             _PIECES.format(k=k, name=name, each=f"unnest(range(cast(floor((length(bases) - 1) / {k}) as bigint) + 1))"))
+
+
+_pieces("mers12", "mer", 12)
+_pieces("mers7", "seed", 7)
+_pieces("mers6", "gap_seq", 6)
 
 
+# Per mer and changed position: the variants are many, their count and ends are few.
 @query("substitute_variants", """
-with m as (select read_id, substr(bases, 1, 12) as mer from $reads where length(bases) >= 12),
-v as (select read_id, mer, i, unnest(['a','c','g','t']) as b from (select *, unnest(range(12)) as i from m))
-select read_id, mer, mer as variant, -1 as err from m
-union all select read_id, mer, concat(left(mer, i), b, substr(mer, i + 2)), i from v where substr(mer, i + 1, 1) <> b""")
+with m as (select mer from $mers12 where length(mer) = 12), v as (select mer, i, unnest(['a','c','g','t']) as b from (select *, unnest(range(12)) as i from m)),
+x as (select mer, mer as variant, -1 as err from m union all select mer, concat(left(mer, i), b, substr(mer, i + 2)), i from v where substr(mer, i + 1, 1) <> b)
+select mer, err, count(*) as n, count(distinct variant) as variants, min(variant) as low, max(variant) as high from x group by 1, 2""")
 def _(t):
-    return R.substitute_variants(t.sql("select read_id, substr(bases, 1, 12) as mer from {reads} where length(bases) >= 12"), 12)
+    return R.substitute_variants(t.mers12.where("length(mer) = 12").select("mer"), 12).groupBy("mer", "err").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("variant").alias("variants"), F.min("variant").alias("low"), F.max("variant").alias("high"))
 
 
 @query("two_letter_gap", """
-with g as (select read_id, substr(bases, 9, 6) as gap_seq from $reads)
-select * from g where cast(contains(gap_seq, 'a') as int) + cast(contains(gap_seq, 'c') as int) + cast(contains(gap_seq, 'g') as int)
+select * from $mers6 where cast(contains(gap_seq, 'a') as int) + cast(contains(gap_seq, 'c') as int) + cast(contains(gap_seq, 'g') as int)
  + cast(contains(gap_seq, 't') as int) <= 2""")
 def _(t):
-    return R.two_letter_gap(t.sql("select read_id, substr(bases, 9, 6) as gap_seq from {reads}"))
+    return R.two_letter_gap(t.mers6)
 
 
 @query("fasta_to_fastq", "select length(bases) as n_bases, concat('@', name, chr(10), bases, chr(10), '+', name, chr(10), repeat('I', length(bases)), chr(10)) as fastq from $reads")
@@ -275,7 +295,7 @@ def _(t):
     return R.kmer_coincidence(t.arms, cap=3)
 
 
-add_view("seeds", "select read_id, substr(bases, 1, 7) as seed from <reads> union all select doc_id, '' from <documents>")
+add_view("seeds", "select read_id, seed from <mers7> union all select doc_id, '' from <documents>")
 
 
 @query("seed_index", """
@@ -315,10 +335,10 @@ def _(t):
 
 
 @query("partition_by_prefix", f"""
-select read_id, 0 as strand, arm0 as mer, substr(arm0, 1, 4) as bin from $arms
-union all select read_id, 1, {rc('arm0')}, substr({rc('arm0')}, 1, 4) from $arms""")
+select read_id, 0 as strand, mer, substr(mer, 1, 4) as bin from $mers12
+union all select read_id, 1, {rc('mer')}, substr({rc('mer')}, 1, 4) from $mers12""")
 def _(t):
-    return O.partition_by_prefix(t.arms.select("read_id", F.col("arm0").alias("mer")))
+    return O.partition_by_prefix(t.mers12)
 
 
 add_view("probe_hits", """

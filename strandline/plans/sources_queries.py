@@ -22,7 +22,7 @@ def _written(t, df, name, writer=None):
 @query("read_files", "select lang as stream, count(*) as n, cast(sum(length(line)) as bigint) as chars from (select lang, unnest(str_split(replace(text, chr(13), ' '), chr(10))) as line from documents) group by 1")
 def _(t):
     lines = t.documents.select("lang", F.explode(F.split(F.replace("text", F.lit("\r"), F.lit(" ")), "\n")).alias("line"))
-    path = _written(t, lines, "files", lambda d, p: L.write_files(d, p, gzip=True, lines_per_file=500, by="lang"))
+    path = _written(t, lines, "files", lambda d, p: L.write_files(d, p, codec="gzip", lines_per_file=500, by="lang"))
     back = L.read_files(t.spark, path).withColumn("stream", F.regexp_extract("stream", "=(.*)$", 1))
     return back.groupBy("stream").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("line")).alias("chars"))
 
@@ -41,7 +41,7 @@ def _(t):
 
 @query("disk_checksums", "select item_id, md5(concat(text, chr(10))) as checksum, octet_length(encode(concat(text, chr(10)))) as bytes from benchmark")
 def _(t):
-    path = _written(t, t.benchmark.select("item_id", F.col("text").alias("line")), "items", lambda d, p: L.write_files(d, p, gzip=True, by="item_id"))
+    path = _written(t, t.benchmark.select("item_id", F.col("text").alias("line")), "items", lambda d, p: L.write_files(d, p, codec="gzip", by="item_id"))
     found = L.disk_checksums(t.spark, path, pattern="*.gz", uncompress=True)
     return found.select(F.regexp_extract("file", "item_id=([0-9]+)", 1).cast("long").alias("item_id"), "checksum", "bytes")
 

@@ -48,22 +48,23 @@ def numbered_text(spark: SparkSession, path: str, pattern: str | None = None) ->
     return lines.join(shift, ["file", "_block"]).select("file", (F.col("_id") + F.col("_shift")).alias("line_no"), "line")
 
 
-def write_files(df: DataFrame, path: str, line: str = "line", gzip: bool = False, lines_per_file: int = 0, by: str | None = None) -> None:
-    """Text output in numbered files of at most `lines_per_file` lines, one folder per `by` value."""
-    writer = df.select(*([by] if by else []), F.col(line)).write.option("maxRecordsPerFile", lines_per_file)
-    if gzip:
-        writer = writer.option("compression", "gzip")
-    if by:
-        writer = writer.partitionBy(by)
+def write_files(df: DataFrame, path: str, line: str = "line", codec: str | None = None, lines_per_file: int = 0, by: str | tuple[str, ...] = ()) -> None:
+    """Text output in files of at most `lines_per_file` lines, compressed by any text codec of Spark, one folder per value of the `by` columns."""
+    keys = [by] if isinstance(by, str) else list(by)
+    writer = df.select(*keys, F.col(line)).write.option("maxRecordsPerFile", lines_per_file)
+    if codec:
+        writer = writer.option("compression", codec)
+    if keys:
+        writer = writer.partitionBy(*keys)
     writer.text(path)
 
 
 def recompress(spark: SparkSession, source: str, target: str, codec: str | None = "gzip") -> None:
-    """Rewrite a dataset with `codec` (None decompresses), one folder per input file.
+    """Rewrite a dataset with `codec` (None decompresses), one folder per input stream and file.
 
     Files that are in the wanted form already come along as they are.
     """
-    write_files(read_files(spark, source), target, gzip=codec == "gzip", by="file")
+    write_files(read_files(spark, source), target, codec=codec, by=("stream", "file"))
 
 
 def disk_files(spark: SparkSession, path: str, pattern: str | None = None, uncompress: bool = False) -> DataFrame:

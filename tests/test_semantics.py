@@ -8,7 +8,7 @@ from pyspark.sql import Window as W, functions as F
 
 from strandline import scale
 from strandline.functions import iupac, seq as S
-from strandline.operators import calls as C, cnv as B, consensus as N, evidence as E, intervals as I, jobs as J, kmers as K, reads as R, runs as U, sorting as O, text as X
+from strandline.operators import calls as C, cnv as B, consensus as N, evidence as E, intervals as I, jobs as J, kmers as K, placement as P, reads as R, runs as U, sorting as O, text as X
 from strandline.plans import registry
 from strandline.plans.catalog import Tables
 from strandline.sources import files as L, formats as M
@@ -412,3 +412,70 @@ def test_late_jobs_lose_final_hours(spark, tmp_path):
         T.run_available(T.hourly_usage(spark.readStream.schema(schema).parquet(src)), out, state)
     got = [(str(r.hour), r.node_seconds) for r in spark.read.parquet(out).orderBy("hour").collect()]
     assert got == [("2024-01-01 00:00:00", 3600), ("2024-01-01 01:00:00", 3600), ("2024-02-01 00:00:00", 7200)]
+
+
+def test_slices_stop_at_absent_chunks(spark):
+    chunks = spark.createDataFrame([("c", 0, "aaaa"), ("c", 2, "gggg"), ("c", 3, "tt")], "chr string, chunk_no long, seq string")
+    ask = lambda lo, n: spark.createDataFrame([("c", lo)], "chr string, pos long").transform(
+        lambda d: K.reference_slice(d, chunks, 4, F.col("pos"), F.lit(n), "s")).collect()
+    assert [r.s for r in ask(0, 4)] == ["aaaa"] and [r.s for r in ask(2, 4)] == ["aa"]
+    assert ask(4, 4) == [] and [r.s for r in ask(8, 4)] == ["gggg"] and [r.s for r in ask(10, 4)] == ["ggtt"] and [r.s for r in ask(13, 4)] == ["t"]
+    with pytest.raises(Exception, match="before the reference"):
+        ask(-1, 3)
+
+
+def test_kmers_ahead_of_a_hit(spark):
+    text = "acgtaccgtagcatcgatgcatgacatcgatcagc"
+    chunks = K.chunk_sequences(spark.createDataFrame([("c", text)], "chr string, seq string"), 5)
+    got = {(r.pos, r.kmer, r.ahead) for r in K.all_kmers(chunks, 4, 5, ahead=9).collect()}
+    assert got == {(i, text[i:i + 4], text[i + 4:i + 13]) for i in range(len(text) - 3)}
+
+
+def test_large_index_is_filtered_and_shuffled(spark, monkeypatch):
+    """Without broadcast: distinct mers are widened, filtered by the bit table and joined; the same hits."""
+
+
+    from strandline import scale
+    rng = random.Random(2)
+    ref = "".join(rng.choice("acgt") for _ in range(3000))
+    reads = [(i, ref[p:p + 8] if i % 2 else ref[p:p + 3] + rng.choice("acgtn") + ref[p + 4:p + 8]) for i, p in enumerate(rng.sample(range(2900), 60))]
+    reads += [(100, None), (101, "acg"), (102, "nnacgtac"), (103, reads[1][1].upper())]
+    df = spark.createDataFrame(reads, "sample long, mer string")
+    kmers = K.all_kmers(K.chunk_sequences(spark.createDataFrame([("c", ref)], "chr string, seq string"), 100), 8, 100)
+    near = lambda a, b: len(a or "") == 8 and sum(x != y for x, y in zip(a.lower(), b)) <= 1
+    want = sorted((i, p) for i, m in reads for p in range(len(ref) - 7) if near(m, ref[p:p + 8]))
+    hits = lambda: sorted((r.sample, r.pos) for r in K.kmer_join(df, kmers, 8).collect())
+    assert hits() == want
+    monkeypatch.setattr(scale, "BROADCAST_ROWS", 0)
+    assert hits() == want
+    monkeypatch.setattr(K, "FILTER_BITS", 10)
+    assert hits() == want
+
+
+def test_split_reads_with_two_changes(spark):
+    rng = random.Random(4)
+    exon = "".join(rng.choice("acgt") for _ in range(90))
+    two = exon + exon
+    make = lambda a, b: two[a:a + 6] + two[a + 20:a + 26] + two[b:b + 6] + two[b + 21:b + 27]
+    change = lambda s, *at: "".join("acgt"["acgt".index(c) ^ 1] if i in at else c for i, c in enumerate(s))
+    reads = [(1, make(3, 40)), (2, change(make(5, 30), 2)), (3, change(make(9, 60), 1, 20)), (4, change(make(9, 60), 1, 5)), (5, change(make(9, 60), 1, 5, 20)),
+             (6, make(0, 10).replace("a", ".")), (7, "n" + make(11, 44)[1:]), (8, "acg")]
+    df = spark.createDataFrame(reads, "read_id long, bases string")
+    exons = spark.createDataFrame([("e", exon)], "exon string, seq string")
+    got = {r.read_id: (r["class"], r.mm) for r in P.place_split_reads(df, exons, 2).collect()}
+    assert got[1] == ("U", 0) and got[2] == ("U", 1) and got[3] == ("U", 2) and got[4] == ("U", 2) and got[5] == ("0", None)
+    assert got[7] == ("U", 1) and got[8] == ("0", None) and 6 not in got
+    assert {r.read_id: r["class"] for r in P.place_split_reads(df, exons, 1).collect()}[3] == "0"
+
+
+def test_recompress_keeps_streams_and_codecs_apart(spark, tmp_path):
+    import bz2
+    import glob
+    src, dst = str(tmp_path / "src"), str(tmp_path / "dst")
+    for folder, line in (("a", "one"), ("b", "two")):
+        (tmp_path / "src" / folder).mkdir(parents=True)
+        (tmp_path / "src" / folder / "r.txt").write_text(f"{line}\n")
+    L.recompress(spark, src, dst, "bzip2")
+    found = {p.split("stream=")[1].split("/")[0]: bz2.open(p).read() for p in glob.glob(f"{dst}/**/*.bz2", recursive=True)}
+    assert found == {"a": b"one\n", "b": b"two\n"}
+    assert not glob.glob(f"{dst}/**/*.txt", recursive=True)
