@@ -13,7 +13,8 @@ bins, and counts of words, lines, symbols, capitals and repetitions.
 
 Defined results: NULL and empty texts have zero features and get a score like
 any other. Rows with NULL ids are never held out and never labelled. Repeated
-rows get equal scores. Without a positive every score is 0.
+rows get equal scores. The order and partitions of the rows change nothing.
+Without a positive every score is 0.
 """
 
 from __future__ import annotations
@@ -61,8 +62,8 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for lo, hi, data, bounds in text_chunks(batch.column("text")):
             part, x = batch.slice(lo, hi - lo), _features(data, bounds)
             flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([part.column("positive"), part.column("unlabelled"), flat],
-                                             names=["positive", "unlabelled", "x"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "row", "half", "positive", "unlabelled")), flat],
+                                             names=["id", "row", "half", "positive", "unlabelled", "x"])
 
 
 def held_out() -> Column:
@@ -117,10 +118,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> dict |
     trusted = F.broadcast(trusted.where(F.pmod(F.xxhash64("p"), F.lit(1 << 20)) < part(known)))
     base = docs.where(F.col("doc_id").isNotNull() & ~held_out()).withColumn("u", F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(7)), F.lit(1 << 20)) < part(total))
     marked = (base.join(trusted, F.col("doc_id").cast("long") == F.col("p"), "left").where(F.col("p").isNotNull() | F.col("u"))
-              .select(F.col("p").isNotNull().alias("positive"), F.col("u").alias("unlabelled"), "text"))
-    found = marked.mapInArrow(_feature_rows, "positive boolean, unlabelled boolean, x array<float>").toArrow()
+              .select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"), F.col("p").isNotNull().alias("positive"),
+                      F.col("u").alias("unlabelled"), "text").withColumn("half", F.pmod(F.xxhash64("id", F.lit(11)), F.lit(2)) == 0))
+    found = marked.mapInArrow(_feature_rows, "id long, row long, half boolean, positive boolean, unlabelled boolean, x array<float>").toArrow()
     if not found.num_rows:
         return None
+    found = found.sort_by([("id", "ascending"), ("row", "ascending")])  # the order and partitions of the rows change nothing
     x = found.column("x").combine_chunks()
     x = (pa.concat_arrays(x.chunks) if isinstance(x, pa.ChunkedArray) else x).flatten().to_numpy().reshape(found.num_rows, -1).astype(np.float64)
     p, u = found.column("positive").to_numpy(), found.column("unlabelled").to_numpy()
@@ -129,11 +132,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> dict |
     u = u if u.any() else ~u
     mean, scale = x[u].mean(0), x[u].std(0) + 1e-3
     x = np.concatenate([np.clip((x - mean) / scale, -8, 8) / np.sqrt(x.shape[1]), np.ones((len(x), 1))], axis=1)
-    half = np.arange(len(x)) % 2 == 0
-    first = fit_nn_pu(x[p & half], x[u & half], 0.5, STEPS // 2) if (p & half).any() and (u & half).any() else None
-    prior = 0.5
-    if first is not None and (p & ~half).any() and (u & ~half).any():
-        prior = class_prior(_dot(x[p & ~half], first), _dot(x[u & ~half], first))
+    half = found.column("half").to_numpy()
+    # Either half tells the prior by a fit on the other one.
+    priors = []
+    for seen in (half, ~half):
+        if all(part.any() for part in (p & seen, u & seen, p & ~seen, u & ~seen)):
+            first = fit_nn_pu(x[p & seen], x[u & seen], 0.5, STEPS // 2)
+            priors.append(class_prior(_dot(x[p & ~seen], first), _dot(x[u & ~seen], first)))
+    prior = float(np.mean(priors)) if priors else 0.5
     return {"mean": mean, "scale": scale, "weights": fit_nn_pu(x[p], x[u], prior), "prior": prior}
 
 
