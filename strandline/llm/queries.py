@@ -74,7 +74,7 @@ def op7_simhash_near_dedup(spark, folder):
 
 @query
 def op8_separator_scan(spark, folder):
-    return token_scan.document_token_counts(documents(spark, folder))
+    return token_scan.document_token_counts(documents(spark, folder), in_files=True)
 
 
 @query

@@ -22,13 +22,14 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..session import new_path
 from .arrays import small_batches
+from .rows import written
 from .tokens import encoder, vocabulary_path
 
 END_OF_TEXT = 49407  # <|endoftext|> of the default vocabulary; in texts its string is ordinary text
 WIDTH = 2  # bytes of an id
 BLOCK_BYTES = 1 << 20
 # A file holds at most so many documents.
-DOCS_PER_FILE = 10_000
+DOCS_PER_FILE = 2_000
 
 
 def write_flat(docs: DataFrame, folder: str, path: str | None = None, end: int = END_OF_TEXT, width: int = WIDTH) -> None:
@@ -85,14 +86,18 @@ def scan_flat(spark: SparkSession, folder: str, end: int = END_OF_TEXT, width: i
     return docs.union(open_end)
 
 
-def document_token_counts(docs: DataFrame) -> DataFrame:
+def document_token_counts(docs: DataFrame, in_files: bool = False) -> DataFrame:
     """`doc_id`, `n_tokens`, `file_part`, `start` of every document, counted from flat files written of `docs`.
 
     The files know no ids: a document is found by its partition, which names
-    the file, and its place in it. `docs` must give the same partitions when it
-    is read again, as tables in files do; a document without a place in the
-    files, or the reverse, is an error.
+    the file, and its place in it, so ids and texts are read twice. Rows that
+    come out of a shuffle may lie elsewhere the second time: `docs` is written
+    to the shared folder first, unless `in_files` says that it is a plain scan of
+    files, which gives the same partitions again. A document without a place in
+    the files, or the reverse, is an error.
     """
+    if not in_files:
+        docs = written(docs.select("doc_id", "text"), "scan-documents")
     spark = docs.sparkSession
     folder = new_path(spark, "flat-tokens")
     write_flat(docs, folder)
