@@ -1,36 +1,34 @@
 """Cross-entropy difference: target and background bigram models over one vocabulary.
 
-The vocabulary is the VOCABULARY most frequent words (lower case) of all
-documents; all other words are one unknown word. Both models interpolate
-bigrams with add-one unigrams, with the same weight: p(w|v) = WEIGHT * c(v,w) / c(v)
-+ (1 - WEIGHT) * (c(w) + 1) / (n + V + 1). The target model counts the documents
-labelled as trusted, the background model counts all. A bigram that one
-background occurrence is all there is of (and none in the target) counts as
-unseen, as usual for n-gram cut-offs.
-
-Bigram counts grow with the corpus and are never broadcast. Documents are
-dealt into blocks; a block sends its distinct bigrams with their counts once,
-they are summed by bigram, and the logarithms of the kept ones go back to the
-blocks that asked. A block then scores its documents alone.
+The vocabulary is every word (lower case) of all documents. Both models
+interpolate bigrams with add-one unigrams, with the same weight: p(w|v) =
+WEIGHT * c(v,w) / c(v) + (1 - WEIGHT) * (c(w) + 1) / (n + V + 1). The target model
+counts the documents labelled as trusted, the background model counts all; no
+count of either is left out.
+
+What the models gather grows with the corpus and is never broadcast. Documents
+are dealt into blocks by id and text; a block asks for its distinct words and
+bigrams once, with its own counts, these are summed by key, and the sums go back
+to the blocks that asked. A block then scores its documents alone. Texts move
+once. Only three totals reach the driver.
 
 Defined results: the first word of a text is scored by unigrams. NULL and
 empty texts have no words and NULL losses. Repeated rows count as often as they
 come and get equal scores. Without a trusted document the target is add-one.
+Rows with NULL ids are never trusted.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .arrays import signed, split_words, text_chunks, word_hashes
+from .arrays import mix, signed, split_words, text_chunks, word_hashes
 from .quality_rules import LOWER
 from .rows import doc_id, keyed, written
 
-VOCABULARY = 1 << 14
 WEIGHT = 0.7
-MIN_COUNT = 2
 # Characters of text in one block.
 BLOCK_CHARS = 24 << 20
 
@@ -49,35 +47,31 @@ def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
 
 
 def _count_words(batches):
+    """Words as keys with partial counts (`doc` is NULL), and the number of words of each document."""
+    def counted(keys, counts):
+        key, count = _merge(keys, counts)
+        return pa.RecordBatch.from_arrays([pa.nulls(len(key), pa.int64()), pa.array(signed(key)), pa.array(count[0])], names=["doc", "word", "n"])
+
     keys, counts, held = [], [], 0
     for batch in batches:
-        for _, _, h, _ in _hashes(batch.column("text")):
+        for lo, hi, h, first in _hashes(batch.column("text")):
             u, c = np.unique(h, return_counts=True)
             keys.append(u)
             counts.append(c[None, :])
             held += len(u)
+            yield pa.RecordBatch.from_arrays([batch.column("_doc").slice(lo, hi - lo), pa.nulls(hi - lo, pa.int64()), pa.array(np.diff(first))], names=["doc", "word", "n"])
             if held > 1 << 21:
-                key, count = _merge(keys, counts)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(count[0])], names=["word", "n"])
+                yield counted(keys, counts)
                 keys, counts, held = [], [], 0
     if held:
-        key, count = _merge(keys, counts)
-        yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(count[0])], names=["word", "n"])
-
+        yield counted(keys, counts)
 
-def _ids(vocabulary: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Place of each word in the sorted vocabulary, its size for all others."""
-    if not len(vocabulary):
-        return np.zeros(len(h), np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == h, at, len(vocabulary))
 
-
-def _bigrams(vocabulary: np.ndarray, h: np.ndarray, first: np.ndarray):
-    """Word ids, rows, and the places of words that have one before them."""
-    ids = _ids(vocabulary, h)
+def _keys(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the bigrams, rows of the words, and the places of words that have one before them."""
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    return ids, row, np.flatnonzero(row[1:] == row[:-1]) + 1
+    at = np.flatnonzero(row[1:] == row[:-1]) + 1
+    return mix(h[at - 1] * np.uint64(0x9E3779B97F4A7C15) + mix(h[at])), row, at
 
 
 def _trusted(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
@@ -87,63 +81,46 @@ def _trusted(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
     return docs, np.isin(docs.column("_doc").to_numpy(), table.column("_doc").to_numpy()[mark])
 
 
-def _count_block(vocabulary: np.ndarray):
-    size = len(vocabulary) + 1
-
-    def run(table: pa.Table) -> pa.Table:
-        docs, trusted = _trusted(table)
-        keys, counts, base = [], [], 0
-        for batch in docs.to_batches():
-            for lo, hi, h, first in _hashes(batch.column("text")):
-                ids, row, at = _bigrams(vocabulary, h, first)
-                good = trusted[base + lo:base + hi][row]
-                # Single words are keys below zero.
-                key = np.concatenate([ids[at - 1] * size + ids[at], -1 - ids])
-                good = np.concatenate([good[at], good])
-                u, inverse = np.unique(key, return_inverse=True)
-                keys.append(u)
-                counts.append(np.stack([np.bincount(inverse, minlength=len(u)), np.bincount(inverse, good, len(u)).astype(np.int64)]))
-                if sum(map(len, keys)) > 1 << 22:
-                    key, count = _merge(keys, counts)
-                    keys, counts = [key], [count]
-            base += batch.num_rows
-        key, count = _merge(keys, counts) if keys else (np.empty(0, np.int64), np.empty((2, 0), np.int64))
-        block = table.column("block")[0].as_py() if table.num_rows else 0
-        return pa.table({"block": pa.array(np.full(len(key), block, np.int32)), "key": key, "n": count[0], "t": count[1]})
-    return run
-
-
-class Models:
-    """Unigram tables (bounded by the vocabulary) of both models."""
-
-    def __init__(self, vocabulary: np.ndarray, background: np.ndarray, target: np.ndarray, weight: float):
-        size = len(vocabulary) + 1
-        self.vocabulary, self.counts = vocabulary, (target, background)
-        self.unigram = [(1 - weight) * (c + 1) / (c.sum() + size) for c in self.counts]
-
+def _count_block(table: pa.Table) -> pa.Table:
+    """Distinct words and bigrams of a block with their counts in all and in trusted documents."""
+    docs, trusted = _trusted(table)
+    keys, counts, held, base = [], [], 0, 0
+    for batch in docs.to_batches():
+        for lo, hi, h, first in _hashes(batch.column("text")):
+            pair, row, at = _keys(h, first)
+            good = trusted[base + lo:base + hi][row]
+            u, inverse = np.unique(np.concatenate([pair, h]), return_inverse=True)
+            keys.append(u)
+            counts.append(np.stack([np.bincount(inverse, minlength=len(u)), np.bincount(inverse, np.concatenate([good[at], good]), len(u)).astype(np.int64)]))
+            held += len(u)
+            if held > 1 << 22:
+                key, count = _merge(keys, counts)
+                keys, counts, held = [key], [count], 0
+        base += batch.num_rows
+    key, count = _merge(keys, counts) if keys else (np.empty(0, np.uint64), np.empty((2, 0), np.int64))
+    block = table.column("block")[0].as_py() if table.num_rows else 0
+    return pa.table({"block": pa.array(np.full(len(key), block, np.int32)), "key": signed(key), "n": count[0], "t": count[1]})
 
-def _score_block(models: Models, weight: float):
-    size = len(models.vocabulary) + 1
 
+def _score_block(totals: tuple[int, int], size: int, weight: float):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         docs, _ = _trusted(docs)
-        key = answers.column("key").to_numpy()
+        key = answers.column("key").to_numpy().view(np.uint64)
         order = np.argsort(key, kind="stable")
         key = key[order]
         seen = [answers.column(c).to_numpy()[order] for c in ("n_t", "n_b")]
+        find = lambda k: np.searchsorted(key, k)  # noqa: E731  (a block has asked for all it looks up)
         words, losses = [], [[], []]
         for batch in docs.to_batches():
             for lo, hi, h, first in _hashes(batch.column("text")):
-                ids, row, at = _bigrams(models.vocabulary, h, first)
-                pair = ids[at - 1] * size + ids[at]
-                place = np.minimum(np.searchsorted(key, pair), max(len(key) - 1, 0))
-                hit = key[place] == pair if len(key) else np.zeros(len(pair), bool)
+                pair, row, at = _keys(h, first)
+                single, double = find(h), find(pair)
                 words.append(np.diff(first))
                 for m in range(2):
-                    p = models.unigram[m][ids] / (1 - weight)
-                    context = np.maximum(models.counts[m][ids[at - 1]], 1)
-                    ratio = np.where(hit, seen[m][place] if len(key) else 0, 0) / context
-                    p[at] = weight * ratio + models.unigram[m][ids[at]]
+                    count = seen[m][single]
+                    alone = (count + 1) / (totals[m] + size)
+                    p = alone.copy()
+                    p[at] = weight * seen[m][double] / np.maximum(count[at - 1], 1) + (1 - weight) * alone[at]
                     losses[m].append(np.bincount(row, -np.log(p), hi - lo))
         n = np.concatenate(words) if words else np.empty(0, np.int64)
         mean = [np.concatenate(x) / np.maximum(n, 1) if x else np.empty(0) for x in losses]
@@ -152,31 +129,28 @@ def _score_block(models: Models, weight: float):
     return run
 
 
-def cross_entropy_difference(docs: DataFrame, trusted: DataFrame, vocabulary: int = VOCABULARY, weight: float = WEIGHT,
-                             min_count: int = MIN_COUNT) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, trusted: DataFrame, weight: float = WEIGHT) -> DataFrame:
     """`doc_id`, `n_tokens`, `target_loss`, `background_loss`, `difference` (target less background, per token) of every document.
 
     `trusted`: ids (`doc_id`) of the documents of the target model.
     """
-    rows = keyed(docs).select("_doc", "text")
-    words = rows.select("text").mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = words.orderBy(F.desc("n"), "word").limit(vocabulary).toArrow()  # bounded by `vocabulary`
-    known = np.sort(top.column("word").to_numpy().view(np.uint64))
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = 1 + chars // BLOCK_CHARS
-    # Trusted ids travel as rows beside the texts, so that texts move once.
-    marks = trusted.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("_doc"), F.lit(None).cast("string").alias("text")).distinct()
-    dealt = (rows.withColumn("mark", F.lit(False)).union(marks.withColumn("mark", F.lit(True)))
-             .withColumn("block", F.pmod(F.xxhash64("_doc"), F.lit(blocks)).cast("int")))
-    asked = written(dealt.groupBy("block").applyInArrow(_count_block(known), "block int, key long, n long, t long"), "bigrams")
-    single = asked.where("key < 0").groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toArrow()  # bounded by the vocabulary
-    at = -1 - single.column("key").to_numpy()
-    background, target = np.zeros(len(known) + 1), np.zeros(len(known) + 1)
-    background[at], target[at] = single.column("n").to_numpy(), single.column("t").to_numpy()
-    pairs = asked.where("key >= 0")
-    kept = pairs.groupBy("key").agg(F.sum("n").alias("n_b"), F.sum("t").alias("n_t")).where((F.col("n_b") >= min_count) | (F.col("n_t") > 0))
-    answers = pairs.select("key", "block").join(kept, "key").select("block", "key", "n_t", "n_b")
-    models = Models(known, background, target, weight)
+    rows = keyed(docs).select("_doc", "_row", "text")
+    ids = trusted.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("_doc")).distinct()
+    counted = written(rows.select("_doc", "text").mapInArrow(_count_words, "doc long, word long, n long"), "words")
+    in_target = counted.where("doc is not null").join(ids.withColumnRenamed("_doc", "doc"), "doc", "left_semi").agg(F.sum("n")).first()[0] or 0
+    all_words = counted.where("doc is null").groupBy("word").agg(F.sum("n").alias("n")).agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).first()
+    # Rows without text need no block.
+    some = rows.where("text <> ''")
+    bare = rows.where("text is null or text = ''").select("_doc", F.lit(0).cast("long").alias("n_tokens"), *[F.lit(None).cast("double").alias(c) for c in ("target_loss", "background_loss")])
+    chars = some.agg(F.sum(F.length("text"))).first()[0] or 0
+    placed = some.withColumn("block", F.pmod(F.xxhash64("_doc", "_row"), F.lit(1 + chars // BLOCK_CHARS)).cast("int")).drop("_row")
+    # Trusted ids travel as rows beside the texts, to each block that has such a document, so that texts move once.
+    marks = placed.select("_doc", "block").distinct().join(ids, "_doc", "left_semi").select("_doc", F.lit(None).cast("string").alias("text"), "block")
+    dealt = placed.withColumn("mark", F.lit(False)).unionByName(marks.withColumn("mark", F.lit(True)))
+    asked = dealt.groupBy("block").applyInArrow(_count_block, "block int, key long, n long, t long")
+    # A key has one row for each block that asked.
+    alike = W.partitionBy("key")
+    answers = asked.select("block", "key", F.sum("t").over(alike).alias("n_t"), F.sum("n").over(alike).alias("n_b"))
     scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        _score_block(models, weight), "_doc long, n_tokens long, target_loss double, background_loss double")
-    return scored.select(doc_id(), "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("difference"))
+        _score_block((in_target, all_words.n or 0), all_words.v + 1, weight), "_doc long, n_tokens long, target_loss double, background_loss double")
+    return scored.union(bare).select(doc_id(), "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("difference"))

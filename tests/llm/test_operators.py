@@ -368,40 +368,71 @@ def test_non_negative_risk_on_known_mixture():
     assert 0.5 < prior < 0.72
 
 
-def test_cross_entropy_difference(spark, docs, none, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "BLOCK_CHARS", 20_000)
-    size, weight = 100, lm_scoring.WEIGHT
-    rows = docs.collect()
-    trusted = spark.createDataFrame([(7,), (8,), (8,), (None,), (99_999,)], "doc_id long")
+def brute_losses(rows, trusted, weight=lm_scoring.WEIGHT):
+    """(doc_id, text) to (words, target loss, background loss), from whole counts."""
     lower = lambda t: words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-    count = Counter(w for r in rows for w in lower(r.text))
-    got = {(r.doc_id, r.n_tokens): r for r in lm_scoring.cross_entropy_difference(docs, trusted, vocabulary=size).collect()}
-    # Ties at the edge of the vocabulary are cut by hash: take the words it must hold, and check documents of known words only.
-    edge = sorted(count.values(), reverse=True)[size - 1]
-    assert len(got) > 40 and edge >= 1
-    full = lm_scoring.cross_entropy_difference(docs, trusted, vocabulary=10_000).collect()
     uni, bi = [Counter(), Counter()], [Counter(), Counter()]
-    for r in rows:
-        w = lower(r.text)
-        for m in (0, 1) if r.doc_id in (7, 8) else (1,):
+    for i, t in rows:
+        w = lower(t)
+        for m in (0, 1) if i in trusted else (1,):
             uni[m].update(w)
             bi[m].update(zip(w, w[1:]))
-    v = len(count) + 1
-    for r, text in ((r, t) for r in full for t in [x.text for x in rows if x.doc_id == r.doc_id and len(words(x.text)) == r.n_tokens][:1]):
-        w = lower(text)
-        for m, loss in ((0, r.target_loss), (1, r.background_loss)):
-            if not w:
-                assert loss is None
-                continue
-            total = 0.0
-            for i, x in enumerate(w):
-                single = (uni[m][x] + 1) / (sum(uni[m].values()) + v)
-                pair = (w[i - 1], x)
-                kept = i and (bi[1][pair] >= 2 or bi[0][pair] > 0)
-                p = single if not i else weight * (bi[m][pair] if kept else 0) / max(uni[m][w[i - 1]], 1) + (1 - weight) * single
-                total -= np.log(p)
-            assert loss == pytest.approx(total / len(w))
+    v, n, found = len(uni[1]) + 1, [sum(u.values()) for u in uni], []
+    for i, t in rows:
+        w, loss = lower(t), []
+        for m in (0, 1):
+            p = [(uni[m][x] + 1) / (n[m] + v) if not k else weight * bi[m][w[k - 1], x] / max(uni[m][w[k - 1]], 1) + (1 - weight) * (uni[m][x] + 1) / (n[m] + v)
+                 for k, x in enumerate(w)]
+            loss.append(-sum(map(np.log, p)) / len(w) if w else None)
+        found.append((i, len(w), *loss))
+    return found
+
+
+@pytest.mark.parametrize("chars", [20_000, 1 << 24])
+def test_cross_entropy_difference(spark, docs, none, monkeypatch, chars):
+    monkeypatch.setattr(lm_scoring, "BLOCK_CHARS", chars)
+    rare = [(2000, "common words here zyx"), (2001, "common words here qwv"), (2002, "zyx zyx zyx")]  # alike but for rare words
+    more = [(None, f"null id {k} common") for k in range(300)] + [(None, None)] * 300 + rare
+    all_docs = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string")).repartition(5)
+    trusted = spark.createDataFrame([(7,), (8,), (8,), (None,), (99_999,), (2002,)], "doc_id long")
+    key = lambda r: (r[0] is None, r[0] or 0, *(round(x, 9) if x is not None else -1 for x in r[1:]))
+    want = sorted(brute_losses([(r.doc_id, r.text) for r in all_docs.collect()], {7, 8, 2002}), key=key)
+    got = lm_scoring.cross_entropy_difference(all_docs, trusted).collect()
+    mine = sorted(((r.doc_id, r.n_tokens, r.target_loss, r.background_loss) for r in got), key=key)
+    assert [m[:2] for m in mine] == [w[:2] for w in want]
+    for m, w in zip(mine, want):
+        assert m[2:] == (None, None) == w[2:] if not m[1] else m[2:] == pytest.approx(w[2:])
+    loss = {r.doc_id: r.difference for r in got if r.doc_id in (2000, 2001)}
+    assert loss[2000] < loss[2001]
     assert lm_scoring.cross_entropy_difference(none, trusted).count() == 0
+    assert {r.n_tokens for r in lm_scoring.cross_entropy_difference(docs, trusted.limit(0)).collect() if r.doc_id == 4} == {1, 6}
+
+
+def test_scores_do_not_depend_on_partitions(spark, docs):
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(1, 60)], "doc_id long, quality int")
+    score = lambda n: sorted((r.doc_id or 0, round(r.score, 9)) for r in pu_quality.quality_scores(docs.repartition(n), labels).collect())
+    got = score(3)
+    assert got == score(17)
+    assert len({s for i, s in got if i == 7}) == 1  # repeated rows
+
+
+def test_risk_and_its_gradient():
+    """The step follows the numerical gradient of the risk; where the bracket is negative, of the turned-round one."""
+    rng = np.random.default_rng(6)
+    positive, unlabelled = rng.normal(0.5, 1, (40, 3)), rng.normal(0, 1, (60, 3))
+    loss = lambda z: np.logaddexp(0, -z)
+
+    def parts(w, prior):
+        zp, zu = positive @ w, unlabelled @ w
+        return prior * loss(zp).mean(), loss(-zu).mean() - prior * loss(-zp).mean()
+
+    for prior, negative in ((0.3, False), (3.0, True)):  # a prior above one makes the bracket negative
+        plus, minus = parts(np.zeros(3), prior)
+        assert (minus < 0) == negative
+        goal = (lambda w: -parts(w, prior)[1]) if negative else (lambda w: sum(parts(w, prior)))
+        grad = np.array([(goal(e) - goal(-e)) / 2e-5 for e in 1e-5 * np.eye(3)])
+        step = pu_quality.fit_nn_pu(positive, unlabelled, prior, steps=1, rate=0.1, decay=0)
+        assert np.sign(step) == pytest.approx(-np.sign(grad))  # Adam's first step has the gradient's signs
 
 
 def test_preference_format(spark):
@@ -430,6 +461,8 @@ def test_separator_scan(spark, docs, none, tmp_path):
     want = Counter((r.doc_id, len(tokenizer.encode(r.text or "", add_special_tokens=False).ids)) for r in docs.collect())
     assert Counter((r.doc_id, r.n_tokens) for r in token_scan.document_token_counts(docs).collect()) == want
     assert token_scan.document_token_counts(none).count() == 0
+    plain = spark.createDataFrame(docs.select("doc_id", "text").collect(), "doc_id long, text string")
+    assert Counter((r.doc_id, r.n_tokens) for r in token_scan.document_token_counts(plain.repartition(3)).collect()) == want  # not cached
     # Small blocks: documents reach over several; the last one of a file isn't ended; misaligned bytes of the end id don't count.
     end, rng = 0x0102, random.Random(8)
     for name, ended in (("a", True), ("b", False), ("c", True)):
