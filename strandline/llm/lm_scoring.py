@@ -7,10 +7,13 @@ counts the documents labelled as trusted, the background model counts all; no
 count of either is left out.
 
 What the models gather grows with the corpus and is never broadcast. Documents
-are dealt into blocks by id and text; a block asks for its distinct words and
-bigrams once, with its own counts, these are summed by key, and the sums go back
-to the blocks that asked. A block then scores its documents alone. Texts move
-once. Only three totals reach the driver.
+are dealt into blocks by id and text; a block sends its distinct words and
+bigrams once, as 64-bit keys with its own counts, these are summed by key, and
+sums that differ from the block's own counts go back to it. A block then scores
+its documents alone. Texts move once. Only three totals reach the driver.
+
+Keys travel packed: a row has a block's keys of one range of keys, sorted, as
+differences laid out byte by byte, so that their zero bytes compress away.
 
 Defined results: the first word of a text is scored by unigrams. NULL and
 empty texts have no words and NULL losses. Repeated rows count as often as they
@@ -22,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .arrays import mix, signed, split_words, text_chunks, word_hashes
 from .quality_rules import LOWER
@@ -31,6 +34,8 @@ from .rows import doc_id, keyed, written
 WEIGHT = 0.7
 # Characters of text in one block.
 BLOCK_CHARS = 24 << 20
+# Keys in one range, at most about so many where every word and bigram is new.
+RANGE_KEYS = 1 << 21
 
 
 def _hashes(column: pa.Array):
@@ -81,9 +86,29 @@ def _trusted(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
     return docs, np.isin(docs.column("_doc").to_numpy(), table.column("_doc").to_numpy()[mark])
 
 
-def _count_block(table: pa.Table) -> pa.Table:
+def _planes(x: np.ndarray, width: int) -> bytes:
+    return x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+
+
+def _unplanes(b, width: int) -> np.ndarray:
+    return np.frombuffer(b, np.uint8).reshape(width, -1).T.copy().view(f"<u{width}")[:, 0]
+
+
+def _packed(key: np.ndarray, *counts: np.ndarray) -> list[bytes]:
+    """Ascending keys as differences, and their counts."""
+    return [_planes(np.diff(key, prepend=np.uint64(0)), 8), *(_planes(c, 8) for c in counts)]
+
+
+def _unpacked(rows: pa.Table, names: tuple[str, str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys and counts of all rows, and the number of keys of each."""
+    keys = [np.cumsum(_unplanes(b.as_buffer(), 8), dtype=np.uint64) for b in rows.column("keys")]
+    counts = [[_unplanes(b.as_buffer(), 8).astype(np.int64) for b in rows.column(c)] for c in names]
+    join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
+    return join(keys, np.uint64), join(counts[0], np.int64), join(counts[1], np.int64), np.array([len(k) for k in keys], np.int64)
+
+
+def _block_counts(docs: pa.Table, trusted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct words and bigrams of a block with their counts in all and in trusted documents."""
-    docs, trusted = _trusted(table)
     keys, counts, held, base = [], [], 0, 0
     for batch in docs.to_batches():
         for lo, hi, h, first in _hashes(batch.column("text")):
@@ -97,30 +122,57 @@ def _count_block(table: pa.Table) -> pa.Table:
                 key, count = _merge(keys, counts)
                 keys, counts, held = [key], [count], 0
         base += batch.num_rows
-    key, count = _merge(keys, counts) if keys else (np.empty(0, np.uint64), np.empty((2, 0), np.int64))
-    block = table.column("block")[0].as_py() if table.num_rows else 0
-    return pa.table({"block": pa.array(np.full(len(key), block, np.int32)), "key": signed(key), "n": count[0], "t": count[1]})
+    return _merge(keys, counts) if keys else (np.empty(0, np.uint64), np.empty((2, 0), np.int64))
+
+
+def _ask(ranges: int):
+    width = np.uint64((1 << 64) // ranges + 1)
+
+    def run(table: pa.Table) -> pa.Table:
+        key, count = _block_counts(*_trusted(table))
+        part, first = np.unique(key // width, return_index=True)
+        rows = [_packed(key[lo:hi], count[0, lo:hi], count[1, lo:hi]) for lo, hi in zip(first, np.append(first[1:], len(key)))]
+        column = lambda i: pa.array([r[i] for r in rows], pa.binary())
+        block = table.column("block")[0].as_py()
+        return pa.table({"part": part.astype(np.int64), "block": np.full(len(part), block, np.int32), "keys": column(0), "n": column(1), "t": column(2)})
+    return run
+
+
+def _sum(table: pa.Table) -> pa.Table:
+    """For each block of a range of keys, the keys that other blocks have too, and their whole counts."""
+    key, n, t, sizes = _unpacked(table, ("n", "t"))
+    u, inverse, times = np.unique(key, return_inverse=True, return_counts=True)
+    whole = [np.bincount(inverse, c, len(u)).astype(np.int64) for c in (n, t)]
+    out, at = {"block": [], "keys": [], "n": [], "t": []}, 0
+    for block, size in zip(table.column("block").to_pylist(), sizes):
+        mine = inverse[at:at + size]
+        mine = mine[times[mine] > 1]
+        at += size
+        if len(mine):
+            for name, v in zip(out, (block, *_packed(u[mine], whole[0][mine], whole[1][mine]))):
+                out[name].append(v)
+    return pa.table({"block": pa.array(out["block"], pa.int32()), **{c: pa.array(out[c], pa.binary()) for c in ("keys", "n", "t")}})
 
 
 def _score_block(totals: tuple[int, int], size: int, weight: float):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        docs, _ = _trusted(docs)
-        key = answers.column("key").to_numpy().view(np.uint64)
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        seen = [answers.column(c).to_numpy()[order] for c in ("n_t", "n_b")]
-        find = lambda k: np.searchsorted(key, k)  # noqa: E731  (a block has asked for all it looks up)
+        docs, trusted = _trusted(docs)
+        key, count = _block_counts(docs, trusted)
+        shared, n, t, _ = _unpacked(answers, ("n", "t"))
+        at = np.searchsorted(key, shared)
+        count[0][at], count[1][at] = n, t
+        seen = (count[1], count[0])
         words, losses = [], [[], []]
         for batch in docs.to_batches():
             for lo, hi, h, first in _hashes(batch.column("text")):
                 pair, row, at = _keys(h, first)
-                single, double = find(h), find(pair)
+                single, double = np.searchsorted(key, h), np.searchsorted(key, pair)
                 words.append(np.diff(first))
                 for m in range(2):
-                    count = seen[m][single]
-                    alone = (count + 1) / (totals[m] + size)
+                    own = seen[m][single]
+                    alone = (own + 1) / (totals[m] + size)
                     p = alone.copy()
-                    p[at] = weight * seen[m][double] / np.maximum(count[at - 1], 1) + (1 - weight) * alone[at]
+                    p[at] = weight * seen[m][double] / np.maximum(own[at - 1], 1) + (1 - weight) * alone[at]
                     losses[m].append(np.bincount(row, -np.log(p), hi - lo))
         n = np.concatenate(words) if words else np.empty(0, np.int64)
         mean = [np.concatenate(x) / np.maximum(n, 1) if x else np.empty(0) for x in losses]
@@ -147,10 +199,9 @@ def cross_entropy_difference(docs: DataFrame, trusted: DataFrame, weight: float
     # Trusted ids travel as rows beside the texts, to each block that has such a document, so that texts move once.
     marks = placed.select("_doc", "block").distinct().join(ids, "_doc", "left_semi").select("_doc", F.lit(None).cast("string").alias("text"), "block")
     dealt = placed.withColumn("mark", F.lit(False)).unionByName(marks.withColumn("mark", F.lit(True)))
-    asked = dealt.groupBy("block").applyInArrow(_count_block, "block int, key long, n long, t long")
-    # A key has one row for each block that asked.
-    alike = W.partitionBy("key")
-    answers = asked.select("block", "key", F.sum("t").over(alike).alias("n_t"), F.sum("n").over(alike).alias("n_b"))
+    n_words = all_words.n or 0
+    asked = dealt.groupBy("block").applyInArrow(_ask(1 + 2 * n_words // RANGE_KEYS), "part long, block int, keys binary, n binary, t binary")
+    answers = asked.groupBy("part").applyInArrow(_sum, "block int, keys binary, n binary, t binary")
     scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        _score_block((in_target, all_words.n or 0), all_words.v + 1, weight), "_doc long, n_tokens long, target_loss double, background_loss double")
+        _score_block((in_target, n_words), all_words.v + 1, weight), "_doc long, n_tokens long, target_loss double, background_loss double")
     return scored.union(bare).select(doc_id(), "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("difference"))

@@ -391,6 +391,7 @@ def brute_losses(rows, trusted, weight=lm_scoring.WEIGHT):
 @pytest.mark.parametrize("chars", [20_000, 1 << 24])
 def test_cross_entropy_difference(spark, docs, none, monkeypatch, chars):
     monkeypatch.setattr(lm_scoring, "BLOCK_CHARS", chars)
+    monkeypatch.setattr(lm_scoring, "RANGE_KEYS", chars // 4)
     rare = [(2000, "common words here zyx"), (2001, "common words here qwv"), (2002, "zyx zyx zyx")]  # alike but for rare words
     more = [(None, f"null id {k} common") for k in range(300)] + [(None, None)] * 300 + rare
     all_docs = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string")).repartition(5)
