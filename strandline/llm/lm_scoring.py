@@ -126,7 +126,7 @@ def _block_counts(docs: pa.Table, trusted: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _ask(ranges: int):
-    width = np.uint64((1 << 64) // ranges + 1)
+    width = np.uint64(min((1 << 64) - 1, (1 << 64) // ranges + 1))
 
     def run(table: pa.Table) -> pa.Table:
         key, count = _block_counts(*_trusted(table))
