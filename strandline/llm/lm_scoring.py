@@ -33,7 +33,7 @@ from .rows import doc_id, keyed, written
 
 WEIGHT = 0.7
 # Characters of text in one block.
-BLOCK_CHARS = 24 << 20
+BLOCK_CHARS = 20 << 20
 # Keys in one range, at most about so many where every word and bigram is new.
 RANGE_KEYS = 1 << 21
 
@@ -118,7 +118,7 @@ def _block_counts(docs: pa.Table, trusted: np.ndarray) -> tuple[np.ndarray, np.n
             keys.append(u)
             counts.append(np.stack([np.bincount(inverse, minlength=len(u)), np.bincount(inverse, np.concatenate([good[at], good]), len(u)).astype(np.int64)]))
             held += len(u)
-            if held > 1 << 22:
+            if held > 1 << 20:
                 key, count = _merge(keys, counts)
                 keys, counts, held = [key], [count], 0
         base += batch.num_rows
