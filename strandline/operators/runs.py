@@ -177,22 +177,59 @@ def runs_to_bed(runs: DataFrame, flank: int = 1, min_span: int = 100) -> DataFra
         "|", "edit", (F.col("pos_q") + F.col("p")).cast("string"), *q, "strand", F.col("span").cast("string")).alias("name"))
 
 
+# Bins an axis is cut into, per grid cell, when successors are looked up.
+_BINS_PER_CELL = 256
+
+
+def _successors(values: DataFrame, axis: str, lo, hi, step, cells: int) -> DataFrame:
+    """(v, to): for each value the first one more than `step` beyond it, NULL if there is none.
+
+    The first one in the bin of v + step if there is one behind it, else the least value of the next bin that has any.
+    """
+    width = (float(hi) - float(lo)) / (cells * _BINS_PER_CELL)
+    bin_of = lambda c: F.floor((c.cast("double") - float(lo)) / width)
+    v = F.col(axis)
+    marks = values.select(v.alias("v"), v.alias("at"), F.lit(False).alias("asks")).union(values.select(v.alias("v"), (v + F.lit(step)).alias("at"), F.lit(True)))
+    # At equal places the question stands behind the value: only larger values answer.
+    behind = W.partitionBy("_bin").orderBy("at", "asks").rowsBetween(1, W.unboundedFollowing)
+    inside = (marks.withColumn("_bin", bin_of(F.col("at"))).withColumn("_near", F.min(F.when(~F.col("asks"), F.col("at"))).over(behind)).where("asks"))
+    firsts = values.groupBy(bin_of(v).alias("_b")).agg(F.min(v).alias("_first"))
+    # One row for each bin: their number is bounded by the grid.
+    bins = values.sparkSession.range(cells * _BINS_PER_CELL + 2).withColumnRenamed("id", "_bin").join(F.broadcast(firsts), F.col("_bin") == F.col("_b"), "left")
+    later = bins.select("_bin", F.min("_first").over(W.orderBy("_bin").rowsBetween(1, W.unboundedFollowing)).alias("_later"))
+    return inside.join(F.broadcast(later), "_bin", "left").select("v", F.coalesce("_near", "_later").alias("to"))
+
+
+def grid_lines(values: DataFrame, axis: str, lo, hi, cells: int) -> list:
+    """Anchors of one axis from `lo` on, each the first value more than half a cell beyond the last one.
+
+    Pointer doubling over the successor table: a round doubles both the lines
+    that are known and the jump, so 2 x cells + 1 lines take about log2 of that many rounds.
+    """
+    step = (hi - lo) / cells / 2
+    if not step:
+        return [lo]
+    jump = cut(_successors(cut(values), axis, lo, hi, step, cells))
+    lines = [lo]
+    while True:
+        found = [r["to"] for r in jump.where(F.col("v").isin(lines) & F.col("to").isNotNull()).select("to").distinct().collect()]  # at most as many as lines
+        if not found:
+            return sorted(lines)
+        lines += found
+        on = jump.select(F.col("v").alias("to"), F.col("to").alias("_to"))
+        jump = cut(jump.where("to is not null").join(on, "to").select("v", F.col("_to").alias("to")))
+
+
 def snap_to_grid(points: DataFrame, w: int, h: int) -> DataFrame:
     """Grid line of each point: a new line starts at the first value more than span / (2 cells) past the line's anchor.
 
-    Lines are at most 2 x cells + 1 per axis, each found as a minimum over the
-    distinct values beyond the last anchor; values are never gathered in one place.
+    Lines are at most 2 x cells + 1 per axis; values are never gathered in one place.
     """
     spans = points.agg(*[f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))]).first()
     out = points
     for axis, cells in (("x", w), ("y", h)):
         lo, hi = spans[f"lo{axis}"], spans[f"hi{axis}"]
-        step = (hi - lo) / cells / 2
-        values = cut(points.select(axis).distinct())
-        anchors, last = [], lo
-        while last is not None:
-            anchors.append(last)
-            last = values.where(F.col(axis) > last + step).agg(F.min(axis)).first()[0]
+        anchors = grid_lines(points.select(axis).where(F.col(axis).isNotNull()).distinct(), axis, lo, hi, cells) if lo is not None else [None]
         lines = F.array(*[F.lit(a) for a in anchors])
         out = out.withColumn(f"grid_{axis}", F.array_max(F.filter(lines, lambda a: a <= F.col(axis))))
     return out

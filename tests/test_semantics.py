@@ -454,12 +454,12 @@ def test_large_index_is_filtered_and_shuffled(spark, monkeypatch):
 
 def test_split_reads_with_two_changes(spark):
     rng = random.Random(4)
-    exon = "".join(rng.choice("acgt") for _ in range(90))
+    exon = "".join(rng.choice("acgt") for _ in range(90))  # its first 30 starts count twice
     two = exon + exon
     make = lambda a, b: two[a:a + 6] + two[a + 20:a + 26] + two[b:b + 6] + two[b + 21:b + 27]
     change = lambda s, *at: "".join("acgt"["acgt".index(c) ^ 1] if i in at else c for i, c in enumerate(s))
-    reads = [(1, make(3, 40)), (2, change(make(5, 30), 2)), (3, change(make(9, 60), 1, 20)), (4, change(make(9, 60), 1, 5)), (5, change(make(9, 60), 1, 5, 20)),
-             (6, make(0, 10).replace("a", ".")), (7, "n" + make(11, 44)[1:]), (8, "acg")]
+    reads = [(1, make(33, 40)), (2, change(make(35, 50), 2)), (3, change(make(39, 60), 1, 20)), (4, change(make(39, 60), 1, 5)), (5, change(make(39, 60), 1, 5, 20)),
+             (6, make(30, 35).replace("a", ".")), (7, "n" + make(41, 44)[1:]), (8, "acg")]
     df = spark.createDataFrame(reads, "read_id long, bases string")
     exons = spark.createDataFrame([("e", exon)], "exon string, seq string")
     got = {r.read_id: (r["class"], r.mm) for r in P.place_split_reads(df, exons, 2).collect()}
@@ -479,3 +479,18 @@ def test_recompress_keeps_streams_and_codecs_apart(spark, tmp_path):
     found = {p.split("stream=")[1].split("/")[0]: bz2.open(p).read() for p in glob.glob(f"{dst}/**/*.bz2", recursive=True)}
     assert found == {"a": b"one\n", "b": b"two\n"}
     assert not glob.glob(f"{dst}/**/*.txt", recursive=True)
+
+
+@pytest.mark.parametrize("cells", [1, 7, 40])
+def test_grid_lines_by_doubling(spark, cells):
+    rng = random.Random(cells)
+    dense = [float(rng.choice([rng.random() * 3, rng.randint(0, 50), 50 + rng.gauss(0, 0.01)])) for _ in range(400)]
+    df = spark.createDataFrame([(v, float(i % 5)) for i, v in enumerate(dense)] + [(None, 1.0)], "x double, y double").repartition(5)
+    lo, hi = min(dense), max(dense)
+    step, lines = (hi - lo) / cells / 2, []
+    for v in sorted(dense):
+        if not lines or v > lines[-1] + step:
+            lines.append(v)
+    want = sorted((v, max(a for a in lines if a <= v)) for v in dense)
+    got = U.snap_to_grid(df, cells, 2).select("x", "grid_x").where("x is not null").collect()
+    assert sorted((r.x, r.grid_x) for r in got) == want
