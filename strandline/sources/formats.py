@@ -1,6 +1,8 @@
 """Readers and writers of sequencing and annotation formats.
 
 Every `parse_*` works on a DataFrame of lines; `read_*` adds the file scan.
+FASTQ and FASTA files are read by `records.py`, without a shuffle; their
+`parse_*` are for lines that are in a table already.
 """
 
 from __future__ import annotations
@@ -9,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..scale import running_sum
 from .files import numbered_text
+from .records import head_lines, read_fasta, read_fastq  # noqa: F401
 
 # -- sequences ------------------------------------------------------------------------
 
@@ -22,10 +25,6 @@ def parse_fastq(lines: DataFrame) -> DataFrame:
     return rows.where(F.col("_t").startswith("@")).select("file", "record", F.substr("_t", F.lit(2)).alias("name"), "bases", "quals")
 
 
-def read_fastq(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    return parse_fastq(numbered_text(spark, path, pattern))
-
-
 def fastq_lines(reads: DataFrame) -> DataFrame:
     """Four lines per read; NULL is an empty line."""
     cell = lambda c: F.coalesce(c, F.lit(""))
@@ -59,10 +58,6 @@ def parse_fasta(lines: DataFrame, chunk: int = 1_000_000, width: int = 1 << 16)
         "file", "record", "name", (F.col("_c") * chunk + F.col("_r.at")).alias("pos"), F.col("_r.seq").alias("seq"))
 
 
-def read_fasta(spark: SparkSession, path: str, chunk: int = 1_000_000, pattern: str | None = None) -> DataFrame:
-    return parse_fasta(numbered_text(spark, path, pattern), chunk)
-
-
 # -- alignments -------------------------------------------------------------------------
 
 _SAM = (("name", "string"), ("flag", "int"), ("chr", "string"), ("pos", "long"), ("mapq", "int"), ("cigar", "string"),
@@ -200,10 +195,11 @@ def table_schema(header: list[str], mers: tuple[str, ...] | None = None) -> T.St
 def read_table(spark: SparkSession, path: str, mers: tuple[str, ...] | None = None) -> DataFrame:
     """Space-separated table whose header (`#: …`, `# field …`, `#.`) declares its columns.
 
-    Only header lines reach the driver; rows are read with the declared schema.
+    Only the lines at the top of the files are looked at for it, and only they
+    reach the driver; rows are read once, with the declared schema.
     """
     # One row per column of the table.
-    head = numbered_text(spark, path).where(F.col("line").startswith("# field ")).groupBy("line").agg(F.min("line_no").alias("n"))
+    head = head_lines(spark, path).where(F.col("line").startswith("# field ")).groupBy("line").agg(F.min("line_no").alias("n"))
     order = {r["line"]: r["n"] for r in head.collect()}
     schema = table_schema(sorted(order, key=order.get), mers)
     return spark.read.schema(schema).option("sep", " ").option("comment", "#").option("quote", '"').option("nullValue", ".").csv(path)
