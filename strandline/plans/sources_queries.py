@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import sorting as O
 from ..session import new_path
-from ..sources import files as L, formats as X
+from ..sources import files as L, formats as X, numbered as N
 from ..streaming import totals as S
 from .catalog import query
 from .views import add_view
@@ -53,6 +53,22 @@ def _(t):
     return L.numbered_text(t.spark, path).agg(F.count(F.lit(1)).alias("n"), F.max("line_no").alias("top"), F.sum("line_no").alias("total"))
 
 
+@query("write_numbered", """
+with l as (select row_number() over (order by l_orderkey, l_linenumber) - 1 as r, concat(l_orderkey, ' ', l_linenumber, ' ', l_partkey) as line from lineitem)
+select printf('%04d/items-%04d.txt.gz', r // 2500 // 4, r // 2500) as file, count(*) as n, min_by(line, r) as first, max_by(line, r) as last,
+md5(concat(string_agg(line, chr(10) order by r), chr(10))) as content from l group by r // 2500""")
+def _(t):
+    rows = t.lineitem.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ord"), F.concat_ws(" ", "l_orderkey", "l_linenumber", "l_partkey").alias("line"))
+    path = new_path(t.spark, "items")
+    N.write_numbered(rows, path, "ord", 2500, "items-{}.txt", files_per_folder=4, codec="gzip")
+    body = F.decode("content", "utf-8")
+    lines = F.split(F.rtrim(body, F.lit("\n")), "\n")
+    # A file is 2,500 short lines.
+    return L.disk_files(t.spark, path, "*.gz", uncompress=True).select(
+        F.regexp_extract("file", "([0-9]+/[^/]+)$", 1).alias("file"), F.size(lines).cast("long").alias("n"), F.element_at(lines, 1).alias("first"),
+        F.element_at(lines, -1).alias("last"), F.md5("content").alias("content"))
+
+
 @query("read_fastq", "select name, bases, quals from $reads")
 def _(t):
     path = _written(t, X.fastq_lines(t.reads), "fastq")

@@ -45,10 +45,15 @@ def spread(ranges: DataFrame) -> DataFrame:
     return ranges.repartition(max(ranges.count(), 1))
 
 
-def open_file(uri: str) -> io.BufferedReader:
-    """The file's bytes, decompressed if its name says so. Any file system Arrow knows (local, HDFS, S3, GCS)."""
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path and the path in it: any that Arrow knows (local, HDFS, S3, GCS)."""
     uri = re.sub("^file:/+", "/", re.sub("^s3[an]:", "s3:", uri))
-    system, name = (fs.LocalFileSystem(), uri) if uri.startswith("/") else fs.FileSystem.from_uri(uri)
+    return (fs.LocalFileSystem(), uri) if uri.startswith("/") else fs.FileSystem.from_uri(uri)
+
+
+def open_file(uri: str) -> io.BufferedReader:
+    """The file's bytes, decompressed if its name says so."""
+    system, name = file_system(uri)
     raw = system.open_input_stream(name, compression="detect") if re.search(COMPRESSED, name) else system.open_input_file(name)
     return io.BufferedReader(raw, 1 << 20)
 
