@@ -54,16 +54,16 @@ def _(t):
 
 
 @query("write_numbered", """
-with l as (select row_number() over (order by l_orderkey, l_linenumber) - 1 as r, concat(l_orderkey, ' ', l_linenumber, ' ', l_partkey) as line from lineitem)
-select printf('%04d/items-%04d.txt.gz', r // 2500 // 4, r // 2500) as file, count(*) as n, min_by(line, r) as first, max_by(line, r) as last,
-md5(concat(string_agg(line, chr(10) order by r), chr(10))) as content from l group by r // 2500""")
+with l as (select row_number() over (order by o_orderkey) - 1 as r, concat(o_orderkey, ' ', o_custkey, ' ', o_orderpriority) as line from orders)
+select printf('%04d/items-%04d.txt.gz', r // 500 // 4, r // 500) as file, count(*) as n, min_by(line, r) as first, max_by(line, r) as last,
+md5(concat(string_agg(line, chr(10) order by r), chr(10))) as content from l group by r // 500""")
 def _(t):
-    rows = t.lineitem.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ord"), F.concat_ws(" ", "l_orderkey", "l_linenumber", "l_partkey").alias("line"))
+    rows = t.orders.select(F.col("o_orderkey").alias("ord"), F.concat_ws(" ", "o_orderkey", "o_custkey", "o_orderpriority").alias("line"))
     path = new_path(t.spark, "items")
-    N.write_numbered(rows, path, "ord", 2500, "items-{}.txt", files_per_folder=4, codec="gzip")
+    N.write_numbered(rows, path, "ord", 500, "items-{}.txt", files_per_folder=4, codec="gzip")
     body = F.decode("content", "utf-8")
     lines = F.split(F.rtrim(body, F.lit("\n")), "\n")
-    # A file is 2,500 short lines.
+    # A file is 500 short lines.
     return L.disk_files(t.spark, path, "*.gz", uncompress=True).select(
         F.regexp_extract("file", "([0-9]+/[^/]+)$", 1).alias("file"), F.size(lines).cast("long").alias("n"), F.element_at(lines, 1).alias("first"),
         F.element_at(lines, -1).alias("last"), F.md5("content").alias("content"))
