@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import heapq
 from math import log
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from ..scale import settle
+from ..session import stored
 
 
 def cnv_bins(normal: DataFrame, tumor: DataFrame, bin: int = 100, read_length: int | None = None) -> DataFrame:
@@ -33,71 +34,90 @@ def cnv_outliers(positions: DataFrame, q: float = 0.95, window: int = 200, mult:
     return scored.where(F.col("n") <= mult * F.col("local")).select("chr", "pos", "n")
 
 
-_SEGMENT = T.StructType([T.StructField("chr", T.StringType()), T.StructField("first_bin", T.LongType()), T.StructField("last_bin", T.LongType()),
-                         T.StructField("normal", T.LongType()), T.StructField("tumor", T.LongType())])
-
-
-def _fit(t, n):
-    both = t + n
-    return (t * log(t / both) if t else 0.0) + (n * log(n / both) if n else 0.0)
-
-
-def _merge(segments, penalty):
-    """Merge neighbours (first, last, normal, tumor) while the Bayesian information criterion drops most."""
-    seg = [list(s) for s in segments]
-    fit = [_fit(s[3], s[2]) for s in seg]
-    nxt, prev = list(range(1, len(seg))) + [None], [None] + list(range(len(seg) - 1))
-    version, heap = [0] * len(seg), []
-
-    def offer(a):
-        b = nxt[a]
-        if b is not None:
-            gain = 2 * (fit[a] + fit[b] - _fit(seg[a][3] + seg[b][3], seg[a][2] + seg[b][2])) - penalty
-            if gain < 0:
-                heapq.heappush(heap, (gain, a, b, version[a], version[b]))
-
-    for a in range(len(seg)):
-        offer(a)
-    alive = [True] * len(seg)
-    while heap:
-        _, a, b, va, vb = heapq.heappop(heap)
-        if not (alive[a] and alive[b]) or version[a] != va or version[b] != vb:
-            continue
-        seg[a][1], seg[a][2], seg[a][3] = seg[b][1], seg[a][2] + seg[b][2], seg[a][3] + seg[b][3]
-        fit[a], alive[b], nxt[a] = _fit(seg[a][3], seg[a][2]), False, nxt[b]
-        if nxt[b] is not None:
-            prev[nxt[b]] = a
-        version[a] += 1
-        offer(a)
-        if prev[a] is not None:
-            offer(prev[a])
-    return [s for s, ok in zip(seg, alive) if ok]
-
-
-def merge_segments(segments: DataFrame, reads: int, lam: float = 1, chunk: int | None = None) -> DataFrame:
-    """Merge neighbouring segments per chromosome (per `chunk` bins of it when given).
-
-    A group holds segments of one chromosome or chunk: bounded by its length in
-    bins, never by the number of reads.
-    """
-    penalty = lam * log(max(reads, 2))
+# Bins of a slice: neighbours are looked up inside slices, and over their ends from one row per slice.
+BINS = 1 << 16
+
+
+def _fit(tumor: Column, normal: Column) -> Column:
+    """Log likelihood of the counts under their own share."""
+    part = lambda x: F.when(x > 0, x * F.ln(x / (tumor + normal))).otherwise(0.0)
+    return part(tumor) + part(normal)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("first_bin")
-        rows = list(pdf[["first_bin", "last_bin", "normal", "tumor"]].itertuples(index=False, name=None))
-        out = pd.DataFrame(_merge(rows, penalty), columns=["first_bin", "last_bin", "normal", "tumor"])
-        out.insert(0, "chr", pdf["chr"].iloc[0])
-        return out
 
-    keys = ["chr"] + ([F.floor(F.col("first_bin") / chunk).alias("_chunk")] if chunk else [])
-    return segments.groupBy(*keys).applyInPandas(run, _SEGMENT)
+def _beside(segments: DataFrame, width: int) -> DataFrame:
+    """Segments with the two before and the two after each on its chromosome: structs `_b2 _b1 _s _a1 _a2`.
+
+    A slice's own window gives those inside it. For the others a table of the
+    first and last two segments of each slice (one row per slice that has any)
+    is shifted by one and by two slices.
+    """
+    own = F.struct("first_bin", "last_bin", "normal", "tumor")
+    rows = segments.select("chr", F.floor(F.col("first_bin") / width).alias("_slice"), own.alias("_s"))
+    inside = W.partitionBy("chr", "_slice").orderBy("_s")
+    placed = rows.withColumns({"_n": F.count(F.lit(1)).over(W.partitionBy("chr", "_slice")), "_i": F.row_number().over(inside),
+                               **{f"_b{k}": F.lag("_s", k).over(inside) for k in (1, 2)}, **{f"_a{k}": F.lead("_s", k).over(inside) for k in (1, 2)}})
+    at = lambda i: F.max(F.when(F.col("_i") == i, F.col("_s")))
+    ends = placed.where("_i <= 2 or _i > _n - 2").groupBy("chr", "_slice").agg(
+        F.array_compact(F.array(at(1), at(2))).alias("_head"),
+        F.array_compact(F.array(at(F.col("_n")), at(F.col("_n") - 1))).alias("_tail"))
+    along = W.partitionBy("chr").orderBy("_slice")
+    near = lambda shift, c: F.concat(*[F.coalesce(shift(c, k).over(along), F.array().cast(ends.schema[c].dataType)) for k in (1, 2)])
+    around = ends.select("chr", "_slice", near(F.lag, "_tail").alias("_before"), near(F.lead, "_head").alias("_after"))
+    out = placed.join(around, ["chr", "_slice"])
+    left, right = F.col("_i") - 1, F.col("_n") - F.col("_i")
+    far = lambda k: {f"_b{k}": F.coalesce(f"_b{k}", F.when(left < k, F.get("_before", (k - 1 - left).cast("int")))),
+                     f"_a{k}": F.coalesce(f"_a{k}", F.when(right < k, F.get("_after", (k - 1 - right).cast("int"))))}
+    return out.withColumns(far(1) | far(2)).select("chr", "_b2", "_b1", "_s", "_a1", "_a2")
+
+
+def _round(segments: DataFrame, penalty: float, width: int) -> DataFrame:
+    """Each pair of neighbours that beats both pairs it overlaps becomes one segment."""
+    def pair(a, b):
+        a, b = F.col(a), F.col(b)
+        apart = _fit(a["tumor"], a["normal"]) + _fit(b["tumor"], b["normal"])
+        gain = F.round(2 * (apart - _fit(a["tumor"] + b["tumor"], a["normal"] + b["normal"])) - penalty, 9)
+        # Equal gains are taken in an order that does not run along the chromosome.
+        tie = F.crc32(F.concat_ws(":", "chr", a["first_bin"].cast("string")).cast("binary"))
+        return F.when(a.isNotNull() & b.isNotNull(), F.struct(gain.alias("gain"), tie.alias("tie"), a["first_bin"].alias("at")))
+
+    places = ("_b2", "_b1", "_s", "_a1", "_a2")
+    gains = settle(_beside(segments, width).withColumns({f"_g{i}": pair(*places[i:i + 2]) for i in range(4)}), *[f"_g{i}" for i in range(4)])
+    best = lambda i: F.coalesce((F.col(f"_g{i}.gain") < 0) & (F.col(f"_g{i - 1}").isNull() | (F.col(f"_g{i}") < F.col(f"_g{i - 1}")))
+                                & (F.col(f"_g{i + 1}").isNull() | (F.col(f"_g{i}") < F.col(f"_g{i + 1}"))), F.lit(False))
+    s, a = F.col("_s"), F.col("_a1")
+    one = F.when(best(2), F.struct(s["first_bin"].alias("first_bin"), a["last_bin"].alias("last_bin"), (s["normal"] + a["normal"]).alias("normal"),
+                                   (s["tumor"] + a["tumor"]).alias("tumor"))).otherwise(s)
+    return gains.where(~best(1)).select("chr", one.alias("_s")).select("chr", "_s.*")
+
+
+def merge_segments(segments: DataFrame, reads: int, lam: float = 1, width: int = BINS) -> DataFrame:
+    """Merge neighbouring segments of a chromosome while the Bayesian information criterion drops.
+
+    In each round every pair whose drop is larger than those of the two pairs
+    it shares a segment with is merged, on all chromosomes at once; equal drops
+    are ordered by a hash. Rounds go on until no pair gains. A round is written
+    to the shared folder, so that a lost executor costs one round at most. The
+    number of rounds follows the logarithm of the segments where drops vary,
+    and the longest run of steadily falling drops at worst.
+
+    Segments of one chromosome must not overlap; rows without a chromosome or
+    a first bin are left out. The result does not depend on `width`.
+    """
+    penalty = lam * log(max(reads, 2))
+    now = stored(segments.where("chr is not null and first_bin is not null").select(
+        "chr", *[F.col(c).cast("long").alias(c) for c in ("first_bin", "last_bin", "normal", "tumor")]), "segments")
+    before, left = -1, now.count()
+    while left != before:
+        now = stored(_round(now, penalty, width), "segments")
+        before, left = left, now.count()
+    return now
 
 
-def cnv_segment(bins: DataFrame, lam: float = 1, chunk: int = 10_000) -> DataFrame:
-    """Segments of equal tumor share: merged inside chunks of bins first, then along each chromosome."""
+def cnv_segment(bins: DataFrame, lam: float = 1, width: int = BINS) -> DataFrame:
+    """Segments of equal tumor share from (chr, bin, normal, tumor)."""
     reads = bins.agg(F.sum(F.col("normal") + F.col("tumor"))).first()[0] or 0
     start = bins.select("chr", F.col("bin").alias("first_bin"), F.col("bin").alias("last_bin"), "normal", "tumor")
-    return merge_segments(merge_segments(start, reads, lam, chunk), reads, lam)
+    return merge_segments(start, reads, lam, width)
 
 
 def cnv_report(segments: DataFrame, min_diff: float = 0.2) -> DataFrame:

@@ -336,7 +336,7 @@ def test_null_cells_keep_their_place(spark, tmp_path):
 
 def test_segments_are_stable(spark):
     data = [("chr1", b, 50, 50 if b < 40 else 150) for b in range(80)]
-    got = rows(B.cnv_segment(spark.createDataFrame(data, "chr string, bin long, normal long, tumor long"), chunk=16))
+    got = rows(B.cnv_segment(spark.createDataFrame(data, "chr string, bin long, normal long, tumor long"), width=16))
     assert got == [("chr1", 0, 39, 2000, 2000), ("chr1", 40, 79, 2000, 6000)]
     report = B.cnv_report(spark.createDataFrame(got, "chr string, first_bin long, last_bin long, normal long, tumor long")).collect()
     assert [r.log2_ratio for r in sorted(report)] == pytest.approx([-1.0, 0.58472], abs=1e-4)
