@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..scale import first_row
-from ..session import cut
+from ..session import stored
 
 # Annotation fields copied onto a variant, and the names they take.
 COPIED = {
@@ -130,22 +130,47 @@ def evidence_by_chromosome(parts: DataFrame, part: str = "part_chr", chr: str =
     return parts.where(F.col(part) == F.col(chr)).drop(part)
 
 
+def _follow(nodes: DataFrame) -> DataFrame:
+    """(ord, up, odd) with `up` moved to the end of its chain and `odd` the parity of the steps, by pointer doubling."""
+    while True:
+        ahead = nodes.select(F.col("ord").alias("_o"), F.col("up").alias("_up"), F.col("odd").alias("_odd"))
+        moved = stored(nodes.join(ahead, F.col("up") == F.col("_o")).select(
+            "ord", F.col("_up").alias("up"), (F.col("odd") != F.col("_odd")).alias("odd"), (F.col("up") != F.col("_up")).alias("_moved")), "chains")
+        nodes = moved.drop("_moved")
+        if moved.where("_moved").isEmpty():
+            return nodes
+
+
 def accepted_inputs(inputs: DataFrame) -> DataFrame:
     """Ids (ord) of the inputs to merge: one is skipped when an earlier accepted one has a chromosome of its own.
 
-    `inputs` is (ord, chr) rows. In each round the inputs that come first for
-    all of their chromosomes are accepted and the ones clashing with them leave.
+    `inputs` is (ord, chr) rows; those without an ord or a chr say nothing.
+    An input that is first on all of its chromosomes is accepted. One that
+    waits for a single other input is accepted if that one isn't, so chains of
+    such inputs are followed to their ends by pointer doubling and settled by
+    the parity of their length: a chain of n clashes takes about log2(n) steps.
+    Then all that clash with an accepted input leave, and the rest goes on. The
+    two first inputs of a chromosome tell all this; no pairs of inputs are made.
     """
-    left, taken = cut(inputs.distinct()), None
+    left, taken = stored(inputs.where("ord is not null and chr is not null").select("ord", "chr").distinct(), "inputs"), None
+    nobody = left.select("ord").limit(0)
     while not left.isEmpty():
-        first = left.groupBy("chr").agg(F.min("ord").alias("_f"))
-        ok = left.join(first, "chr").groupBy("ord").agg(F.min((F.col("ord") == F.col("_f")).cast("int")).alias("_ok")).where("_ok = 1").select("ord")
-        ok = cut(ok)
+        first = left.groupBy("chr").agg(F.min("ord").alias("_first"))
+        ranked = left.join(first, "chr")
+        second = ranked.where("ord > _first").groupBy("chr").agg(F.min("ord").alias("_second"))
+        behind = F.when(F.col("ord") > F.col("_first"), F.col("_first"))
+        nodes = ranked.join(second, "chr", "left").groupBy("ord").agg(
+            F.min(behind).alias("_low"), F.max(behind).alias("_high"), F.max(F.coalesce(F.col("ord") > F.col("_second"), F.lit(False))).alias("_far"))
+        free = F.col("_low").isNull()
+        waits = ~free & ~F.col("_far") & (F.col("_low") == F.col("_high"))
+        nodes = stored(nodes.select("ord", F.when(waits, F.col("_low")).otherwise(F.col("ord")).alias("up"), waits.alias("odd"), free.alias("free")), "waits")
+        ends = nodes.where("free").select(F.col("ord").alias("up"))
+        ok = stored(_follow(nodes.drop("free")).where("not odd").join(ends, "up", "left_semi").select("ord"), "accepted")
         used = left.join(ok, "ord", "left_semi").select("chr").distinct()
         gone = left.join(used, "chr", "left_semi").select("ord").distinct()
-        left = cut(left.join(gone, "ord", "left_anti"))
+        left = stored(left.join(gone, "ord", "left_anti"), "inputs")
         taken = ok if taken is None else taken.unionByName(ok)
-    return taken if taken is not None else inputs.select("ord")
+    return nobody if taken is None else taken
 
 
 def merge_metadata(lines: DataFrame, json: str = "json") -> DataFrame:
