@@ -257,7 +257,18 @@ select o_orderkey as ord, concat(chr(123), '"chromosomes":["c', cast(o_custkey %
   o_custkey as k, o_orderkey % 4 = 0 as two from <orders>""")
 
 
-@query("merge_metadata")
+# The scan in order: the next input is the first one later on without a chromosome that was seen (at most 301 of them).
+@query("merge_metadata", """
+with recursive m as (select ord, k, k % 300 as a, case when two then k % 300 + 1 else k % 300 end as b from $metadata_lines),
+r as (select ord, k, a, b, [a, b] as seen from m where ord = (select min(ord) from m)
+  union all select s.ord, s.k, s.a, s.b, list_concat(seen, [s.a, s.b]) from (
+    select min_by(struct_pack(ord := m.ord, k := m.k, a := m.a, b := m.b), m.ord) as s, any_value(r.seen) as seen
+    from r join m on m.ord > r.ord and not list_contains(r.seen, m.a) and not list_contains(r.seen, m.b) having count(*) > 0))
+select 'chromosomes' as key, 'array' as kind, ord, 0 as i, concat('c', a) as value from r
+union all select 'chromosomes', 'array', ord, 1, concat('c', b) from r where b <> a
+union all select 'match_num', 'number', null, 0, cast(sum(k) as varchar) from r union all select 'ref_all_num', 'number', null, 0, cast(sum(k + 10) as varchar) from r
+union all select 'build', 'string', min(ord), 0, case when k % 2 = 0 then 'b36' else 'b37' end from r group by k % 2
+union all select 'called_frac_all', 'ratio', null, 0, cast(round(sum(k) / sum(k + 10), 6) as varchar) from r""")
 def _(t):
     return E.merge_metadata(t.metadata_lines.select("ord", "json"))
 
