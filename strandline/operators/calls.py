@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import iupac
 from ..scale import SLICE, rank_in_group
+from ..session import stored
 from .intervals import pileup_columns
 
 
@@ -59,11 +60,52 @@ def concordance_pairs(x: DataFrame, y: DataFrame, width: int = SLICE) -> DataFra
                             .when(F.col("x_mask") == F.col("y_mask"), "yes").otherwise("no"))
 
 
+# Bits of a mask, and one more plane for a mask that is NULL: called, but equal to none.
+_PLANES = 4
+
+
+def _packed(calls: DataFrame, width: int) -> DataFrame:
+    """One row per (list, chr, block of 64 positions, occurrence): bit sets of the positions held, called, odd, and of each mask bit."""
+    r = _ranked(calls, "_", width).withColumnsRenamed({"__list": "list", "__mask": "mask"})
+    spot, mask = F.expr("shiftleft(1L, cast(pmod(pos, 64) as int))"), F.col("mask")
+    bits = lambda test, name: F.coalesce(F.bit_or(F.when(test, F.col("_spot"))), F.lit(0).cast("long")).alias(name)
+    return (r.withColumn("_spot", spot).groupBy("list", "chr", F.floor(F.col("pos") / 64).alias("_block"), "rn")
+            .agg(F.bit_or("_spot").alias("held"), bits(F.coalesce(~mask.isin(0, 15), F.lit(True)), "called"), bits(mask.isNull(), "odd"),
+                 *[bits(F.getbit(mask, F.lit(i)) == 1, f"b{i}") for i in range(_PLANES)]))
+
+
+def pair_counts(x: DataFrame, y: DataFrame, width: int = SLICE) -> DataFrame:
+    """Verdicts of `concordance_pairs` counted per (y list, x list), for pairs of lists that share a position.
+
+    Positions are packed 64 to a row before lists meet, so the join has one row
+    per pair of lists and block, and a block's verdicts are counted by bit
+    operations. Lists compared among themselves are packed once and written.
+    Masks are 0 to 15; a NULL mask is a call that equals none.
+    """
+    if x.sameSemantics(y):
+        px = py = stored(_packed(x, width), "packed-calls")
+    else:
+        px, py = _packed(x, width), _packed(y, width)
+    keys = ["chr", "_block", "rn"]
+    named = lambda p, who: p.select(*keys, *[F.col(c).alias(f"{who}_{c}") for c in p.columns if c not in keys])
+    both = named(px, "x").join(named(py, "y"), keys)
+    col = lambda name: (F.col(f"x_{name}"), F.col(f"y_{name}"))
+    (xh, yh), (xc, yc), (xo, yo) = col("held"), col("called"), col("odd")
+    differ = xo.bitwiseOR(yo)
+    for i in range(_PLANES):
+        a, b = col(f"b{i}")
+        differ = differ.bitwiseOR(a.bitwiseXOR(b))
+    called = xc.bitwiseAND(yc)
+    count = lambda bits, name: F.sum(F.bit_count(bits)).alias(name)
+    return (both.where(xh.bitwiseAND(yh) != 0).groupBy("y_list", "x_list")
+            .agg(count(called.bitwiseAND(F.bitwise_not(differ)), "yes"), count(called.bitwiseAND(differ), "no"),
+                 count(yc.bitwiseAND(xh).bitwiseAND(F.bitwise_not(xc)), "nocall_x"),
+                 count(xc.bitwiseAND(yh).bitwiseAND(F.bitwise_not(yc)), "nocall_y")))
+
+
 def concordance_matrix(x: DataFrame, y: DataFrame, width: int = SLICE) -> DataFrame:
     """Score of every (y list, x list): 100 yes/(yes+no), starred above 0.9 of the row's best."""
-    count = lambda v: F.count_if(F.col("verdict") == v).alias(v)
-    per_pair = concordance_pairs(x, y, width).groupBy("y_list", "x_list").agg(
-        *[count(v) for v in ("yes", "no", "nocall_x", "nocall_y")])
+    per_pair = pair_counts(x, y, width)
     scored = per_pair.withColumn("score", F.when(
         F.col("yes") + F.col("no") > 0, F.round(100.0 * F.col("yes") / (F.col("yes") + F.col("no")), 4)))
     best = F.max(F.coalesce("score", F.lit(0.0))).over(W.partitionBy("y_list"))
