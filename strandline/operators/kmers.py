@@ -7,10 +7,10 @@ partitions of low-complexity k-mers.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import seq as S
-from ..scale import lookup
+from ..scale import carry_last, lookup
 
 PIECE = 1024
 
@@ -74,10 +74,9 @@ def fill_chunks(chunks: DataFrame) -> DataFrame:
     low = chunks.withColumn("seq", F.lower("seq"))
     base = lambda form: F.nullif(F.regexp_extract("seq", form, 1), F.lit(""))
     edges = low.select("chr", "chunk_no", base("^[^acgt]*([acgt])").alias("_first"), base("([acgt])[^acgt]*$").alias("_last"))
-    before = W.partitionBy("chr").orderBy("chunk_no").rowsBetween(W.unboundedPreceding, -1)  # one short row per chunk
     # Only chunks before the first base of all look ahead.
     lead = edges.groupBy("chr").agg(F.min_by("_first", F.when(F.col("_first").isNotNull(), F.col("chunk_no"))).alias("_lead"))
-    carried = (edges.select("chr", "chunk_no", F.last("_last", True).over(before).alias("_carry")).join(lead, "chr")
+    carried = (carry_last(edges, ["chr"], "chunk_no", "_last", "_carry").join(lead, "chr")
                .select("chr", "chunk_no", F.coalesce("_carry", "_lead").alias("_carry")))
     return low.join(carried, ["chr", "chunk_no"]).select("chr", "chunk_no", F.when(F.col("_carry").isNull(), F.col("seq")).otherwise(
         F.substr(S.fill_ambiguous(F.concat("_carry", "seq")), F.lit(2))).alias("seq"))
@@ -108,9 +107,19 @@ def gapped_from_windows(windows: DataFrame, k: int, gap_min: int, gap_max: int,
     return g.select("chr", (F.col("pos") * (1 + gap_max - gap_min) + F.col("g") - gap_min).alias("pos"), joined.alias("kmer"))
 
 
-def all_gapped_kmers(seqs: DataFrame, k: int, gap_min: int, gap_max: int, gap_pos: int, seq: str = "seq") -> DataFrame:
-    """Gapped k-mers of sequences (chr, seq), those at the very end included."""
-    w = explode_kmers(seqs, k + gap_max, seq, ("chr",), shorter=gap_max - gap_min)
+def all_gapped_kmers(seqs: DataFrame, k: int, gap_min: int, gap_max: int, gap_pos: int, chunk: int | None = None) -> DataFrame:
+    """Gapped k-mers of a reference, those at the very end included; the same at every chunk size.
+
+    With `chunk`, `seqs` holds chunks (chr, chunk_no, seq) of so many letters, so no row holds a chromosome: a chunk
+    gets the k + gap_max - 1 letters behind it, as far as these follow on without a hole. Without it, `seqs` holds
+    whole sequences (chr, seq), which are cut first. Ambiguous letters are filled as in `all_kmers`.
+    """
+    if chunk is None:
+        chunk = PIECE
+        seqs = chunk_sequences(seqs, chunk)
+    filled = glued(fill_chunks(seqs), chunk, k + gap_max - 1)
+    w = (explode_kmers(filled, k + gap_max, "seq", ("chr", "chunk_no"), shorter=gap_max - gap_min).where(F.col("pos") < chunk)
+         .withColumn("pos", F.col("chunk_no") * chunk + F.col("pos")))
     return gapped_from_windows(w, k, gap_min, gap_max, gap_pos)
 
 

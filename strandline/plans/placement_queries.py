@@ -51,7 +51,7 @@ where p + 12 + g <= length(seq)"""
 
 @query("all_gapped_kmers", _GAPPED)
 def _(t):
-    return K.all_gapped_kmers(t.refs.withColumnRenamed("ref", "chr"), 12, 3, 4, 6)
+    return K.all_gapped_kmers(_ref(t), 12, 3, 4, 6, CHUNK)
 
 
 @query("kmer_join", f"""

@@ -93,6 +93,21 @@ def rank_in_group(df: DataFrame, keys: list[str], order: str, out: str = "rn",
             .drop("_slice", "_r", "_shift"))
 
 
+def carry_last(df: DataFrame, keys: list[str], order: str, value: str, out: str, fan: int = FAN) -> DataFrame:
+    """`out`: the last `value` that is not NULL in earlier rows of `keys` along the integer column `order`.
+
+    Rows look back inside slices of `fan` order values; each slice is reduced to its last value, and slices look back
+    over slices. Neither window holds more than `fan` rows while the order stays below `fan` squared.
+    """
+    before = lambda *by: W.partitionBy(*keys, *by[:-1]).orderBy(by[-1]).rowsBetween(W.unboundedPreceding, -1)
+    sliced = df.withColumn("_slice", F.floor(F.col(order) / fan))
+    latest = F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order)))
+    base = (sliced.groupBy(*keys, "_slice").agg(latest.alias("_t"))
+            .select(*keys, "_slice", F.last("_t", True).over(before("_slice")).alias("_base")))
+    return (sliced.withColumn("_in", F.last(value, True).over(before("_slice", order))).join(base, [*keys, "_slice"])
+            .withColumn(out, F.coalesce("_in", "_base")).drop("_slice", "_in", "_base"))
+
+
 def lookup(df: DataFrame, name: str) -> tuple[DataFrame, bool]:
     """The table written once, marked for broadcast if it was counted small, and whether it was.
 

@@ -30,6 +30,15 @@ def rows(df):
 # -- scale helpers: small slices give the same values as plain windows ----------------
 
 
+def test_carry_last_matches_window(spark):
+    rng = random.Random(4)
+    data = [("hot" if i % 3 else "k", i * rng.choice([1, 1, 9]) * 100 + i, rng.choice([None, None, None, "z", "b", "q"])) for i in range(300)]
+    df = spark.createDataFrame(data, "k string, o long, v string")
+    want = df.withColumn("c", F.last("v", True).over(W.partitionBy("k").orderBy("o").rowsBetween(W.unboundedPreceding, -1)))
+    key = lambda df: sorted((r.k, r.o, str(r.v), str(r.c)) for r in df.collect())
+    assert key(scale.carry_last(df, ["k"], "o", "v", "c", fan=64)) == key(want)
+
+
 def test_rank_and_running_sum_match_windows(spark):
     data = [("hot" if i % 3 == 0 else f"k{i % 7}", i, i % 5) for i in range(300)]
     df = spark.createDataFrame(data, "k string, o long, v long")
@@ -97,6 +106,20 @@ def test_repeated_positions_pair_one_to_one_in_order(spark):
     assert sorted(r.verdict for r in C.concordance_pairs(x, y).collect()) == ["no", "yes"]
 
 
+def test_packed_counts_equal_pairs(spark):
+    rng = random.Random(3)
+    mask = lambda: rng.choice([None, *range(16), 1, 2, 15, 0])
+    spot = lambda: rng.choice([-70, -1, 0, 63, 64, 65, *range(120, 140)])
+    make = lambda names: spark.createDataFrame(
+        [(rng.choice(names), rng.choice(["c", "d"]), spot(), mask(), i) for i in range(400)] + [(names[0], None, 5, 1, 400), (names[0], "c", None, 1, 401)],
+        "sample string, chr string, pos long, mask int, ord long")
+    x, y = make(["p", "q", "r"]), make(["q", "s"]).unionByName(spark.createDataFrame([("far", "z", 1, 1, 500)], "sample string, chr string, pos long, mask int, ord long"))
+    x, y = x.checkpoint(), y.checkpoint()
+    want = C.concordance_pairs(x, y, 50).groupBy("y_list", "x_list").agg(*[F.count_if(F.col("verdict") == v).alias(v) for v in ("yes", "no", "nocall_x", "nocall_y")])
+    assert rows(C.pair_counts(x, y, 50)) == rows(want) and want.count() == 6
+    assert rows(C.pair_counts(x.limit(0), y, 50)) == []
+
+
 def test_matrix_counts_mirror(t):
     m = {(r.y_list, r.x_list): r for r in C.concordance_matrix(t.masked, t.masked).collect()}
     for (y, x), r in m.items():
@@ -299,6 +322,30 @@ def test_kmers_do_not_depend_on_chunks(spark):
     assert got[0] == got[1] == got[2] and any(k[2] == "acgtacgta" and k[0] == "d" for k in got[0])
 
 
+def test_gapped_kmers_do_not_depend_on_chunks(spark):
+    rng = random.Random(2)
+    seq = "nnn" + "".join(rng.choice("acgt") if rng.random() < 0.9 else "n" * rng.randint(1, 40) for _ in range(300))
+    texts = {"c": seq, "n": "nnnnnn", "s": "acgtacgta", "d": "n" * 30 + "acgt" * 5}
+    want = set()
+    for chr, text in texts.items():
+        bases = text.strip("n")
+        if not bases:
+            continue
+        full = bases[0] * (len(text) - len(text.lstrip("n")))
+        for c in text[len(full):]:
+            full += c if c != "n" else full[-1]
+        want |= {(chr, p * 3 + g - 2, full[p:p + 4] + full[p + 4 + g:p + 8 + g]) for p in range(len(full)) for g in (2, 3, 4) if p + 8 + g <= len(full)}
+    df = spark.createDataFrame(list(texts.items()), "chr string, seq string")
+    for size in (7, 64, 1000):
+        assert {tuple(r) for r in K.all_gapped_kmers(K.chunk_sequences(df, size), 8, 2, 4, 4, size).collect()} == want
+    assert {tuple(r) for r in K.all_gapped_kmers(df, 8, 2, 4, 4).collect()} == want
+
+
+def test_gapped_kmers_stop_at_a_hole(spark):
+    chunks = spark.createDataFrame([("c", 0, "acgta"), ("c", 2, "ccccc")], "chr string, chunk_no long, seq string")
+    assert rows(K.all_gapped_kmers(chunks, 4, 1, 1, 2, 5)) == [("c", 0, "acta"), ("c", 10, "cccc")]
+
+
 def test_reference_slices_reach_over_chunks(spark):
     seq = "".join(random.Random(2).choice("acgt") for _ in range(95))
     chunks = K.chunk_sequences(spark.createDataFrame([("c", seq)], "chr string, seq string"), 20)
