@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.seq import let
-from ..scale import running_sum
+from ..scale import carry_last, running_sum
+from ..sources.files import numbered_text
 
 BLOCK = 1 << 26
 # Fixed value: checksum of empty content.
@@ -20,6 +21,22 @@ def manifest_tokens(lines: DataFrame) -> DataFrame:
     return lines.select("manifest", F.get(parts, F.lit(0)).alias("stream"), F.posexplode(F.slice(parts, 2, F.size(parts))).alias("i", "token"))
 
 
+def read_manifest_tokens(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """(manifest, stream, i, token) of the manifest files under `path`, as `manifest_tokens` gives them; `manifest` is the file.
+
+    Files are read token by token, cut at blanks, so a stream of any number of blocks never is one row: a line end inside
+    a token marks that the next stream begins, and the mark is carried forward in slices.
+    """
+    parts = F.split("line", "\n")
+    # The first token of a file names a stream; else what stands before a line end belongs to the stream before.
+    starts = (F.col("line_no") == 1) | (F.size(parts) > 1)
+    t = numbered_text(spark, path, pattern, separator=" ").select(
+        "file", "line_no", F.get(parts, F.lit(0)).alias("token"),
+        F.when(starts, F.struct(F.col("line_no").alias("at"), F.element_at(parts, -1).alias("stream"))).alias("_mark"))
+    return (carry_last(t, ["file"], "line_no", "_mark", "_of").where("_of is not null")
+            .select(F.col("file").alias("manifest"), F.col("_of.stream").alias("stream"), (F.col("line_no") - F.col("_of.at") - 1).alias("i"), "token"))
+
+
 def locator_size(token) -> Column:
     """Bytes named by a block locator: `+n`, or `-n` short of a full block; NULL when unknown."""
     plus = F.regexp_extract(token, r"^[0-9a-f]{32}[^+]*\+([0-9]+)", 1).try_cast("long")
@@ -28,13 +45,17 @@ def locator_size(token) -> Column:
 
 
 def parse_manifests(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(files, blocks) of manifests.
+    """(files, blocks) of manifest lines, see `parse_manifest_tokens`."""
+    return parse_manifest_tokens(manifest_tokens(lines))
+
+
+def parse_manifest_tokens(t: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files, blocks) of manifests by token.
 
     files: manifest, stream, file, pos, size. blocks: manifest, stream, i, md5,
     size, hints, first (offset in the stream). Offsets are running sums in
     slices, so a stream of any length spreads.
     """
-    t = manifest_tokens(lines)
     files = t.where(F.col("token").rlike(_FILE)).select(
         "manifest", "stream", F.regexp_extract("token", _FILE, 3).alias("file"), F.regexp_extract("token", _FILE, 1).cast("long").alias("pos"),
         F.regexp_extract("token", _FILE, 2).cast("long").alias("size"))

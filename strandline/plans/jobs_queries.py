@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import imaging as M, jobs as J, recovery as V, storage as S
+from ..session import new_path
+from ..sources.files import write_files
 from .catalog import query
 from .views import add_view
 
@@ -173,6 +175,15 @@ def _(t):
     return S.parse_manifests(t.manifest_lines)[1]
 
 
+@query("manifest_file_blocks", f"with {_BLOCKS} select manifest, stream, cast(i as bigint) as i, md5, size, hints, first from bl")
+def _(t):
+    path = new_path(t.spark, "manifests")
+    write_files(t.manifest_lines, path, by="manifest")
+    tokens = S.read_manifest_tokens(t.spark, path, "*.txt")
+    name = F.regexp_extract("manifest", "manifest=([0-9]+)", 1).cast("long")
+    return S.parse_manifest_tokens(tokens.withColumn("manifest", name))[1]
+
+
 @query("manifest_files", f"with {_BLOCKS} select * from fl")
 def _(t):
     return S.parse_manifests(t.manifest_lines)[0]

@@ -27,17 +27,17 @@ def read_files(spark: SparkSession, path: str, pattern: str | None = None, gunzi
     return reader.text(path).select(stream, name, F.col("value").alias("line"))
 
 
-def numbered_text(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+def numbered_text(spark: SparkSession, path: str, pattern: str | None = None, separator: str | None = None) -> DataFrame:
     """(file, line_no, line): text with 1-based line numbers, without gathering a file in one task.
 
-    Inside a split lines are numbered as they are read; each split is then
+    With `separator` a line ends there and not at line ends. Inside a split lines are numbered as they are read; each split is then
     shifted by the lines of the earlier splits of its file (one row per split).
     """
     def scan():
         reader = spark.read.option("recursiveFileLookup", "true")
         if pattern:
             reader = reader.option("pathGlobFilter", pattern)
-        return reader.text(path).select(
+        return reader.text(path, lineSep=separator).select(
             F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
             F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"))
 
