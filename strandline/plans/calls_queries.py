@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import iupac
 from ..operators import calls as C, intervals as I
+from ..scale import running_sum, settle
+from ..session import stored
 from .catalog import query
-from .views import add_view
+from .views import _spark, add_view
 
 _MASK = "instr('XACMGRSVTWYHKDBN', {}) - 1"
 # `ord` of the derived calls steps by a million per line.
@@ -249,20 +251,42 @@ def _(t):
 
 # Reference sequence of each document cut into 1000-base chunks; calls addressed to documents.
 add_view("ref_chunks",
-         """select concat('d', cast(doc_id as string)) as chr, i as chunk_no, substr(seq, 1 + 1000 * i, 1000) as seq from (
-            select doc_id, seq, explode(sequence(0L, cast(floor((length(seq) - 1) / 1000) as bigint))) as i from <seqs> where length(seq) > 0)""",
+         # Cut by one pass over the text, like the reads.
+         """select concat('d', cast(doc_id as string)) as chr, cast(i as bigint) as chunk_no, piece as seq
+            from (select doc_id, posexplode(regexp_extract_all(seq, '.{{1,1000}}', 0)) as (i, piece) from <seqs>)""",
          """select concat('d', doc_id) as chr, i as chunk_no, substr(seq, cast(1 + 1000 * i as bigint), 1000) as seq from (
             select doc_id, seq, unnest(range(cast(floor((length(seq) - 1) / 1000) as bigint) + 1)) as i from <seqs> where length(seq) > 0)""")
 # Calls and regions fall anywhere on any document's sequence.
 _ON_DOCS = "(select *, row_number() over (order by doc_id) - 1 as slot, count(*) over () as slots, length(seq) as letters from <seqs> where length(seq) > 0)"
-add_view("doc_calls", f"""
+_DOC_CALLS = """
 select concat('d', cast(doc_id as varchar(20))) as chr, 1 + (l_orderkey * 7919 + l_linenumber * 104729) % letters as pos,
   substr('ACGT', cast(1 + l_suppkey % 4 as int), 1) as call, l_orderkey * 8 + l_linenumber as ord
-from <lineitem> join {_ON_DOCS} on slot = (l_partkey * 31 + l_orderkey) % slots""")
-add_view("doc_regions", f"""
+from <lineitem> join {} on slot = (l_partkey * 31 + l_orderkey) % {}"""
+_DOC_REGIONS = """
 select concat('d', cast(doc_id as varchar(20))) as chr, 1 + (p_partkey * 7919) % letters as start_pos,
   (p_partkey * 7919) % letters + 10 * p_size as end_pos, p_name as name, case when p_size % 2 = 0 then '+' else '-' end as strand,
-  p_partkey as region_id from <part> join {_ON_DOCS} on slot = (p_partkey * 37) % slots""")
+  p_partkey as region_id from <part> join {} on slot = (p_partkey * 37) % {}"""
+
+
+def _doc_slots(t):
+    """(doc_id, letters, slot): documents with a sequence, numbered from 0 by id; NULL ids come first."""
+    letters = t.sql("select doc_id, length(seq) as letters, coalesce(doc_id, -9223372036854775808) as _by from {seqs}")
+    # Written, so that the texts are read once for all that numbering needs.
+    numbered = running_sum(stored(settle(letters, "letters").where("letters > 0"), "doc-letters"), "_by", F.lit(1), "slot", 1 << 16)
+    return stored(numbered.select("doc_id", "letters", (F.col("slot") - 1).alias("slot")), "doc-slots")
+
+
+def _on_doc_slots(sql):
+    """The view over numbered documents: their number is known before the join, so that it is one by equality."""
+    def view(t):
+        found = t.doc_slots
+        return t.sql(_spark(sql.format("<doc_slots>", max(found.count(), 1))))
+    return view
+
+
+add_view("doc_slots", _doc_slots, _ON_DOCS)
+add_view("doc_calls", _on_doc_slots(_DOC_CALLS), _DOC_CALLS.format(_ON_DOCS, "slots"))
+add_view("doc_regions", _on_doc_slots(_DOC_REGIONS), _DOC_REGIONS.format(_ON_DOCS, "slots"))
 
 
 @query("attach_ref_base", """
