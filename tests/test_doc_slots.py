@@ -39,3 +39,12 @@ def test_chunks_hold_the_whole_sequence(spark):
     assert whole.join(t.seqs, F.col("chr") == F.concat(F.lit("d"), "doc_id")).where("all <> seq").isEmpty()
     assert whole.count() == t.seqs.where("length(seq) > 0").count()
     assert t.ref_chunks.where("length(seq) > 1000").isEmpty()
+
+
+def test_only_rows_of_the_lookup_that_are_asked_for_carry_letters(spark):
+    from strandline.operators.reads import reference_translate
+    lookup = spark.createDataFrame([("a", "c1", 10, "acn"), ("b", "c1", 20, "acgt"), ("x", "c1", 1, "a")], "name string, chr string, start_pos long, seq string")
+    rows = spark.createDataFrame([("a", 0, 1), ("a", 2, 2), ("b", 3, 3), ("y", 0, 4), (None, 0, 5)], "ref string, pos long, ord int")
+    out = reference_translate(rows, out_zero=0, lookup=lookup, mask=True)
+    assert sorted(map(tuple, out.collect())) == [("c1", 8, 1), ("c1", 21, 3)]
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
