@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..scale import running_sum
+from ..scale import running_sum, running_sums
 from ..session import cut
 
 HOUR = 3600
@@ -64,9 +64,7 @@ def freeze_segments(log: DataFrame, width: int = 1 << 16) -> DataFrame:
     """State at each freeze line of a job: slot-seconds since the log began, split as in `job_stats`."""
     f = _log_fields(log)
     begin = f.groupBy("job").agg(F.min_by("t", "line_no").alias("start"))
-    run = f
-    for c in ("slots", "success", "failure"):
-        run = running_sum(run, "line_no", F.col(c), f"_{c}", width, keys=("job",))
+    run = running_sums(f, "line_no", {f"_{c}": F.col(c) for c in ("slots", "success", "failure")}, ("job",), width)
     s = run.where("frozen is not null").join(begin, "job")
     elapsed = F.col("t") - F.col("start")
     return s.select("job", "line_no", "frozen", elapsed.alias("elapsed"), F.col("_slots").alias("slots"), (F.col("_slots") * elapsed).alias("slot_seconds"),

@@ -72,6 +72,33 @@ def running_sum(df: DataFrame, order: str, value: Column, out: str, width: int =
             .drop("_slice", "_v", "_in", "_base"))
 
 
+def running_sums(df: DataFrame, order: str, values: dict[str, Column], keys: tuple[str, ...], width: int = SLICE, whole: int = 1 << 16) -> DataFrame:
+    """Inclusive running totals of several values along the integer column `order`, per key, with one shuffle of the rows.
+
+    A key of up to `whole` rows is one slice. Only larger keys are cut into
+    slices of `width` order values, as in `running_sum`.
+    """
+    keys = list(keys)
+    same = lambda d, e: [d[k].eqNullSafe(e[f"_{k}"]) for k in keys]
+    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > whole).select(*[F.col(k).alias(f"_{k}") for k in keys], F.lit(True).alias("_large"))
+    large, _ = lookup(large, "large-keys")
+    cut = F.when(F.col("_large"), F.floor(F.col(order) / width))
+    some = not large.isEmpty()
+    joined = df.join(large, same(df, large), "left").drop(*[f"_{k}" for k in keys])
+    # A struct joins by equality also where a key is NULL.
+    by = ["_k"] if some else keys
+    sliced = (joined.withColumn("_slice", F.coalesce(cut, F.lit(0).cast("long"))).withColumns({f"_v_{out}": v for out, v in values.items()})
+              .withColumns({"_k": F.struct(*keys)} if some else {}).repartition(*by, "_slice"))
+    inside = W.partitionBy(*by, "_slice").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    out = sliced.withColumns({n: F.sum(f"_v_{n}").over(inside) for n in values})
+    if some:
+        totals = sliced.where("_large").groupBy("_k", "_slice")
+        for n in values:
+            base = _before(totals.agg(F.sum(f"_v_{n}").alias("_t")), by)
+            out = out.join(base, ["_k", "_slice"], "left").withColumn(n, F.col(n) + F.coalesce("_base", F.lit(0))).drop("_base")
+    return out.drop("_slice", "_large", "_k", *[f"_v_{n}" for n in values])
+
+
 def rank_in_group(df: DataFrame, keys: list[str], order: str, out: str = "rn",
                   ties: tuple[str, ...] = (), width: int = SLICE) -> DataFrame:
     """1-based row number within `keys` along the integer column `order`.
