@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..scale import running_sum, running_sums
-from ..session import cut
+from ..scale import BROADCAST_ROWS, running_sum, running_sums
+from ..session import cut, stored
 
 HOUR = 3600
 
@@ -79,26 +81,44 @@ def lineage(jobs: DataFrame, roots: DataFrame, direction: str = "up") -> DataFra
     that used its output as input or named it in a knob. Each round reduces the
     newest jobs to the keys they lead to and looks those up, so a key with many
     makers and many users never meets itself pairwise. Rounds end at the graph's
-    depth and are checkpointed.
+    depth. A round moves and writes only what is new in it: up to BROADCAST_ROWS
+    rows are broadcast, the job table is read where it lies, with keys as 128-bit hashes.
     """
     if direction == "up":
-        ends = cut(jobs.select("id", F.col("inputkey").alias("from_key"), F.col("outputkey").alias("key")))
+        leads, found = jobs.select("id", F.col("inputkey").alias("key")), jobs.select("id", F.col("outputkey").alias("key"))
     else:
         named = F.regexp_extract_all("knobs", F.lit("([0-9a-f]{32})"), F.lit(1))
-        ends = cut(jobs.select("id", F.col("outputkey").alias("from_key"), F.explode(F.array_union(F.array("inputkey"), named)).alias("key")))
-    seen = cut(roots.select("id").distinct().withColumn("depth", F.lit(0)))
-    newest = seen
-    depth = 0
-    while not newest.isEmpty():
+        leads, found = jobs.select("id", F.col("outputkey").alias("key")), jobs.select("id", F.explode(F.array_union(F.array("inputkey"), named)).alias("key"))
+    hashed = lambda d: d.where("key is not null").select("id", F.xxhash64("key").alias("_h0"), F.xxhash64(F.lit(1), "key").alias("_h1"))
+    leads, found = stored(hashed(leads), "leads"), stored(hashed(found), "found")
+
+    def small(df, name):
+        table = stored(df, name)
+        n = table.count()
+        return (F.broadcast(table) if n <= BROADCAST_ROWS else table), n, table
+
+    newest, n, table = small(roots.select("id").distinct(), "newest")
+    # Found jobs by round; parts no larger than twice the next are put together, so few parts hold all.
+    parts, depth = [(table.withColumn("depth", F.lit(0)), n)], 0
+    while n:
         depth += 1
         # The largest newest id of a key decides which makers are smaller than some user.
-        keys = ends.join(newest.select("id"), "id", "left_semi").groupBy(F.col("from_key").alias("key")).agg(F.max("id").alias("_top"))
-        step = ends.join(keys, "key")
+        keys, _, _ = small(leads.join(newest.select("id"), "id", "left_semi").groupBy("_h0", "_h1").agg(F.max("id").alias("_top")), "keys")
+        step = found.join(keys, ["_h0", "_h1"])
         if direction == "up":
             step = step.where("id < _top")
-        newest = cut(step.select("id").distinct().join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
-        seen = cut(seen.unionByName(newest))
-    return seen
+        step, _, plain = small(step.select("id").distinct(), "step")
+        seen = _all(parts).select("id").join(step, "id", "left_semi")
+        newest, n, table = small(plain.join(seen, "id", "left_anti"), "newest")
+        parts.append((table.withColumn("depth", F.lit(depth)), n))
+        while len(parts) > 1 and parts[-2][1] <= 2 * parts[-1][1]:
+            last = parts[-2:]
+            parts[-2:] = [(stored(_all(last), "seen"), sum(m for _, m in last))]
+    return _all(parts)
+
+
+def _all(parts: list[tuple[DataFrame, int]]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [d for d, _ in parts])
 
 
 def recovery_plan(jobs: DataFrame, broken: DataFrame) -> DataFrame:
