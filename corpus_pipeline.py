@@ -14,7 +14,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each component of near copies: five-word Jaccard of 0.8 at least, verified."""
+    """Keep one document of each component of near copies: candidates by SimHash and MinHash, verified by a five-word Jaccard of 0.8 at least."""
     return copies.keep_one(docs)
 
 

@@ -1,9 +1,13 @@
 """Near copies for the pipeline: pairs of texts whose sets of five-word shingles have a Jaccard similarity of SIMILARITY at least.
 
-Candidates come from BANDS keys of ROWS minima of the shingles (MinHash): a
-pair at similarity s shares a key with probability 1 - (1 - s^ROWS)^BANDS,
-0.99 at 0.8. Every candidate is verified by the exact similarity of the two
-sets before it becomes a link; components are those of the verified links.
+Candidates come from two sources. The first is SimHash, as in `simhash.py`: a
+64-bit fingerprint of the shingles, blocks, and a spanning forest of the
+fingerprints at most MAX_BITS bits apart; texts of one fingerprint are
+candidates with the least of them. Few pairs near SIMILARITY are so close, so
+BANDS keys of ROWS minima of the shingles (MinHash) add the others: a pair at
+similarity s shares a key with probability 1 - (1 - s^ROWS)^BANDS, 0.99 at 0.8.
+Every candidate is verified by the exact similarity of the two sets before it
+becomes a link; components are those of the verified links.
 
 Texts with equal sets are one node. In a key's group of up to ALL_PAIRS nodes
 all pairs are candidates. In a larger one each node first meets the SEEDS
@@ -27,6 +31,7 @@ from .arrays import Rolling, mix, signed, split_words, text_chunks, word_hashes
 from .components import components
 from .quality_rules import LOWER
 from .rows import KEY, keyed, unpacked, written
+from .simhash import bits, near_links
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -71,9 +76,10 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 least = np.minimum.reduceat(mix(hashes * m), offsets[:-1][some])
                 keys[some, i // ROWS] = mix(keys[some, i // ROWS] * _U(31) + least)
             part = batch.slice(lo, hi - lo)
+            fp = bits(mix(hashes), np.repeat(np.arange(hi - lo), size), hi - lo).view(np.int64)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * BANDS), pa.array(signed(keys.ravel())))
             yield pa.RecordBatch.from_arrays([part.column("_doc"), part.column("_row"), pa.array(signed(_nodes(hashes, offsets))),
-                                              pa.array(size.astype(np.int64)), bands], names=[*KEY, "node", "size", "bands"])
+                                              pa.array(size.astype(np.int64)), pa.array(fp), bands], names=[*KEY, "node", "size", "fp", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,6 +101,15 @@ def _pairs(left: DataFrame, right: DataFrame, similarity: float) -> DataFrame:
     return met.select(F.greatest("node_x", "node_y").alias("a"), F.least("node_x", "node_y").alias("b")).distinct()
 
 
+def _simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b) of nodes whose fingerprints are linked, and of each node with the least one of its fingerprint."""
+    prints = written(nodes.groupBy("fp").agg(F.min("node").alias("least")), "fingerprints")
+    one, two = (prints.select(F.col("fp").alias(n), F.col("least").alias(f"least_{n}")) for n in "ab")
+    apart = near_links(prints.select("fp")).distinct().join(one, "a").join(two, "b").select("least_a", "least_b")
+    equal = nodes.join(prints, "fp").where("node <> least").select("node", "least")
+    return apart.union(equal).toDF("x", "y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     one, two = (sets.select(F.col("node").alias(n), F.col("set").alias(f"set_{n}")) for n in "ab")
     shared = F.size(F.array_intersect("set_a", "set_b"))
@@ -105,8 +120,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY, all_pairs: int = ALL_PAIRS) -> DataFrame:
     """`_doc`, `_row`, `node` (hash of the set) and `root` (least node of the component) of every document."""
     texts = keyed(docs).select(*KEY, "text")
-    prints = written(texts.mapInArrow(_prints, "_doc long, _row long, node long, size long, bands array<long>"), "prints")
-    nodes = prints.where("size > 0").groupBy("node").agg(F.min("size").alias("size"), F.min("bands").alias("bands"), F.min(F.struct(*KEY)).alias("one"))
+    prints = written(texts.mapInArrow(_prints, "_doc long, _row long, node long, size long, fp long, bands array<long>"), "prints")
+    nodes = prints.where("size > 0").groupBy("node").agg(F.min("size").alias("size"), F.min("fp").alias("fp"), F.min("bands").alias("bands"), F.min(F.struct(*KEY)).alias("one"))
     nodes = written(nodes, "nodes")
     keys = nodes.select("node", "size", F.posexplode("bands").alias("band", "key"))
     counts = keys.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -115,9 +130,9 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, all_pairs: int
     small = groups.where(F.col("n") <= all_pairs).select("band", "key", "node", "size")
     large = groups.where(F.col("n") > all_pairs).select("band", "key", "node", "size")
     central = _central(large, met)
-    pairs = written(_pairs(small, small, similarity).union(
+    pairs = written(_simhash_pairs(nodes).union(_pairs(small, small, similarity)).union(
         _pairs(central, large, similarity)).distinct(), "pairs")
-    held = groups.select("node").distinct()
+    held = groups.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
     speak = nodes.join(held, "node").select(F.col("one._doc").alias("_d"), F.col("one._row").alias("_r"))
     members = texts.join(speak, (F.col("_doc") == F.col("_d")) & (F.col("_row") == F.col("_r"))).select("text")
     sets = written(members.mapInArrow(_sets, "node long, set array<long>").dropDuplicates(["node"]), "sets")

@@ -32,7 +32,7 @@ SPLIT_ABOVE = 2048
 FINE_BLOCKS = 16
 
 
-def _bits(hashes: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+def bits(hashes: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """Majority bit of each row's hashes; `rows` is sorted."""
     out = np.zeros(n, np.uint64)
     present, first, count = np.unique(rows, return_index=True, return_counts=True)
@@ -71,7 +71,7 @@ def _fingerprint_rows(data: np.ndarray, bounds: np.ndarray, shingle: int) -> np.
     text, digest = flat.tobytes(), xxh64_intdigest
     left, right = at[begin].tolist(), (at[stop] + length[stop] - 1).tolist()
     hashes = np.fromiter((digest(text[a:b], SEED) for a, b in zip(left, right)), np.uint64, len(left))
-    return _bits(hashes, row, rows)
+    return bits(hashes, row, rows)
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:

@@ -97,3 +97,18 @@ def test_near_copies_are_verified_and_found(spark, all_pairs):
     assert sum(len(m) * (len(m) - 1) // 2 for m in got.values()) >= 0.98 * pairs and good > 200
     assert near_copies.keep_one(docs).count() == len(got)
     assert near_copies.keep_one(docs.limit(0)).count() == 0
+
+
+def test_near_copies_have_simhash_links(spark):
+    """A near copy within three bits of a fingerprint that shares no MinHash key: found by SimHash, verified like any other."""
+    rng = random.Random(3422)
+    words = [f"b{rng.randrange(9000)}" for _ in range(60)]
+    copies = []
+    for _ in range(3):
+        edited = list(words)
+        edited[rng.randrange(10, 50)] = f"e{rng.randrange(9000)}"
+        copies.append(" ".join(edited))
+    one, two = shingle_sets([" ".join(words), copies[2]])
+    assert len(one & two) >= 0.8 * len(one | two)
+    docs = spark.createDataFrame([(0, " ".join(words)), (1, copies[2])], "doc_id long, text string")
+    assert [r.doc_id for r in near_copies.keep_one(docs).collect()] == [0]
