@@ -26,6 +26,8 @@ def place_gapped(reads: DataFrame, ref_kmers: DataFrame, k: int, gaps: list[tupl
     reach = sum(hi + k for _, hi in gaps)
     has = "ahead" in ref_kmers.columns and ref_kmers.schema["ahead"].metadata.get("letters", 0) >= reach
     index = KmerIndex(ref_kmers if has else ref_kmers.select("chr", "pos", "kmer"), k)
+    # Every mer must have a hit, so reads go by all of them before the first is widened.
+    reads = index.near(reads, snps, *[f"mer{i}" for i in range(1, n)])
 
     def at(i, *more):
         return index.hits(reads.select(*keys, F.col(f"mer{i}").alias("mer"), *more), snps).drop("mer", "err").withColumnRenamed("pos", f"pos{i}")
