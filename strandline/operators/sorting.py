@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.seq import revcomp
+from ..session import stored
 
 
 def sort_by_position(df: DataFrame, bucket: int = 1_000_000, chr: str = "chr", pos: str = "start_pos",
@@ -96,7 +97,8 @@ def skip_oversized(df: DataFrame, query: str = "query", max_rows: int = 10_000)
 
 
 def max_placements(df: DataFrame, limit: int, read: str = "sample") -> DataFrame:
-    """Placements of reads that have at most `limit`, with their count in front."""
+    """Placements of reads that have at most `limit`, with their count in front. Placements are written once: they are counted and joined."""
+    df = stored(df, "placements")
     counts = df.groupBy(read).agg(F.count(F.lit(1)).alias("places"))
     return df.join(counts.where(F.col("places") <= limit), read).select("places", *df.columns)
 

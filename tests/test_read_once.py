@@ -21,3 +21,16 @@ def test_reads_without_a_hit_are_not_widened(spark):
         assert not kept & far and kept >= {m for m in mers if m and m not in far}
         want = K.widened(reads, 12, most).join(index.rows, "_key").select("id", "pos", "err")
         assert sorted(map(tuple, index.hits(reads, most).select("id", "pos", "err").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_placements_are_counted_and_joined_from_one_run(spark):
+    runs = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def made(x):
+        runs.add(1)
+        return x
+    placements = spark.range(40).select("id", made(F.col("id") % 13).alias("sample"))
+    got = O.max_placements(placements, 3).collect()
+    assert {r["sample"] for r in got} == set(range(1, 13)) and all(r.places == 3 for r in got)
+    assert runs.value == 40
