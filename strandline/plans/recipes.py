@@ -7,14 +7,15 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import iupac
 from ..operators import (calls as C, cnv as B, consensus as N, evidence as E, intervals as I, placement as P, reads as R,
                          runs as U, sorting as O)
+from ..session import stored
 
 
 def two_letter_placement(reads: DataFrame, ref_kmers: DataFrame, chunks: DataFrame, chunk: int, k: int, gap: tuple[int, int]) -> DataFrame:
-    """Both strands, gapped placement, report, two-letter gap filter, sorted by read."""
+    """Both strands, gapped placement, report, two-letter gap filter, sorted by read. The rows are written first: a sort reads its input twice."""
     both = R.both_strands(reads, ["mer0", "mer1"])
     placed = P.place_gapped(both, ref_kmers, k, [gap])
     report = P.place_report(placed, both, chunks, chunk, k, reach=2 * k + gap[1])
-    return R.two_letter_gap(report).orderBy("sample", "chr", "pos0", "pos1", "side")
+    return stored(R.two_letter_gap(report), "two-letter").orderBy("sample", "chr", "pos0", "pos1", "side")
 
 
 def placement_accuracy(reads: DataFrame, ref_kmers: DataFrame, chunks: DataFrame, chunk: int, k: int,
@@ -68,12 +69,13 @@ def evidence_report(parts: DataFrame, latest: DataFrame, freq: DataFrame, build:
 def exon_placement_report(reads: DataFrame, exons: DataFrame, max_mm: int = 1) -> DataFrame:
     """Placed split reads as bases on the exons, and the consensus of every position.
 
-    `exons` has exon, seq and strand; qualities are constant.
+    `exons` has exon, seq and strand; qualities are constant. The bases are
+    written first: a sort by ranges reads its input twice.
     """
     placed = P.place_split_reads(reads, exons, max_mm)
     bases = P.annotate_bases(placed, exons).join(exons.select("exon", "strand"), "exon")
     forward = R.forward_strand(bases.withColumns({"base": F.upper("base"), "ref_base": F.upper("ref_base")}))
-    rows = O.sort_by_id_then_pos(forward, "exon", "pos", then=("read_id", "offset"))
+    rows = O.sort_by_id_then_pos(stored(forward, "exon-bases"), "exon", "pos", then=("read_id", "offset"))
     return N.consensus_by_quality(rows.withColumns({"qual": F.lit(1), "ord": F.struct("read_id", "offset")}))
 
 

@@ -34,3 +34,13 @@ def test_placements_are_counted_and_joined_from_one_run(spark):
     got = O.max_placements(placements, 3).collect()
     assert {r["sample"] for r in got} == set(range(1, 13)) and all(r.places == 3 for r in got)
     assert runs.value == 40
+
+
+def _plan(spark, name):
+    return QUERIES[name](Tables(spark, FOLDER))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sorted_rows_are_made_once(spark):
+    for name in ("two_letter_placement", "exon_placement_report"):
+        plan = _plan(spark, name)
+        assert ("Sort" in plan or "Repartition" in plan) and "Join" not in plan, name
