@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from ..functions.seq import let
-from ..scale import carry_last, running_sum
+from ..scale import carry_last, running_sums
+from ..session import stored
 from ..sources.files import numbered_text
 
 BLOCK = 1 << 26
@@ -44,12 +48,32 @@ def locator_size(token) -> Column:
     return F.coalesce(plus, BLOCK - minus)
 
 
+@F.arrow_udf(ArrayType(LongType()))
+def _before_each(sizes: pa.Array) -> pa.Array:
+    """The sum of the numbers before each one of its array."""
+    at = sizes.offsets.to_numpy().astype("int64") - sizes.offsets[0].as_py()
+    total = np.concatenate([[0], np.cumsum(sizes.flatten().to_numpy(zero_copy_only=False))]).astype("int64")
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(total[:-1] - np.repeat(total[at[:-1]], np.diff(at))))
+
+
+def _hints(token) -> Column:
+    return F.regexp_replace(token, r"^[0-9a-f]{32}([-+][0-9]+)?", "").alias("hints")
+
+
 def parse_manifests(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(files, blocks) of manifest lines, see `parse_manifest_tokens`."""
-    return parse_manifest_tokens(manifest_tokens(lines))
+    """(files, blocks) of manifest lines, see `parse_manifest_tokens`. A line has all blocks of its stream, so no block is moved."""
+    parts = F.split("line", " ")
+    tokens = F.coalesce(F.slice(parts, 2, F.size(parts)), F.array().cast("array<string>"))
+    found = F.filter(F.transform(tokens, lambda x, i: F.struct(i.alias("i"), x.alias("token"))), lambda z: z["token"].rlike(_BLOCK))
+    sized = F.transform(found, lambda z: F.struct(z["i"].alias("i"), z["token"].alias("token"), locator_size(z["token"]).alias("size")))
+    rows = lines.select("manifest", F.get(parts, F.lit(0)).alias("stream"), sized.alias("_b"))
+    rows = rows.withColumn("_first", _before_each(F.transform("_b", lambda z: F.coalesce(z["size"], F.lit(0).cast("long")))))
+    each = rows.select("manifest", "stream", F.inline(F.arrays_zip("_b", "_first")))
+    blocks = each.select("manifest", "stream", "_b.i", F.left("_b.token", F.lit(32)).alias("md5"), "_b.size", _hints(F.col("_b.token")), F.col("_first").alias("first"))
+    return parse_manifest_tokens(manifest_tokens(lines), blocks)
 
 
-def parse_manifest_tokens(t: DataFrame) -> tuple[DataFrame, DataFrame]:
+def parse_manifest_tokens(t: DataFrame, blocks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(files, blocks) of manifests by token.
 
     files: manifest, stream, file, pos, size. blocks: manifest, stream, i, md5,
@@ -59,22 +83,30 @@ def parse_manifest_tokens(t: DataFrame) -> tuple[DataFrame, DataFrame]:
     files = t.where(F.col("token").rlike(_FILE)).select(
         "manifest", "stream", F.regexp_extract("token", _FILE, 3).alias("file"), F.regexp_extract("token", _FILE, 1).cast("long").alias("pos"),
         F.regexp_extract("token", _FILE, 2).cast("long").alias("size"))
-    b = t.where(F.col("token").rlike(_BLOCK)).select(
-        "manifest", "stream", "i", F.left("token", F.lit(32)).alias("md5"), locator_size(F.col("token")).alias("size"),
-        F.regexp_replace("token", r"^[0-9a-f]{32}([-+][0-9]+)?", "").alias("hints"))
-    run = running_sum(b, "i", F.coalesce("size", F.lit(0)), "_end", 1 << 16, keys=("manifest", "stream"))
+    if blocks is not None:
+        return files, blocks
+    # Tokens that were cut from files are moved to get here, so blocks are written once; only streams of more than 65,536 tokens are cut into slices.
+    b = stored(t.where(F.col("token").rlike(_BLOCK)).select(
+        "manifest", "stream", "i", F.left("token", F.lit(32)).alias("md5"), locator_size(F.col("token")).alias("size"), _hints(F.col("token"))), "manifest-blocks")
+    run = running_sums(b, "i", {"_end": F.coalesce("size", F.lit(0))}, ("manifest", "stream"), 1 << 16, counted=True)
     return files, run.withColumn("first", F.col("_end") - F.coalesce("size", F.lit(0))).drop("_end")
 
 
 def file_block_ranges(files: DataFrame, blocks: DataFrame, bin_size: int = BLOCK) -> DataFrame:
-    """Blocks behind each file and the byte range used of each."""
-    from .intervals import interval_join
-    key = F.concat_ws(" ", "manifest", "stream")
-    f = files.where("size > 0").select(key.alias("chr"), "manifest", "stream", "file", "pos", "size", F.col("pos").alias("start_pos"), (F.col("pos") + F.col("size") - 1).alias("end_pos"))
-    b = blocks.where("size > 0").select(key.alias("chr"), "md5", "i", F.col("first").alias("start_pos"), (F.col("first") + F.col("size") - 1).alias("end_pos"))
-    lo, hi = F.greatest("start_pos", "start_pos_r"), F.least("end_pos", "end_pos_r")
-    return interval_join(f, b, bin_size).select("manifest", "stream", "file", F.col("i_r").alias("i"), F.col("md5_r").alias("md5"),
-                                                (lo - F.col("start_pos_r")).alias("offset"), (hi - lo + 1).alias("length"))
+    """Blocks behind each file and the byte range used of each.
+
+    Files and blocks meet once, in bins of a few blocks, and a pair counts in the bin it begins in. A file is in at most 2^16 bins.
+    """
+    f = files.where("size > 0").select(*[F.col(c).alias(f"_{c}") for c in ("manifest", "stream")], "file", "pos", F.col("size").alias("_size"))
+    b = blocks.where("size > 0").select("manifest", "stream", "i", "md5", "first", "size")
+    longest, mean = f.agg(F.max("_size")).first()[0], b.agg(F.avg("size")).first()[0]
+    width = max(min(bin_size, 4 << max(int(mean or 1), 1).bit_length() - 1), (longest or 0) >> 16)
+    bins = lambda first, size: F.explode(F.sequence(F.floor(F.col(first) / width), F.floor((F.col(first) + F.col(size) - 1) / width)))
+    f, b = f.withColumn("_f", bins("pos", "_size")), b.withColumn("_b", bins("first", "size"))
+    lo, hi = F.greatest("pos", "first"), F.least(F.col("pos") + F.col("_size"), F.col("first") + F.col("size"))
+    met = f.join(b, F.col("_manifest").eqNullSafe(F.col("manifest")) & F.col("_stream").eqNullSafe(F.col("stream"))
+                 & (F.col("_f") == F.col("_b")) & (lo < hi) & (F.floor(lo / width) == F.col("_b")))
+    return met.select("manifest", "stream", "file", "i", "md5", (lo - F.col("first")).alias("offset"), (hi - lo).alias("length"))
 
 
 def list_files(files: DataFrame, sizes: bool = False) -> DataFrame:

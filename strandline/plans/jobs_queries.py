@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import imaging as M, jobs as J, recovery as V, storage as S
-from ..session import new_path
+from ..session import new_path, stored
 from ..sources.files import write_files
 from .catalog import query
 from .views import add_view
@@ -193,7 +193,8 @@ def _(t):
     "greatest(fl.pos - bl.first, 0) as offset_, 0 as x from fl join bl using (stream) where false",
     'greatest(fl.pos, bl.first) - bl.first as "offset", least(fl.pos + fl.size, bl.first + bl.sz) - greatest(fl.pos, bl.first) as "length" from fl join bl on bl.stream = fl.stream and bl.sz > 0 and fl.size > 0 and fl.pos < bl.first + bl.sz and bl.first < fl.pos + fl.size'))
 def _(t):
-    return S.file_block_ranges(*S.parse_manifests(t.manifest_lines))
+    # Lines are read for files and for blocks, so they are written once.
+    return S.file_block_ranges(*S.parse_manifests(stored(t.manifest_lines, "manifest-lines")))
 
 
 @query("list_files", f"with {_BLOCKS} select manifest, concat(stream, '/', file) as path, cast(ceil(size / 1024) as bigint) as kib from fl")

@@ -72,15 +72,18 @@ def running_sum(df: DataFrame, order: str, value: Column, out: str, width: int =
             .drop("_slice", "_v", "_in", "_base"))
 
 
-def running_sums(df: DataFrame, order: str, values: dict[str, Column], keys: tuple[str, ...], width: int = SLICE, whole: int = 1 << 16) -> DataFrame:
+def running_sums(df: DataFrame, order: str, values: dict[str, Column], keys: tuple[str, ...], width: int = SLICE, whole: int = 1 << 16,
+                 counted: bool = False) -> DataFrame:
     """Inclusive running totals of several values along the integer column `order`, per key, with one shuffle of the rows.
 
     A key of up to `whole` rows is one slice. Only larger keys are cut into
-    slices of `width` order values, as in `running_sum`.
+    slices of `width` order values, as in `running_sum`. Where the order counts
+    a key's rows from 0 (`counted`; some may be missing), it tells the larger keys without a count.
     """
     keys = list(keys)
     same = lambda d, e: [d[k].eqNullSafe(e[f"_{k}"]) for k in keys]
-    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > whole).select(*[F.col(k).alias(f"_{k}") for k in keys], F.lit(True).alias("_large"))
+    count = df.where(F.col(order) >= whole).groupBy(*keys).agg(F.max(order).alias("_c")) if counted else df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
+    large = count.where(F.col("_c") >= whole + (not counted)).select(*[F.col(k).alias(f"_{k}") for k in keys], F.lit(True).alias("_large"))
     large, _ = lookup(large, "large-keys")
     cut = F.when(F.col("_large"), F.floor(F.col(order) / width))
     some = not large.isEmpty()

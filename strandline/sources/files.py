@@ -9,6 +9,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from ..scale import lookup
+
 
 def read_files(spark: SparkSession, path: str, pattern: str | None = None, gunzip: bool = True) -> DataFrame:
     """(stream, file, line) of all text files under `path`; `.gz` is decompressed while reading.
@@ -45,6 +47,8 @@ def numbered_text(spark: SparkSession, path: str, pattern: str | None = None, se
     splits = lines.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy("file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     shift = splits.select("file", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    # One row per split, counted, so that lines are not moved to meet them.
+    shift, _ = lookup(shift, "splits")
     return lines.join(shift, ["file", "_block"]).select("file", (F.col("_id") + F.col("_shift")).alias("line_no"), "line")
 
 

@@ -4,7 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from strandline.operators import imaging as M
+from strandline.operators import imaging as M, storage as S
+from strandline.scale import running_sums
+from strandline.sources import files as L
 
 
 def _plan(df):
@@ -26,3 +28,41 @@ def test_pixels_are_packed_before_they_are_moved(spark):
                     want[i, j] = (line, lines[j - 1] if j else None, lines[j + 1] if j + 1 < len(lines) else None)
             assert {(r.image, r.row): (r.v, r.up, r.down) for r in rows.collect()} == want
             assert ("collect_list(struct(idx" in _plan(rows)) == (kind == "double")
+
+
+def test_blocks_of_a_line_are_not_moved(spark):
+    md5 = lambda i: f"{i:032x}"
+    lines = [(1, f"./a {md5(1)}+5 {md5(2)} {md5(3)}+7+Kx 0:9:x.txt b.txt"), (1, f"./a {md5(4)}-1 {md5(5)}+2 3:0:y"), (None, "./b"), (2, None), (3, f"./c 0:4:z {md5(6)}+9")]
+    blocks = S.parse_manifests(spark.createDataFrame(lines, "manifest int, line string"))[1]
+    got = {(r.manifest, r.stream, r.i, r.md5, r.size, r.hints, r.first) for r in blocks.collect()}
+    assert got == {(1, "./a", 0, md5(1), 5, "", 0), (1, "./a", 1, md5(2), None, "", 5), (1, "./a", 2, md5(3), 7, "+Kx", 5),
+                   (1, "./a", 0, md5(4), S.BLOCK - 1, "", 0), (1, "./a", 1, md5(5), 2, "", S.BLOCK - 1), (3, "./c", 1, md5(6), 9, "", 0)}
+    assert "Window" not in _plan(blocks) and "Repartition" not in _plan(blocks)
+
+
+def test_files_meet_blocks_once(spark):
+    rnd = random.Random(11)
+    files, blocks = [("m", "./s0", "long", 5, 1 << 50)], []
+    for s in range(6):
+        first = 0
+        for i in range(40):
+            size = rnd.choice([None, 0, 1, 9, 500])
+            blocks.append((None if s == 5 else "m", f"./s{s}", i, f"b{s}-{i}", size, first))
+            first += size or 0
+        files += [(None if s == 5 else "m", f"./s{s}", f"f{j}", p := rnd.randint(0, first), rnd.choice([None, 0, 1, rnd.randint(1, first), 2 * first])) for j in range(12)]
+    ranges = S.file_block_ranges(spark.createDataFrame(files, "manifest string, stream string, file string, pos long, size long"),
+                                 spark.createDataFrame(blocks, "manifest string, stream string, i int, md5 string, size long, first long"))
+    want = [(f[0], f[1], f[2], b[2], b[3], max(f[3], b[5]) - b[5], min(f[3] + f[4], b[5] + b[4]) - max(f[3], b[5])) for f in files for b in blocks
+            if f[:2] == b[:2] and f[4] and b[4] and f[3] < b[5] + b[4] and b[5] < f[3] + f[4]]
+    assert sorted(map(str, (tuple(r) for r in ranges.collect()))) == sorted(map(str, want))
+    assert _plan(ranges).count("Join Inner") == 1
+
+
+def test_numbered_lines_and_their_totals_are_moved_once(spark, tmp_path):
+    (tmp_path / "a").write_text("\n".join(map(str, range(500))))
+    assert "strategy=broadcast" in _plan(L.numbered_text(spark, str(tmp_path)))
+    rows = [(k, i, (i * 7 + (k or 0)) % 11) for k in (0, 1, None) for i in range(0, 8 if k == 1 else 100, 1 if k == 1 else 3)]
+    df = spark.createDataFrame(rows, "k int, i int, v long")
+    got = running_sums(df, "i", {"s": F.col("v")}, ("k",), 16, 32, counted=True)
+    want = {(k, i): sum(v for kk, j, v in rows if kk == k and j <= i) for k, i, _ in rows}
+    assert {(r.k, r.i): r.s for r in got.collect()} == want
