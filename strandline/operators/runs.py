@@ -26,6 +26,18 @@ def _bytes(s, i, k: int):
     return F.substring(s, i + 1, F.lit(k))
 
 
+# Letters that are compared at once; only pieces that differ are looked at letter by letter.
+_PIECE = 32
+
+
+def _differing(z, lo: int, hi):
+    """Positions lo..hi at which both strings of `_pair` have different bytes, in order."""
+    q, r = z["q"], z["r"]
+    pieces = F.filter(F.sequence(F.lit(0), F.floor((F.length(q) - 1) / _PIECE).cast("int")), lambda c: _bytes(q, c * _PIECE, _PIECE) != _bytes(r, c * _PIECE, _PIECE))
+    letters = lambda c: F.filter(F.sequence(c * _PIECE, c * _PIECE + (_PIECE - 1)), lambda i: (i >= lo) & (i <= hi) & (_bytes(q, i, 1) != _bytes(r, i, 1)))
+    return F.flatten(F.transform(pieces, letters))
+
+
 def _islands(edits):
     """Array of (i, edit) to runs of equal consecutive edits."""
     def runs(e):
@@ -59,7 +71,7 @@ def alignment_runs(alignments: DataFrame, m: int, n: int) -> DataFrame:
 
     def edits(z):
         q, r = z["q"], z["r"]
-        hit = F.filter(F.sequence(F.lit(m), F.length(q) - m - 1), lambda i: _bytes(q, i, 1) != _bytes(r, i, 1))
+        hit = _differing(z, m, F.length(q) - m - 1)
         text = lambda s, i: _bytes(s, i - m, width).cast("string")
         return F.when(F.length(q) > 2 * m, F.transform(hit, lambda i: F.struct(
             i.alias("i"), F.concat(text(r, i), F.lit("}"), text(q, i)).alias("edit"))))
@@ -246,9 +258,9 @@ def _mismatches(z):
     q, r = z["q"], z["r"]
     gap = F.encode(F.lit("-"), "US-ASCII")
     at = lambda s, i: _bytes(s, i, 1)
-    columns = F.sequence(F.lit(0), F.length(q) - 1)
-    differ = F.filter(columns, lambda i: (at(q, i) != at(r, i)) & (at(q, i) != gap) & (at(r, i) != gap))
-    return let(F.filter(columns, lambda i: at(r, i) == gap), lambda gaps: F.transform(differ, lambda i: F.struct(
+    differ = F.filter(_differing(z, 0, F.length(q) - 1), lambda i: (at(q, i) != gap) & (at(r, i) != gap))
+    spots = F.when(F.locate("-", F.col("bp_r")) > 0, F.filter(F.sequence(F.lit(0), F.length(q) - 1), lambda i: at(r, i) == gap)).otherwise(F.array().cast("array<int>"))
+    return let(spots, lambda gaps: F.transform(differ, lambda i: F.struct(
         (i - F.size(F.filter(gaps, lambda g: g < i))).alias("i"), F.lower(F.concat(at(q, i).cast("string"), at(r, i).cast("string"))).alias("edit"))))
 
 
@@ -261,8 +273,14 @@ def _clusters(pos, p, pvalue: float, least: int):
     """
     chance = lambda i, j: tail_probability(p, pos[j] - pos[i] + 1, j - i + 1)
     every = F.sequence(F.lit(0), F.size(pos) - 1)
-    reach = F.transform(every, lambda i: F.when(i + least <= F.size(pos), F.array_max(F.filter(
-        F.sequence(i + least - 1, F.size(pos) - 1), lambda j: chance(i, j) < pvalue))))
+    last = F.size(pos) - 1
+    # The widest stretch is tried first, the others only until one is found; ends that an earlier stretch reaches add nothing.
+    widest = lambda i, top: F.when(F.greatest(i + least - 1, top + 1) <= last, F.aggregate(
+        F.sequence(last, F.greatest(i + least - 1, top + 1), F.lit(-1)), F.lit(None).cast("int"),
+        lambda got, j: F.when(got.isNull() & (chance(i, j) < pvalue), j).otherwise(got)))
+    empty = F.struct(F.array().cast("array<int>").alias("reach"), F.lit(-1).alias("top"))
+    reach = F.aggregate(every, empty, lambda acc, i: let(F.struct(acc.alias("a"), widest(i, acc["top"]).alias("j")), lambda x: F.struct(
+        F.concat(x["a"]["reach"], F.array(x["j"])).alias("reach"), F.greatest(x["a"]["top"], x["j"]).alias("top"))), lambda acc: acc["reach"])
 
     def found(reach):
         starts = F.filter(every, lambda i: reach[i].isNotNull() & (F.coalesce(F.array_max(F.slice(reach, F.lit(1), i)), F.lit(-1)) < i))
@@ -280,10 +298,12 @@ def cluster_edits(alignments: DataFrame, pvalue: float, min_size: int) -> DataFr
     between them, so it lies in one island of equal edits. All is found inside
     the alignment's row; positions are addresses in the reference string.
     """
-    rows = alignments.where("length(bp_q) > 0 and length(bp_q) = length(bp_r)").select(
-        "query", F.length("bp_q").alias("len"), let(_pair(), _mismatches).alias("mm")).where(F.size("mm") >= min_size)
-    kinds = F.array(*[F.struct(F.lit(e).alias("edit"), F.lit(c).alias("control")) for e, c in CLUSTERED])
-    each = settle(rows.withColumn("islands", _islands(F.col("mm"))), "mm", "islands").select("query", "len", "mm", "islands", F.inline(kinds))
+    rows = alignments.where("length(bp_q) > 0 and length(bp_q) = length(bp_r)").select("query", F.length("bp_q").alias("len"), let(_pair(), _mismatches).alias("mm"))
+    rows = settle(rows, "mm").where(F.size("mm") >= min_size).withColumn("islands", _islands(F.col("mm")))
+    # Only edits with an island that is large enough go on.
+    kinds = F.filter(F.array(*[F.struct(F.lit(e).alias("edit"), F.lit(c).alias("control")) for e, c in CLUSTERED]), lambda k: F.exists(
+        "islands", lambda x: (x["edit"] == k["edit"]) & (x["n"] >= min_size)))
+    each = settle(rows, "islands").select("query", "len", "mm", "islands", F.inline(kinds))
     count = lambda keep: F.size(F.filter("mm", keep))
     other = count(lambda m: m["edit"].isin([e for e, _ in CLUSTERED]) & (m["edit"] != F.col("edit")))
     own = F.filter("islands", lambda x: (x["edit"] == F.col("edit")) & (x["n"] >= min_size))

@@ -1,13 +1,21 @@
 """What grows with the input: bytes moved and work per letter, with results as by brute force."""
 
 import random
+import time
+from collections import Counter
+from itertools import product
 
 from pyspark.sql import functions as F
 
-from strandline.operators import imaging as M, storage as S
+from strandline.functions import seq as Q
+from strandline.operators import imaging as M, reads as R, runs as U, storage as S
+from strandline.plans import registry
+from strandline.plans.catalog import QUERIES, Tables
 from strandline.scale import running_sums
 from strandline.sources import files as L
 
+registry.load()
+
 
 def _plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
@@ -66,3 +74,40 @@ def test_numbered_lines_and_their_totals_are_moved_once(spark, tmp_path):
     got = running_sums(df, "i", {"s": F.col("v")}, ("k",), 16, 32, counted=True)
     want = {(k, i): sum(v for kk, j, v in rows if kk == k and j <= i) for k, i, _ in rows}
     assert {(r.k, r.i): r.s for r in got.collect()} == want
+
+
+def test_long_islands_of_edits(spark):
+    # Every letter of a stretch of 700 is edited: widest stretch first, where all were tried before, each over all its members.
+    ref, query = "c" * 300 + "a" * 700 + "c" * 300, "c" * 300 + "g" * 700 + "c" * 300
+    df = spark.createDataFrame([("q", query, ref), ("r", "c--ac", "c-gga")], "query string, bp_q string, bp_r string")
+    start = time.time()
+    got = U.cluster_edits(df, 0.05, 3).collect()
+    assert [(r.query, r.edit, r.n_clusters, r.n_members, r.n_edits) for r in got] == [("q", "ga", 1, 700, 700)] and time.time() - start < 60
+
+
+def test_letters_of_documents_are_made_once(spark):
+    plan = _plan(QUERIES["cluster_edits"](Tables(spark, "/root/testdata/sf0.001")))
+    assert plan.count("regexp_replace") == 1
+
+
+def test_mers_and_their_complements_are_counted_once(spark):
+    rnd = random.Random(2)
+    arms = [tuple(rnd.choice(["acgt", "aacc", "ggtt", "nacg", "", None]) for _ in range(2)) for _ in range(80)]
+    got = R.kmer_coincidence(spark.createDataFrame(arms, "arm0 string, arm1 string"), 30)
+    rc = lambda m: m and m[::-1].translate(str.maketrans("acgt", "tgca"))
+    n = Counter(x for a in arms for m in a for x in (m, rc(m)))
+    assert {(r.mer, r.n, r.overflow) for r in got.collect()} == {(m, min(c, 30), max(c - 30, 0)) for m, c in n.items()}
+    assert "least(" in _plan(got) and "Generate explode(array(least" in _plan(got)
+
+
+def test_codes_are_read_from_a_table(spark):
+    mers = ["".join(p) for p in product("acgt", repeat=3)] + ["acgtacgtacgtac", "tttttttttttttt", "a", None]
+    for k in (1, 3, 14):
+        own = [m for m in mers if m is None or len(m) == k]
+        df = spark.createDataFrame([(m,) for m in own], "mer string").select("mer", Q.kmer_text(Q.kmer_code("mer"), k).alias("back"))
+        assert all(r.mer == r.back for r in df.collect()) and "conv(cast" not in _plan(df)
+    seqs = spark.createDataFrame([(1, "acgtnnacgtaccgt"), (2, "nnacgtacgtaa"), (3, "acg"), (4, None)], "doc_id long, seq string")
+    plan = R.sequence_encode(seqs)
+    assert {(r.doc_id, r.offset, r.code) for r in plan.where("doc_id = 2").collect()} == {
+        (2, i, int("aaacgtacgtaa"[i:i + 8].translate(str.maketrans("acgt", "0123")), 4)) for i in range(5)}
+    assert "lower(kmer" not in _plan(plan)
