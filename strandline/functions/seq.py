@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, functions as F
 
 # IUPAC letters and their complements, both cases.
@@ -37,8 +39,15 @@ def kmer_code(col) -> Column:
 
 
 def kmer_text(code, k: int) -> Column:
-    """Inverse of `kmer_code`."""
-    return F.translate(F.lpad(F.conv(_c(code).cast("string"), 10, 4), k, "0"), "0123", "acgt")
+    """Inverse of `kmer_code`, four letters at a time from a table."""
+    parts, left = [], k
+    while left:
+        n = min(left, 4)
+        left -= n
+        words = F.split(F.lit(" ".join(map("".join, product("acgt", repeat=n)))), " ")
+        parts.append(F.element_at(words, F.shiftright(_c(code), 2 * left).bitwiseAND(F.lit(4 ** n - 1)).cast("int") + 1))
+    # The table's lookup takes a NULL place for a number.
+    return F.when(_c(code).isNotNull(), F.concat(*parts))
 
 
 def fill_ambiguous(col) -> Column:
