@@ -8,7 +8,7 @@ from itertools import product
 from pyspark.sql import functions as F
 
 from strandline.functions import seq as Q
-from strandline.operators import imaging as M, reads as R, runs as U, storage as S
+from strandline.operators import imaging as M, reads as R, runs as U, storage as S, text as X
 from strandline.plans import registry
 from strandline.plans.catalog import QUERIES, Tables
 from strandline.scale import running_sums
@@ -111,3 +111,16 @@ def test_codes_are_read_from_a_table(spark):
     assert {(r.doc_id, r.offset, r.code) for r in plan.where("doc_id = 2").collect()} == {
         (2, i, int("aaacgtacgtaa"[i:i + 8].translate(str.maketrans("acgt", "0123")), 4)) for i in range(5)}
     assert "lower(kmer" not in _plan(plan)
+
+
+def test_checksums_of_all_are_read_as_bytes(spark):
+    import hashlib
+    md5 = lambda text: hashlib.md5(text.encode()).hexdigest()
+    rows = [(g, o, c) for g in (3, 1, None) for o, c in ((2, md5(f"{g}")), (1, "0aF" if g == 1 else md5("b")), (3, None), (4, "é" if g is None else "00"), (5, "\n" if g is None else ""))]
+    schema = "grp int, ord int, checksum string"
+    df = X.checksum_of_checksums(spark.createDataFrame(rows, schema), "grp", "ord")
+    text = {g: "".join(c or "" for _, c in sorted(((o, c) for gg, o, c in rows if gg == g), key=lambda x: x[0])) for g in (3, 1, None)}
+    want = [md5(text[g]) for g in (3, 1, None)] + [md5(text[None] + text[1] + text[3])]
+    assert sorted(r.checksum for r in df.collect()) == sorted(want)
+    assert "unhex" in _plan(df)
+    assert [tuple(r) for r in X.checksum_of_checksums(spark.createDataFrame([], schema), "grp", "ord").collect()] == [(None, md5(""))]
