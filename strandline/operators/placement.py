@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import iupac, seq as S
-from ..scale import lookup
-from .kmers import KmerIndex, code_differences, explode_kmers, glued, mer_codes, pairs_within, reference_slice, widened
+from ..scale import lookup, settle
+from ..session import stored
+from .kmers import KmerIndex, code_differences, code_test, explode_kmers, glued, mer_codes, pairs_within, reference_slice, widened
 
 
 def place_gapped(reads: DataFrame, ref_kmers: DataFrame, k: int, gaps: list[tuple[int, int]], snps: int = 1,
@@ -206,8 +207,19 @@ def place_split_reads(reads: DataFrame, exons: DataFrame, max_mm: int = 1) -> Da
     part = lambda code, j: F.shiftright(code, size * (n_parts - 1 - j)).bitwiseAND(F.lit((1 << size) - 1)) + (j << 24)
     by_part, _ = lookup(by_key.select("exon", F.explode(F.array(*[part(F.col("_key"), j) for j in range(n_parts)])).alias("_part"), "_key", "n"), "exon-parts")
     good = reads.where(~F.col("bases").contains("."))
+    # Bit tables of the seeds and of their neighbours sort out most reads before a half is widened or joined. An ambiguous letter counts as `a`
+    # there, which is at most one substitution off where it may be read as another letter. What is left is written once, for both directions.
+    near = [code_test(by_key.select("_key"), half, mm) for mm in range(min(max_mm, 1) + 1)]
+    digits = F.translate(F.lower(F.left("bases", F.lit(2 * half))), "acgt", "0123")
+    digits = F.when(digits.rlike("[^0-3]"), F.regexp_replace(digits, "[^0-3]", "0")).otherwise(digits)
+    coded = settle(good.where(F.length("bases") >= 2 * half).select("read_id", "bases", F.conv(digits, 4, 10).cast("long").alias("_code")), "read_id", "bases", "_code")
+    code0, code1 = F.shiftright("_code", 2 * half), F.col("_code").bitwiseAND(F.lit((1 << 2 * half) - 1))
+    either = near[max_mm // 2](code0) & (near[1](code1) if max_mm == 1 else near[0](code1) if not max_mm else F.lit(True))
+    if max_mm:
+        either = either | (near[0](code1) & (near[1](code0) if max_mm == 1 else F.lit(True)))
+    seeded = stored(coded.where(either).select("read_id", "bases"), "seeded-reads")
     # Both halves travel with the read, so nothing is shuffled before the placements are counted.
-    mers = good.select("read_id", *[F.lower(F.substr("bases", F.lit(1 + half * i), F.lit(half))).alias(f"mer{i}") for i in (0, 1)])
+    mers = seeded.select("read_id", *[F.lower(F.substr("bases", F.lit(1 + half * i), F.lit(half))).alias(f"mer{i}") for i in (0, 1)])
     halves = mers.where(f"length(mer0) = {half} and length(mer1) = {half}").select("*", *[c for i in (0, 1) for c in mer_codes(f"mer{i}", f"c{i}", f"a{i}")])
 
     def placed(no: int, first: int, least: int) -> DataFrame:
@@ -236,6 +248,8 @@ def place_split_reads(reads: DataFrame, exons: DataFrame, max_mm: int = 1) -> Da
     per = both.groupBy("read_id").agg(
         F.sum(F.col("n0") * F.col("n1")).alias("n_pairs"),
         F.min(F.struct((F.col("mm0") + F.col("mm1")).alias("mm"), "exon", "key0", "key1")).alias("_b"))
+    # Reads are moved only if many of them are placed.
+    per, _ = lookup(per, "placed-reads")
     unique = F.col("n_pairs") == 1
     text = F.concat(S.kmer_text(F.col("_b.key0"), half), S.kmer_text(F.col("_b.key1"), half))
     return good.join(per, "read_id", "left").select(
