@@ -6,12 +6,14 @@ the row with array functions and need no shuffle.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.prob import tail_probability
 from ..functions.seq import let
 from ..scale import settle
-from ..session import cut
+from ..session import stored
 
 # The twelve edits in report order.
 EDITS = ("ac", "ag", "at", "ca", "cg", "ct", "ga", "gc", "gt", "ta", "tc", "tg")
@@ -189,47 +191,80 @@ def runs_to_bed(runs: DataFrame, flank: int = 1, min_span: int = 100) -> DataFra
         "|", "edit", (F.col("pos_q") + F.col("p")).cast("string"), *q, "strand", F.col("span").cast("string")).alias("name"))
 
 
-# Bins an axis is cut into, per grid cell, when successors are looked up.
-_BINS_PER_CELL = 256
+# Bins an axis is cut into, per grid cell, when lines are looked for, and the least number for a range that is looked into again.
+_BINS_PER_CELL = 1024
+_LEAST_BINS = 256
+
+
+def _by_halving(v, starts: list, leaves: list):
+    """The leaf of the last start that is not above `v`; for smaller values and NULL the first leaf."""
+    if len(leaves) == 1:
+        return leaves[0]
+    half = len(leaves) // 2
+    return F.when(v >= F.lit(starts[half]), _by_halving(v, starts[half:], leaves[half:])).otherwise(_by_halving(v, starts[:half], leaves[:half]))
 
 
-def _successors(values: DataFrame, axis: str, lo, hi, step, cells: int) -> DataFrame:
-    """(v, to): for each value the first one more than `step` beyond it, NULL if there is none.
+def _bounds(lo, hi, step, groups: list, exact: dict) -> list:
+    """(least, most) of each line, as far as the least and greatest values of disjoint `groups` tell; `exact` has the next line of some known ones.
 
-    The first one in the bin of v + step if there is one behind it, else the least value of the next bin that has any.
+    The next line never falls as the line before it grows, so the ends of a line's range bound the next one.
     """
-    width = (float(hi) - float(lo)) / (cells * _BINS_PER_CELL)
-    bin_of = lambda c: F.floor((c.cast("double") - float(lo)) / width)
-    v = F.col(axis)
-    marks = values.select(v.alias("v"), v.alias("at"), F.lit(False).alias("asks")).union(values.select(v.alias("v"), (v + F.lit(step)).alias("at"), F.lit(True)))
-    # At equal places the question stands behind the value: only larger values answer.
-    behind = W.partitionBy("_bin").orderBy("at", "asks").rowsBetween(1, W.unboundedFollowing)
-    inside = (marks.withColumn("_bin", bin_of(F.col("at"))).withColumn("_near", F.min(F.when(~F.col("asks"), F.col("at"))).over(behind)).where("asks"))
-    firsts = values.groupBy(bin_of(v).alias("_b")).agg(F.min(v).alias("_first"))
-    # One row for each bin: their number is bounded by the grid.
-    bins = values.sparkSession.range(cells * _BINS_PER_CELL + 2).withColumnRenamed("id", "_bin").join(F.broadcast(firsts), F.col("_bin") == F.col("_b"), "left")
-    later = bins.select("_bin", F.min("_first").over(W.orderBy("_bin").rowsBetween(1, W.unboundedFollowing)).alias("_later"))
-    return inside.join(F.broadcast(later), "_bin", "left").select("v", F.coalesce("_near", "_later").alias("to"))
+    tops = [top for _, top in groups]
+    found = [(lo, lo)]
+    while True:
+        least, most = found[-1]
+        if least == most and least in exact:
+            if exact[least] is None:
+                return found
+            found.append((exact[least],) * 2)
+            continue
+        if not hi > least + step:
+            return found
+        first, top = groups[bisect_right(tops, least + step)]
+        start = first if first > least + step else least + step
+        if hi > most + step:
+            first, top = groups[bisect_right(tops, most + step)]
+            found.append((start, first if first > most + step else top))
+        else:  # there is no such line if the one before is at its end
+            found.append((start, hi))
 
 
 def grid_lines(values: DataFrame, axis: str, lo, hi, cells: int) -> list:
     """Anchors of one axis from `lo` on, each the first value more than half a cell beyond the last one.
 
-    Pointer doubling over the successor table: a round doubles both the lines
-    that are known and the jump, so 2 x cells + 1 lines take about log2 of that many rounds.
+    Values are counted into bins, which bound every line by the least and
+    greatest values of a bin. The ranges that are left are cut into bins again until each holds
+    one value. A round is one pass with partial aggregates of a size that the grid fixes, and settles one line at least.
     """
     step = (hi - lo) / cells / 2
-    if not step:
+    if not 0 < step < float("inf"):
         return [lo]
-    jump = cut(_successors(cut(values), axis, lo, hi, step, cells))
-    lines = [lo]
+    v = F.col(axis)
+    ranges, settled, exact, last = [(lo, hi)], [], {}, lo
     while True:
-        found = [r["to"] for r in jump.where(F.col("v").isin(lines) & F.col("to").isNotNull()).select("to").distinct().collect()]  # at most as many as lines
-        if not found:
-            return sorted(lines)
-        lines += found
-        on = jump.select(F.col("v").alias("to"), F.col("to").alias("_to"))
-        jump = cut(jump.where("to is not null").join(on, "to").select("v", F.col("_to").alias("to")))
+        bins = max(_LEAST_BINS, _BINS_PER_CELL * cells // len(ranges))
+
+        # Numbers of ranges are literals, and their ends are looked up: a method with an expression for each range is too long to be compiled.
+        placed = settle(values.select(axis, _by_halving(v, [r[0] for r in ranges], [F.lit(i) for i in range(len(ranges))]).alias("_range")), "_range")
+        least, most, width = (F.get(F.array(*[F.lit(x) for x in xs]), F.col("_range")) for xs in (*zip(*ranges), [float(b - a) for a, b in ranges]))
+        number = F.greatest(F.floor((v - least).cast("double") / width * bins), F.lit(0).cast("long"))
+        number = F.when((v >= least) & (v <= most), F.col("_range") * (bins + 1) + F.least(number, F.lit(bins).cast("long")))
+        after = F.min(F.when(v > F.lit(last) + F.lit(step), v))
+        rows = placed.groupBy(number.alias("_bin")).agg(F.min(v).alias("lo"), F.max(v).alias("hi"), after.alias("after")).collect()  # as many as bins
+        exact[last] = min((r["after"] for r in rows if r["after"] is not None), default=None)
+        groups = sorted([(r["lo"], r["hi"]) for r in rows if r["_bin"] is not None] + settled)
+        found = _bounds(lo, hi, step, groups, exact)
+        wide = [r for r in found if r[0] != r[1]]
+        if not wide:
+            return [r[0] for r in found]
+        last = found[found.index(wide[0]) - 1][0]
+        ranges = []
+        for a, b in sorted(wide):
+            if ranges and a <= ranges[-1][1]:
+                ranges[-1] = ranges[-1][0], max(b, ranges[-1][1])
+            else:
+                ranges.append((a, b))
+        settled = [r for r in found if r[0] == r[1] and not any(a <= r[0] <= b for a, b in ranges)]
 
 
 def snap_to_grid(points: DataFrame, w: int, h: int) -> DataFrame:
@@ -237,13 +272,13 @@ def snap_to_grid(points: DataFrame, w: int, h: int) -> DataFrame:
 
     Lines are at most 2 x cells + 1 per axis; values are never gathered in one place.
     """
-    spans = points.agg(*[f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    values = stored(points.select("x", "y"), "grid-values")
+    spans = values.agg(*[f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))]).first()
     out = points
     for axis, cells in (("x", w), ("y", h)):
         lo, hi = spans[f"lo{axis}"], spans[f"hi{axis}"]
-        anchors = grid_lines(points.select(axis).where(F.col(axis).isNotNull()).distinct(), axis, lo, hi, cells) if lo is not None else [None]
-        lines = F.array(*[F.lit(a) for a in anchors])
-        out = out.withColumn(f"grid_{axis}", F.array_max(F.filter(lines, lambda a: a <= F.col(axis))))
+        anchors = grid_lines(values.select(axis).where(F.col(axis).isNotNull()), axis, lo, hi, cells) if lo is not None else [None]
+        out = out.withColumn(f"grid_{axis}", F.when(F.col(axis) >= F.lit(anchors[0]), _by_halving(F.col(axis), anchors, [F.lit(a) for a in anchors])))
     return out
 
 
