@@ -5,7 +5,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from strandline.operators import intervals as I
+from strandline.operators import intervals as I, variants as V
 
 
 def _plan(df):
@@ -34,3 +34,54 @@ def test_a_span_is_moved_about_once(spark):
     # What is at home on a higher level is only there for spans that reach it.
     assert I._placed(rows, "start_pos", "end_pos", 1, [0, 1]).where("_home").count() == 4000
     assert I.interval_join(rows, wide).count() == I.interval_join(rows, wide, bin_size=1).count()
+
+
+def _pairs(rows, most, every):
+    """(probe, ord_a, ord_b, correct) by brute force. Rows: probe, part, chr, pos0, pos1, ord, refchr, refpos0, refpos1."""
+    found = []
+    for a in rows:
+        for b in rows:
+            if None in (*a[:5], *b[:5]) or a[0] != b[0] or a[2] != b[2] or (a[3] < a[4]) != (b[3] < b[4]) or a[1] == b[1]:
+                continue
+            if (b[3], b[5]) > (a[3], a[5]) and min(b[3:5]) - max(a[3:5]) <= most:
+                c, p, q = b[6:]
+                if None not in (c, p, q):
+                    ok = c == b[2] and ((p == a[4] and q == b[3] - 1) or (p == a[3] and q == b[4] - 1))
+                else:
+                    ok = c in (None, b[2]) and (p is None or p in (a[4] + 1, a[3] + 1))
+                found.append((a[0], ok, (b[2], b[3], b[5], a[3], a[5])))
+    first = {p: min(x for q, ok, x in found if q == p and ok) for p in {q for q, ok, _ in found if ok}}
+    return sorted((p, x[4], x[2], int(ok and (every or first[p] == x))) for p, ok, x in found)
+
+
+def test_probe_pairs_by_brute_force(spark):
+    rnd = random.Random(17)
+    schema = "probe string, part string, chr string, pos0 long, pos1 long, ord long, refchr string, refpos0 long, refpos1 long"
+    for parts, most, n in (("AB", 300, 150), ("ABC", 40, 120), ("AB", 3000, 60), ("A", 300, 20)):
+        rows = []
+        for i in range(n):
+            at, long = rnd.randint(1, 60) * 20, rnd.choice([24, 24, 5, 60])
+            ends = (at, at + long) if rnd.random() < 0.5 else (at + long, at)
+            probe = f"p{rnd.randint(0, 5)}"
+            key = {"p0": (None, None, None), "p1": ("c1", None, None), "p2": (None, at - 40 + 25, None)}.get(probe, ("c1", rnd.randint(1, 60) * 20, rnd.choice([None, ends[0] - 1, ends[1] - 1])))
+            rows.append((probe, rnd.choice(parts), f"c{rnd.randint(0, 1)}", *ends, i, *key))
+        # What has no probe, part, chr or place pairs with nothing; names are compared one by one.
+        rows += [(None, "A", "c1", 20, 44, 900, None, None, None), (None, "B", "c1", 40, 64, 901, None, None, None), ("p0", None, "c1", 40, 64, 902, None, None, None),
+                 ("p0", "A", None, 40, 64, 903, None, None, None), ("p0", "B", None, 60, 84, 904, None, None, None), ("p0", "A", "c1", None, 64, 905, None, None, None),
+                 ("p|c", "A", "d", 20, 44, 906, None, None, None), ("p", "B", "c|d", 40, 64, 907, None, None, None)]
+        hits = spark.createDataFrame(rows, schema).withColumns({"identity": F.lit(90), "length": F.lit(25), "mismatches": F.lit(0)})
+        for every in (False, True):
+            got = V.probe_pairs(hits, most, all_correct=every)
+            want = _pairs(rows, most, every)
+            assert sorted((r.probe, r.ord_a, r.ord_b, r.correct) for r in got.collect()) == want
+        counts = {r.probe: (r.hit_correct, r.hit_incorrect) for r in V.probe_pair_stats(hits, got).collect()}
+        assert counts == {p: (sum(w[3] for w in want if w[0] == p), sum(1 - w[3] for w in want if w[0] == p)) for p in {r[0] for r in rows}}
+
+
+def test_pairs_of_probes_are_made_once(spark):
+    hits = spark.range(400).select(F.concat(F.lit("p"), F.col("id") % 3).alias("probe"), F.when(F.col("id") % 2 == 0, "A").otherwise("B").alias("part"), F.lit("c").alias("chr"),
+                                   (F.col("id") * 5).alias("pos0"), (F.col("id") * 5 + 24).alias("pos1"), F.col("id").alias("ord"), F.lit(None).cast("string").alias("refchr"),
+                                   F.lit(None).cast("long").alias("refpos0"), F.lit(None).cast("long").alias("refpos1"), F.lit(90).alias("identity"), F.lit(25).alias("length"), F.lit(0).alias("mismatches"))
+    plan = _plan(V.probe_pairs(hits, 300))
+    # One join makes the pairs; the answer key and the first pair come from small tables.
+    assert "Union" not in plan and plan.count("Join Inner") + plan.count("Join LeftOuter") <= 3 and "refchr" not in plan.split("Join")[0]
