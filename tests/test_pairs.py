@@ -85,3 +85,14 @@ def test_pairs_of_probes_are_made_once(spark):
     plan = _plan(V.probe_pairs(hits, 300))
     # One join makes the pairs; the answer key and the first pair come from small tables.
     assert "Union" not in plan and plan.count("Join Inner") + plan.count("Join LeftOuter") <= 3 and "refchr" not in plan.split("Join")[0]
+
+
+def test_a_pair_is_counted_from_one_column(spark):
+    rows = [("p", "AB"[i % 2], "c", i * 5, i * 5 + 24, i, None, None, None) for i in range(40)] + [("q", "A", "c", 5, 29, 99, None, None, None)]
+    hits = spark.createDataFrame(rows, "probe string, part string, chr string, pos0 long, pos1 long, ord long, refchr string, refpos0 long, refpos1 long")
+    hits = hits.withColumns({"identity": F.lit(90), "length": F.lit(25), "mismatches": F.lit(0)})
+    stats = V.probe_pair_stats(hits, V.probe_pairs(hits, 60))
+    n = len(_pairs(rows, 60, False))
+    assert sorted(tuple(r) for r in stats.collect()) == [("p", 1, n - 1), ("q", 0, 0)]
+    # Wrong pairs are the rest, and all that a pair's verdict needs is NULL but at one hit of a probe.
+    assert "(1 - correct" not in _plan(stats) and "_asked" in _plan(stats)
